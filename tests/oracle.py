@@ -74,7 +74,7 @@ def main(parts: list[str]) -> int:
         try:
             verdict, rows, took = check(spark, con, sf_dir, name)
         except Exception as err:  # report and go on with the next query
-            verdict, rows, took = f"ERROR {type(err).__name__}: {str(err)[:600]}", -1, 0.0
+            verdict, rows, took = f"ERROR {type(err).__name__}: {str(err)[:400]}", -1, 0.0
         failed += verdict not in ("ok", "no-sql")
         print(f"{name:38s} {rows:8d} {took:6.2f}s {verdict}", flush=True)
     print(f"{len(names)} queries, {failed} failed")
