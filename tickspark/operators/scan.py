@@ -13,12 +13,11 @@ Two ways, both over the block layout so a hot series is spread over many tasks:
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,7 +104,6 @@ class Kernel:
     States and summaries are flat lists of floats.
     """
 
-    columns: Sequence[str] = ()
     outputs: Sequence[T.StructField] = ()
 
     def initial(self) -> list[float]:
@@ -124,57 +122,88 @@ class Kernel:
         raise NotImplementedError
 
 
-def block_scan(df: DataFrame, kernels: Kernel | Sequence[Kernel], layout: Layout = BARS) -> DataFrame:
-    """Run kernels along each series.
+Stage = Kernel | Sequence[Kernel] | Callable[[pd.DataFrame], dict]
 
-    The rows are shuffled once by (series, block): the summary and the replay read the same
-    exchange.  The summary looks only at the kernel columns (Arrow), the chain sees one row per
-    block (``rows / block_rows`` rows per series), and the replay joins each block with its
-    starting state.
+
+def block_scan(df: DataFrame, *stages: Stage, layout: Layout = BARS) -> DataFrame:
+    """Run kernels along each series, later stages building on the columns of earlier ones.
+
+    A stage is a kernel, a list of independent kernels, or a function that derives working
+    columns (``pandas rows -> {name: values}``, row by row, not part of the result).
+
+    The rows are shuffled once by (series, block); every pass reads that same exchange.  Per
+    kernel stage there is one summary pass, and a chain that sees one row per block
+    (``rows / block_rows`` rows per series) and yields the state at the start of each block.
+    The last pass replays all stages of a block from these states.
     """
-    kernels = [kernels] if isinstance(kernels, Kernel) else list(kernels)
+    plan = [s if callable(s) else ([s] if isinstance(s, Kernel) else list(s)) for s in stages]
+    kernels = [k for s in plan if not callable(s) for k in s]
     by, idx = list(layout.by), layout.idx
     blocks = with_blocks(df, 0, 0, layout).drop(OWN)
+    grouped = blocks.groupBy(*by, BLOCK)
     key_fields = [df.schema[c] for c in by] + [T.StructField(BLOCK, T.LongType())]
     states = T.ArrayType(T.ArrayType(T.DoubleType()))
-    summary_schema = T.StructType([*key_fields, T.StructField("_summary", states)])
-    seed_schema = T.StructType([*key_fields, T.StructField("_seed", states)])
-    needed = list(dict.fromkeys([idx, *(c for k in kernels for c in k.columns)]))
-
-    def summarize(key, block):  # Arrow table in and out
-        pdf = block.select(needed).to_pandas().sort_values(idx, ignore_index=True)
-        found = [[k.summarize(pdf) for k in kernels]]
-        keys = {name: pa.array([k.as_py()], k.type) for name, k in zip([*by, BLOCK], key)}
-        return pa.table({**keys, "_summary": pa.array(found, pa.list_(pa.list_(pa.float64())))})
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BLOCK, ignore_index=True)
-        now, seeds = [k.initial() for k in kernels], []
-        for found in pdf["_summary"]:
-            seeds.append(now)
-            now = [k.advance(s, list(f)) for k, s, f in zip(kernels, now, found)]
-        return pdf.drop(columns="_summary").assign(_seed=seeds)
-
-    out_fields = [f for f in blocks.schema.fields if f.name != BLOCK]
-    added_fields = [f for k in kernels for f in k.outputs]
+    seed_field = T.StructField("_seeds", T.ArrayType(states))
+    seed_schema = T.StructType([*key_fields, seed_field])
+    summary_schema = T.StructType([*key_fields, seed_field, T.StructField("_summary", states)])
+
+    def run(pdf: pd.DataFrame, seeds) -> pd.DataFrame:
+        """Apply the stages whose starting states are known, plus the derivations after them."""
+        seeds = iter(seeds)
+        for stage in plan:
+            if callable(stage):
+                pdf = pdf.assign(**stage(pdf))
+                continue
+            start = next(seeds, None)
+            if start is None:
+                break
+            for kernel, state in zip(stage, start):
+                pdf = pdf.assign(**kernel.replay(pdf, list(state)))
+        return pdf
+
+    def summarizer(stage, first: bool):
+        def summarize(key, pdf, known):
+            pdf = run(pdf.sort_values(idx, ignore_index=True), known)
+            found = [[float(x) for x in k.summarize(pdf)] for k in stage]
+            return pd.DataFrame(
+                [[*key, [[list(s) for s in k] for k in known], found]],
+                columns=summary_schema.fieldNames(),
+            )
+
+        if first:
+            return lambda key, pdf: summarize(key, pdf, [])
+        return lambda key, pdf, seed: summarize(key, pdf, list(seed["_seeds"].iloc[0]))
+
+    def chainer(stage):
+        def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(BLOCK, ignore_index=True)
+            now, seeds = [k.initial() for k in stage], []
+            for known, found in zip(pdf["_seeds"], pdf["_summary"]):
+                seeds.append([[list(s) for s in k] for k in known] + [now])
+                now = [k.advance(s, list(f)) for k, s, f in zip(stage, now, found)]
+            return pdf.drop(columns=["_seeds", "_summary"]).assign(_seeds=seeds)
+
+        return chain
+
+    seeds = None
+    for stage in plan:
+        if callable(stage):
+            continue
+        rows = grouped if seeds is None else grouped.cogroup(seeds.groupBy(*by, BLOCK))
+        summaries = rows.applyInPandas(summarizer(stage, seeds is None), summary_schema)
+        seeds = summaries.groupBy(*by).applyInPandas(chainer(stage), seed_schema)
+
+    out_fields = [
+        *[f for f in blocks.schema.fields if f.name != BLOCK], *[f for k in kernels for f in k.outputs]
+    ]
     names = [f.name for f in out_fields]
 
     def replay(pdf: pd.DataFrame, seed: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx, ignore_index=True)
-        out = pdf[names]
-        for kernel, start in zip(kernels, seed["_seed"].iloc[0]):
-            out = out.assign(**kernel.replay(pdf, list(start)))
-        return out
+        return run(pdf, seed["_seeds"].iloc[0])[names]
 
-    grouped = blocks.groupBy(*by, BLOCK)
-    seeds = (
-        grouped.applyInArrow(summarize, summary_schema)
-        .groupBy(*by).applyInPandas(chain, seed_schema)
-    )
-    out = grouped.cogroup(seeds.groupBy(*by, BLOCK)).applyInPandas(
-        replay, T.StructType([*out_fields, *added_fields])
-    )
-    doubles = [f.name for f in added_fields if isinstance(f.dataType, T.DoubleType)]
+    out = grouped.cogroup(seeds.groupBy(*by, BLOCK)).applyInPandas(replay, T.StructType(out_fields))
+    doubles = [f.name for k in kernels for f in k.outputs if isinstance(f.dataType, T.DoubleType)]
     return _nan_to_null(out, doubles) if doubles else out
 
 
@@ -183,7 +212,6 @@ class _DecayKernel(Kernel):
 
     def __init__(self, spec: Decay):
         self.spec = spec
-        self.columns = [spec.source]
         self.outputs = [T.StructField(spec.out, T.DoubleType())]
 
     def initial(self):
@@ -244,7 +272,7 @@ class _DecayKernel(Kernel):
 
 def smoothed_on_rows(df: DataFrame, spec: Decay, layout: Layout = BARS) -> DataFrame:
     """A recurrence that moves only on rows with a value, whatever their distance."""
-    return block_scan(df, _DecayKernel(spec), layout)
+    return block_scan(df, _DecayKernel(spec), layout=layout)
 
 
 # ---------------------------------------------------------------- kernels
@@ -258,7 +286,6 @@ class Cooldown(Kernel):
 
     def __init__(self, candidate: str, out: str, min_gap: int, idx: str):
         self.candidate, self.out, self.gap, self.idx = candidate, out, min_gap, idx
-        self.columns = [candidate]
         self.outputs = [T.StructField(out, T.BooleanType())]
 
     def initial(self):
@@ -300,7 +327,7 @@ def cooldown(
     df: DataFrame, candidate: str, min_gap: int, out: str = "kept", layout: Layout = BARS
 ) -> DataFrame:
     """Flag the candidates kept by a greedy cooldown; ``min_gap`` rows must lie between two."""
-    return block_scan(df, Cooldown(candidate, out, min_gap, layout.idx), layout)
+    return block_scan(df, Cooldown(candidate, out, min_gap, layout.idx), layout=layout)
 
 
 class Ratchet(Kernel):
@@ -315,7 +342,6 @@ class Ratchet(Kernel):
         self.band, self.prev, self.out = band, prev_close, out
         self.sign = -1.0 if upper else 1.0
         self.hold_on_equal = hold_on_equal
-        self.columns = [band, prev_close]
         self.outputs = [
             T.StructField(out, T.DoubleType()), T.StructField(f"{out}_before", T.DoubleType())
         ]
@@ -385,7 +411,6 @@ class TrendState(Kernel):
     def __init__(self, signal: str, idx: str, direction: str, duration: str):
         self.signal, self.idx = signal, idx
         self.direction, self.duration = direction, duration
-        self.columns = [signal]
         self.outputs = [T.StructField(direction, T.IntegerType()), T.StructField(duration, T.LongType())]
 
     def initial(self):
@@ -431,7 +456,6 @@ class VolumeReset(Kernel):
 
     def __init__(self, volume: str, target: float):
         self.volume, self.target = volume, float(target)
-        self.columns = [volume]
         self.outputs = [T.StructField("bucket", T.LongType()), T.StructField("closes_bucket", T.BooleanType())]
 
     def initial(self):
@@ -485,7 +509,7 @@ class VolumeReset(Kernel):
 
 def volume_resets(df: DataFrame, volume: str, target: float, layout: Layout = BARS) -> DataFrame:
     """Add ``bucket`` and ``closes_bucket`` for reset-on-overflow volume buckets."""
-    return block_scan(df, VolumeReset(volume, target), layout)
+    return block_scan(df, VolumeReset(volume, target), layout=layout)
 
 
 class LastKnown(Kernel):
@@ -493,7 +517,6 @@ class LastKnown(Kernel):
 
     def __init__(self, pairs: dict[str, str]):
         self.pairs = pairs
-        self.columns = list(pairs)
         self.outputs = [T.StructField(out, T.DoubleType()) for out in pairs.values()]
 
     def initial(self):
@@ -517,4 +540,62 @@ class LastKnown(Kernel):
 
 def last_known(df: DataFrame, pairs: dict[str, str], layout: Layout = BARS) -> DataFrame:
     """For each ``source: out`` add the last non-null value so far (numeric columns)."""
-    return block_scan(df, LastKnown(pairs), layout)
+    return block_scan(df, LastKnown(pairs), layout=layout)
+
+
+class PivotCenter(Kernel):
+    """Carry the last pivot forward and average it into a centre line.
+
+    centre' = keep * centre + (1 - keep) * last pivot, on every row or only on rows with a new
+    pivot; the first pivot of the series starts the line.
+    """
+
+    def __init__(self, pivot: str, last: str, center: str, keep: float, every_bar: bool):
+        self.pivot, self.last, self.center = pivot, last, center
+        self.keep, self.every_bar = keep, every_bar
+        self.outputs = [T.StructField(last, T.DoubleType()), T.StructField(center, T.DoubleType())]
+
+    def initial(self):
+        return [math.nan, math.nan]
+
+    def _walk(self, pivots, last, center):
+        keep, lasts, centers = self.keep, [], []
+        for p in pivots:
+            new = p == p  # not NaN
+            if new:
+                last = p
+            if center != center:
+                center = last
+            elif new or self.every_bar:
+                center = keep * center + (1 - keep) * last
+            lasts.append(last)
+            centers.append(center)
+        return lasts, centers
+
+    def _pivots(self, pdf):
+        return pdf[self.pivot].to_numpy(dtype="float64", na_value=np.nan)
+
+    def summarize(self, pdf):
+        pivots = self._pivots(pdf)
+        known = np.flatnonzero(~np.isnan(pivots))
+        if len(known) == 0:
+            return [float(len(pivots))]
+        rest = pivots[known[0]:]
+        lasts, fresh = self._walk(rest.tolist(), math.nan, math.nan)
+        _, effect = self._walk(rest.tolist(), math.nan, 0.0)
+        updates = len(rest) if self.every_bar else len(known)
+        return [float(known[0]), lasts[-1], fresh[-1], self.keep ** updates, effect[-1]]
+
+    def advance(self, state, summary):
+        last, center = state
+        lead = summary[0] if self.every_bar else 0.0
+        if not math.isnan(center):
+            center = last + self.keep ** lead * (center - last)
+        if len(summary) == 1:
+            return [last, center]
+        _, new_last, fresh, power, effect = summary
+        return [new_last, fresh if math.isnan(center) else power * center + effect]
+
+    def replay(self, pdf, state):
+        lasts, centers = self._walk(self._pivots(pdf).tolist(), *state)
+        return {self.last: lasts, self.center: centers}

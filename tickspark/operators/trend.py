@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from tickspark.layout import BARS, Layout, run_blocked, windowed
 from tickspark.operators import price
 from tickspark.operators.bars import with_prev_close
 from tickspark.operators.scan import (
-    Decay, Kernel, Ratchet, TrendState, block_scan, decaying_scan, last_known, smoothed_on_rows,
+    Kernel, LastKnown, PivotCenter, Ratchet, TrendState, block_scan,
 )
 
 EPSILON = 1e-10
@@ -43,22 +44,24 @@ def pivots(df: DataFrame, w, k: int = 2) -> DataFrame:
     return marked.withColumn("pivot", F.coalesce("pivot_low", "pivot_high"))
 
 
+def _center_stage(center_update: str) -> list[Kernel]:
+    return [
+        PivotCenter("pivot", "last_pivot", "center", CENTER_KEEP, center_update == "every_bar"),
+        LastKnown({"pivot_high": "last_pivot_high", "pivot_low": "last_pivot_low"}),
+    ]
+
+
 def pivot_center(df: DataFrame, center_update: str = "every_bar", layout: Layout = BARS) -> DataFrame:
     """Carry the last pivots forward and average them into the centre line."""
-    names = {"pivot": "last_pivot", "pivot_high": "last_pivot_high", "pivot_low": "last_pivot_low"}
-    carried = last_known(df, names, layout)
-    if center_update == "every_bar":
-        return decaying_scan(carried, [Decay("center", "last_pivot", CENTER_KEEP)], layout)
-    return smoothed_on_rows(carried, Decay("center", "pivot", CENTER_KEEP), layout)
+    return block_scan(df, _center_stage(center_update), layout=layout)
 
 
-def bands(df: DataFrame, layout: Layout = BARS, hold_on_equal: bool = False) -> DataFrame:
+def band_stage(hold_on_equal: bool) -> list[Kernel]:
     """Ratchet ``raw_up`` and ``raw_dn`` into the trailing bands ``tup`` and ``tdown``."""
-    pair: list[Kernel] = [
+    return [
         Ratchet("raw_up", "prev_close", "tup", False, hold_on_equal),
         Ratchet("raw_dn", "prev_close", "tdown", True, hold_on_equal),
     ]
-    return block_scan(df, pair, layout)
 
 
 def pivot_supertrend(df: DataFrame, cfg: SuperTrend = SuperTrend(), layout: Layout = BARS) -> DataFrame:
@@ -71,35 +74,31 @@ def pivot_supertrend(df: DataFrame, cfg: SuperTrend = SuperTrend(), layout: Layo
         with_prev_close.step(), price.true_range.step(),
         price.atr.step(cfg.atr_rows, out="st_atr"), pivots.step(cfg.lookback),
     ]
-    ready = pivot_center(run_blocked(df, steps, layout), cfg.center_update, layout)
-    half = cfg.factor * F.col("st_atr")
-    usable = F.col("center").isNotNull() & (F.col("st_atr") > 0)
-    raw = ready.withColumns(
-        {
-            "raw_up": F.when(usable, F.col("center") - half),
-            "raw_dn": F.when(usable, F.col("center") + half),
-        }
-    )
-    banded = bands(raw, layout)
-    signal = F.when(
-        F.col("raw_up").isNotNull(),
-        F.when(F.col("close") > F.col("tdown_before"), 1)
-        .when(F.col("close") < F.col("tup_before"), -1)
-        .when(F.col("tup_before").isNull(), 1),
+    factor = cfg.factor
+
+    def raw_bands(rows):
+        width = (factor * rows["st_atr"]).where(rows["st_atr"] > 0)
+        return {"raw_up": rows["center"] - width, "raw_dn": rows["center"] + width}
+
+    def signal(rows):
+        close, banded = rows["close"], rows["raw_up"].notna()
+        choices = [close > rows["tdown_before"], close < rows["tup_before"], rows["tup_before"].isna()]
+        found = np.select([c & banded for c in choices], [1.0, -1.0, 1.0], default=np.nan)
+        return {"_signal": found}
+
+    out = block_scan(
+        run_blocked(df, steps, layout), _center_stage(cfg.center_update), raw_bands,
+        band_stage(False), signal, TrendState("_signal", layout.idx, "st_dir", "trend_duration"),
+        layout=layout,
     )
-    kernel = TrendState("_signal", layout.idx, "st_dir", "trend_duration")
-    out = block_scan(banded.withColumn("_signal", signal), kernel, layout)
     line = (
         F.when(F.col("st_dir") == 1, F.col("tup")).when(F.col("st_dir") == -1, F.col("tdown"))
         .otherwise(F.coalesce("center", F.lit(0.0)))
     )
+    width = 2 * factor * F.col("st_atr")
     return out.withColumns(
-        {
-            "st_line": line,
-            "st_bandwidth": 2 * half,
-            "st_bandwidth_pct": 2 * half / F.col("close"),
-        }
-    ).drop("_signal", "raw_up", "raw_dn", "tup_before", "tdown_before", "pivot")
+        {"st_line": line, "st_bandwidth": width, "st_bandwidth_pct": width / F.col("close")}
+    ).drop("tup_before", "tdown_before", "pivot")
 
 
 @windowed(lookback=1)
