@@ -513,10 +513,13 @@ def volume_resets(df: DataFrame, volume: str, target: float, layout: Layout = BA
 
 
 class LastKnown(Kernel):
-    """Carry the last non-null value of several columns forward."""
+    """Carry the last non-null value of several numeric columns forward.
 
-    def __init__(self, pairs: dict[str, str]):
-        self.pairs = pairs
+    With ``before`` the row's own value does not count yet.
+    """
+
+    def __init__(self, pairs: dict[str, str], before: bool = False):
+        self.pairs, self.before = pairs, before
         self.outputs = [T.StructField(out, T.DoubleType()) for out in pairs.values()]
 
     def initial(self):
@@ -532,10 +535,11 @@ class LastKnown(Kernel):
         return [old if math.isnan(new) else new for old, new in zip(state, summary)]
 
     def replay(self, pdf, state):
-        return {
-            out: self._filled(pdf, c).fillna(seed)
-            for (c, out), seed in zip(self.pairs.items(), state)
-        }
+        out = {}
+        for (column, name), seed in zip(self.pairs.items(), state):
+            now = self._filled(pdf, column).fillna(seed)
+            out[name] = now.shift(fill_value=seed) if self.before else now
+        return out
 
 
 def last_known(df: DataFrame, pairs: dict[str, str], layout: Layout = BARS) -> DataFrame:
@@ -599,3 +603,52 @@ class PivotCenter(Kernel):
     def replay(self, pdf, state):
         lasts, centers = self._walk(self._pivots(pdf).tolist(), *state)
         return {self.last: lasts, self.center: centers}
+
+
+class FollowThrough(Kernel):
+    """Largest rise and fall of the close in the rows after the last event.
+
+    State: index and close of the last event, largest rise and fall so far.  Only the first
+    ``window`` rows after an event count, so a block without an event needs its first rows only.
+    """
+
+    def __init__(self, event: str, close: str, idx: str, window: int, outs: Sequence[str]):
+        self.event, self.close, self.idx, self.window = event, close, idx, window
+        self.outs = list(outs)
+        self.outputs = [T.StructField(o, T.DoubleType()) for o in self.outs]
+
+    def initial(self):
+        return [math.nan, math.nan, math.nan, math.nan]
+
+    def _walk(self, rows, state):
+        at, base, up, down = state
+        trail = []
+        for index, close, event in rows:
+            if event:
+                at, base, up, down = index, close, 0.0, 0.0
+            elif at == at and index - at <= self.window:
+                up, down = max(up, close - base), min(down, close - base)
+            trail.append((at, base, up, down))
+        return trail
+
+    def _rows(self, pdf):
+        flags = pdf[self.event].fillna(0).to_numpy() != 0
+        return list(zip(pdf[self.idx].tolist(), pdf[self.close].tolist(), flags.tolist()))
+
+    def summarize(self, pdf):
+        rows = self._rows(pdf)
+        first = next((k for k, r in enumerate(rows) if r[2]), None)
+        if first is not None:
+            return list(map(float, self._walk(rows[first:], self.initial())[-1]))
+        head = rows[: self.window]
+        return [math.nan, *[float(x) for r in head for x in r[:2]]]
+
+    def advance(self, state, summary):
+        if not math.isnan(summary[0]):
+            return summary
+        rows = list(zip(summary[1::2], summary[2::2], [False] * len(summary)))
+        return list(self._walk(rows, state)[-1]) if rows else state
+
+    def replay(self, pdf, state):
+        trail = self._walk(self._rows(pdf), state)
+        return {o: [float(t[k]) for t in trail] for k, o in enumerate(self.outs)}
