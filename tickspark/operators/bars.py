@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickspark.layout import windowed
+from tickspark.layout import Layout, windowed
 from tickspark.operators.index import SLICE, with_row_index
+from tickspark.operators.scan import volume_resets
 
 # Timeframe names and their seconds.
 TIMEFRAMES = {
@@ -39,7 +40,9 @@ def _micros(col: str) -> Column:
     return F.unix_micros(F.col(col))
 
 
-def _pieces(rows: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+def _pieces(
+    rows: DataFrame, keys: Sequence[str], by: Sequence[str], extra: Sequence[Column]
+) -> DataFrame:
     """Aggregate the part of a bar that lies in one time slice.
 
     ``rows`` are already distributed by (series, slice), so this moves nothing.
@@ -64,10 +67,14 @@ def _pieces(rows: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFram
         F.sum("spread").alias("spread_sum"),
         F.count_if(F.col("_inside") & (F.col("_step") > 0)).alias("buy_count"),
         F.count_if(F.col("_inside") & (F.col("_step") < 0)).alias("sell_count"),
+        *extra,
     )
 
 
-def aggregate_bars(rows: DataFrame, bar_id: str = "bar_idx", by: Sequence[str] = ("symbol",)) -> DataFrame:
+def aggregate_bars(
+    rows: DataFrame, bar_id: str = "bar_idx", by: Sequence[str] = ("symbol",),
+    extra: Sequence[Column] = (),
+) -> DataFrame:
     """OHLC, counts and tick-rule imbalance for ticks that carry a bar number.
 
     ``rows`` needs ``row_idx`` and the slice column of :func:`with_row_index`.  Each bar is
@@ -76,7 +83,7 @@ def aggregate_bars(rows: DataFrame, bar_id: str = "bar_idx", by: Sequence[str] =
     the same bar; the first tick of a bar has none.
     """
     keys = [*by, bar_id]
-    pieces = _pieces(rows, keys, by)
+    pieces = _pieces(rows, keys, by, extra)
     along = Window.partitionBy(*keys).orderBy(SLICE)
     joined = pieces.withColumn("_step", F.col("open") - F.lag("close").over(along))
     bars = joined.groupBy(*keys).agg(
@@ -91,6 +98,7 @@ def aggregate_bars(rows: DataFrame, bar_id: str = "bar_idx", by: Sequence[str] =
         F.sum("spread_sum").alias("spread_sum"),
         (F.sum("buy_count") + F.count_if(F.col("_step") > 0)).alias("buy_count"),
         (F.sum("sell_count") + F.count_if(F.col("_step") < 0)).alias("sell_count"),
+        *[F.bool_or(c).alias(c) for c in joined.columns if c == "is_complete"],
     )
     sides = F.col("buy_count") + F.col("sell_count")
     return bars.withColumns(
@@ -283,3 +291,46 @@ def with_prev_close(df: DataFrame, w) -> DataFrame:
     return df.withColumn("prev_close", F.lag("close").over(w))
 
 
+def volume_bars(
+    ticks: DataFrame, target: float = 100.0, source: str = "tick_count", grid: bool = False,
+    emit_partial: bool = False, slice_seconds: int = 3600, base_volume: float = 100.0,
+) -> DataFrame:
+    """Bars that close when their volume reaches ``target``.
+
+    ``source``: ``tick_count`` (1 per tick), ``real`` (the volume column) or ``synthetic``.
+    The next bar starts from zero; ``grid=True`` cuts the running total at multiples of
+    ``target`` instead, so an overshoot is carried over.
+    """
+    if source == "tick_count":
+        return tick_bars(ticks, int(target), emit_partial, slice_seconds)
+    if source == "synthetic":
+        priced = synthetic_volume(ticks, base_volume)
+        ticks = priced.withColumn("last_volume", F.col("synthetic_volume"))
+    rows = indexed_ticks(ticks, slice_seconds)
+    if grid:
+        rows = _running_volume(rows).withColumn(
+            "bar_idx", F.floor(F.col("_before") / target).cast("long")
+        ).withColumn("_done", F.floor(F.col("_after") / target) > F.col("bar_idx"))
+    else:
+        layout = Layout(idx="row_idx")
+        rows = volume_resets(rows, "volume", target, layout).withColumnsRenamed(
+            {"bucket": "bar_idx", "closes_bucket": "_done"}
+        )
+    bars = aggregate_bars(rows, extra=[F.bool_or("_done").alias("is_complete")])
+    if not emit_partial:
+        bars = bars.filter("is_complete")
+    return bars.select(BAR_COLUMNS)
+
+
+def _running_volume(rows: DataFrame) -> DataFrame:
+    """Volume before and after each tick, from slice totals and a running sum inside slices."""
+    totals = rows.groupBy("symbol", SLICE).agg(F.sum("volume").alias("_v"))
+    over = Window.partitionBy("symbol").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("symbol", SLICE, F.coalesce(F.sum("_v").over(over), F.lit(0.0)).alias("_o"))
+    inside = Window.partitionBy("symbol", SLICE).orderBy("row_idx").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    out = rows.join(offsets, ["symbol", SLICE]).withColumn(
+        "_after", F.col("_o") + F.sum("volume").over(inside)
+    )
+    return out.withColumn("_before", F.col("_after") - F.col("volume")).drop("_o")
