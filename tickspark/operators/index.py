@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ def with_row_index(
     name: str = "row_idx",
     carry: Sequence[str] = (),
     keep_slice: bool = False,
+    slices: Column | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its series, ordered by ``order``.
 
@@ -31,10 +32,10 @@ def with_row_index(
     slice its first position, and the position inside the slice is a ``row_number``.  Rows move
     once, hashed by (series, slice), so one series with most of the data is spread over as many
     tasks as it has slices.  For each column in ``carry`` the value of the row before is added
-    as ``prev_<column>``, also across slice edges.
+    as ``prev_<column>``, also across slice edges.  ``slices`` replaces the time slice by another
+    number that never falls along ``order``.
     """
-    time_col = order[0]
-    sliced = df.withColumn(SLICE, time_slice(time_col, slice_seconds))
+    sliced = df.withColumn(SLICE, time_slice(order[0], slice_seconds) if slices is None else slices)
     keys = [*by, SLICE]
     aggs = [F.count(F.lit(1)).alias("_n")]
     if carry:
@@ -65,3 +66,80 @@ def with_row_index(
 def row_counts(df: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
     """Rows per series."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def running(
+    df: DataFrame, by: Sequence[str], slices: Sequence[str], order: Sequence[str],
+    values: Mapping[str, tuple[str, str]],
+) -> DataFrame:
+    """Running ``sum``, ``max``, ``min``, ``first`` or ``last`` (non-null) along each key.
+
+    ``values`` maps an output column to (function, source).  ``slices`` are columns that sort
+    before ``order`` and cut each key into parts; parts are reduced first, so no task holds a
+    whole key.
+    """
+    keys = [*by, *slices]
+    reduce = {
+        "sum": lambda c: F.sum(c), "max": lambda c: F.max(c), "min": lambda c: F.min(c),
+        "first": lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))),
+        "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))),
+    }
+    over = {
+        "sum": lambda c, w: F.sum(c).over(w), "max": lambda c, w: F.max(c).over(w),
+        "min": lambda c, w: F.min(c).over(w),
+        "first": lambda c, w: F.first(c, ignorenulls=True).over(w),
+        "last": lambda c, w: F.last(c, ignorenulls=True).over(w),
+    }
+    combine = {
+        "sum": lambda a, b: F.when(a.isNull() & b.isNull(), None).otherwise(
+            F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+        "max": F.greatest, "min": F.least,
+        "first": lambda a, b: F.coalesce(a, b), "last": lambda a, b: F.coalesce(b, a),
+    }
+    before = Window.partitionBy(*by).orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1)
+    parts = df.groupBy(*keys).agg(*[reduce[f](c).alias(f"_p_{o}") for o, (f, c) in values.items()])
+    carried = parts.select(
+        *keys, *[over[f](f"_p_{o}", before).alias(f"_c_{o}") for o, (f, _) in values.items()]
+    )
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.join(carried, keys).withColumns(
+        {o: combine[f](F.col(f"_c_{o}"), over[f](c, inside)) for o, (f, c) in values.items()}
+    )
+    return out.drop(*[f"_c_{o}" for o in values])
+
+
+def exact_quantiles(
+    df: DataFrame, by: Sequence[str], col: str, qs: Sequence[float], points: int = 64
+) -> DataFrame:
+    """Exact percentiles with linear interpolation, one row per (key, q).
+
+    Equal values are counted first.  The distinct values are cut into parts of similar size at
+    sketched percentiles, numbered by running counts, and the two neighbours of each position
+    are picked; no task holds all values of a key.
+    """
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    cuts = [(k + 1) / points for k in range(points - 1)]
+    bounds = counts.groupBy(*by).agg(
+        F.percentile_approx("_v", cuts).alias("_cuts"), F.sum("_n").alias("_total")
+    )
+    part = F.size(F.filter(F.array_distinct("_cuts"), lambda b: b < F.col("_v"))).cast("long")
+    joined = counts.join(bounds, list(by)) if by else counts.crossJoin(F.broadcast(bounds))
+    parts = joined.withColumn(SLICE, part).drop("_cuts")
+    ranked = running(parts, by, [SLICE], ["_v"], {"_upto": ("sum", "_n")})
+    wanted = ranked.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+    pos = (F.col("_total") - 1) * F.col("q")
+    low, start = F.floor(pos), F.col("_upto") - F.col("_n")
+
+    def holds(rank: Column) -> Column:
+        return (rank >= start) & (rank < F.col("_upto"))
+
+    hit = wanted.filter(holds(low) | holds(low + 1))
+    picked = hit.groupBy(*by, "q").agg(
+        F.max(F.when(holds(low), F.col("_v"))).alias("_lo"),
+        F.max(F.when(holds(low + 1), F.col("_v"))).alias("_hi"),
+        F.max(pos - low).alias("_f"),
+    )
+    value = F.col("_lo") + F.col("_f") * (F.coalesce("_hi", "_lo") - F.col("_lo"))
+    return picked.select(*by, "q", value.alias("value"))
