@@ -1,6 +1,6 @@
 """Import every query module so the registry is complete."""
 
-from catalog import bars, cleaning, features, gaps, indicators, labels  # noqa: F401
+from catalog import bars, cleaning, features, gaps, indicators, labels, signals  # noqa: F401
 from catalog.base import REGISTRY
 
 __all__ = ["REGISTRY"]

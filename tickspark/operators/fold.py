@@ -159,16 +159,17 @@ def adaptive_kalman(
 def counter_cap(
     entries: DataFrame, window: int = 20, max_ratio: float = 0.3, min_samples: int = 5,
     session_seconds: int = 86_400, ts: str = "ts", order: Sequence[str] = ("ts", "seq"),
+    alignment: str = "trend_alignment",
 ) -> DataFrame:
     """Skip counter-trend entries while they are too frequent among the last accepted ones.
 
-    Skipped entries are not remembered.  Input: candidate entries only, with ``alignment``.
+    Skipped entries are not remembered.  Input: candidate entries only.
     """
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         past: list[bool] = []
         accepted = []
-        for alignment in pdf["alignment"]:
-            counter = alignment == "COUNTER"
+        for value in pdf[alignment]:
+            counter = value == "COUNTER"
             full = len(past) >= min_samples and sum(past) / max(1, len(past)) >= max_ratio
             ok = not (counter and full)
             accepted.append(ok)
