@@ -32,7 +32,7 @@ def log_return(df: DataFrame, w, close: str = "close", out: str = "log_return")
     return df.withColumn(out, F.coalesce(F.log(ratio), F.lit(0.0)))
 
 
-@windowed(lookback=lambda col, n=100, **_: n - 1)
+@windowed(lookback=lambda col, n=100, out=None: n - 1)
 def rolling_zscore(df: DataFrame, w, col: str, n: int = 100, out: str | None = None) -> DataFrame:
     """(x - mean) / population deviation over the last ``n`` rows, 0 below 3 rows or if flat."""
     frame = w.rowsBetween(1 - n, 0)
