@@ -26,7 +26,7 @@ def horner(x: Column, coefficients: tuple[float, ...]) -> Column:
 
 
 def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function, accurate to about 1e-15.
+    """Standard normal distribution function, absolute error about 1e-15.
 
     A closed expression, so it stays inside generated code.  Beyond 37 deviations the tail is 0.
     """
