@@ -69,7 +69,7 @@ def _(spark, sf):
          bool_or(r.done) as is_complete from r join sn s using (symbol, d, rn) group by s.symbol, s.d, r.bar""")
 def _(spark, sf):
     # these ticks are hours apart: 4 expected ticks per bar instead of 50
-    return fold.imbalance_bars(ticks(spark, sf), expected_ticks=4.0)
+    return fold.imbalance_bars(ticks(spark, sf), expected_ticks=4.0, session_seconds=86_400)
 
 
 # ---------------------------------------------------------------- denoising

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.util import assert_same, keyed
 from tickspark.layout import Layout, run_blocked
-from tickspark.operators import calendar, classic, denoise, gaps, labels, price, scan, signals, trend, vpin
+from tickspark.operators import asof, calendar, classic, denoise, gaps, labels, price, scan, signals, trend, vpin
 from tickspark.operators.bars import tick_bars
 
 WIDE = Layout()
@@ -89,6 +89,23 @@ def test_threshold(gap_rows):
     assert_same(keyed(a, ["threshold", "gate_stage"]), keyed(b, ["threshold", "gate_stage"]))
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_slices_do_not_matter(gap_rows, strict):
+    """Short slices leave many of them without a right row, before, between and after."""
+    high = gap_rows.filter((F.col("bar_idx") > 100) & (F.col("bar_idx") < 900) & (F.col("bar_idx") % 97 == 0)).select(
+        "symbol", F.col("open_time").alias("t"), F.col("bar_idx").alias("from_idx")
+    )
+
+    def run(seconds):
+        return keyed(asof.asof_join(gap_rows, high, "open_time", "t", ["from_idx"], slice_seconds=seconds, strict=strict), ["from_idx"])
+
+    out = run(3600)
+    assert_same(out, run(400 * 86_400))
+    last = (out["bar_idx"] - 1 if strict else out["bar_idx"]) // 97 * 97
+    expected = last.clip(upper=873).where(last >= 194)
+    assert_same(out[["from_idx"]].astype(float), expected.astype(float).to_frame("from_idx"))
+
+
 def test_time_slices_do_not_matter(spark):
     from catalog.base import ticks
     from tests.conftest import SF

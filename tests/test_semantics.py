@@ -127,7 +127,7 @@ def test_imbalance_bars_keep_every_tick(spark):
     from catalog.base import ticks
 
     t = ticks(spark, SF)
-    assert fold.imbalance_bars(t, 4.0).agg(F.sum("tick_count")).first()[0] == t.count()
+    assert fold.imbalance_bars(t, 4.0, session_seconds=86_400).agg(F.sum("tick_count")).first()[0] == t.count()
 
 
 def test_counter_cap(spark):

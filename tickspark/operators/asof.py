@@ -16,34 +16,51 @@ def asof_join(
 ) -> DataFrame:
     """For each left row the ``columns`` of the latest right row with time <= its own.
 
-    Both sides are stacked and ordered inside (key, time slice); the last right row of the
-    slices before comes from a table of one row per slice.  No range join and no task that
-    holds a whole series.  ``strict`` asks for an earlier time instead of an equal one.
+    Both sides are stacked and ordered inside (key, time slice).  The last right row of a slice
+    is put in front of the following slices up to the next one that has right rows of its own,
+    and left rows after the last such slice take the last right row of the key.  So the left
+    side is shuffled once, by (key, slice), and no task holds a whole series.  ``strict`` asks
+    for an earlier time instead of an equal one.
     """
     keys = [*by, SLICE]
     payload = F.struct(*[F.col(c) for c in columns])
+    r_slim = right.select(*by, F.col(right_time).alias("_t"), payload.alias("_right")).withColumn(
+        SLICE, time_slice("_t", slice_seconds)
+    )
+    right_type = r_slim.schema["_right"].dataType
     l_rows = left.select(
         *by, F.col(left_time).alias("_t"), F.lit(0 if strict else 1).alias("_side"),
-        F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(payload).schema[0].dataType).alias("_right"),
-    )
-    r_rows = right.select(
-        *by, F.col(right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"),
-        F.lit(None).cast(l_rows.schema["_left"].dataType).alias("_left"), payload.alias("_right"),
+        F.struct(*left.columns).alias("_left"), F.lit(None).cast(right_type).alias("_right"),
+    ).withColumn(SLICE, time_slice("_t", slice_seconds))
+    left_type = l_rows.schema["_left"].dataType
+
+    def as_rows(df: DataFrame, side: int) -> DataFrame:
+        return df.select(
+            *by, "_t", F.lit(side).alias("_side"), F.lit(None).cast(left_type).alias("_left"), "_right", SLICE
+        )
+
+    ends = r_slim.groupBy(*keys).agg(F.max_by("_right", "_t").alias("_right"), F.max("_t").alias("_t"))
+    later = F.lead(SLICE).over(Window.partitionBy(*by).orderBy(SLICE))
+    carried = ends.withColumn("_next", later).filter(F.col("_next").isNotNull()).select(
+        *by, "_right", F.explode(F.sequence(F.col(SLICE) + 1, F.col("_next"))).alias(SLICE)
+    ).withColumn("_t", F.timestamp_micros(F.col(SLICE) * (slice_seconds * 1_000_000)))
+    stacked = (
+        l_rows.unionByName(as_rows(r_slim, 1 if strict else 0)).unionByName(as_rows(carried, -1))
     )
-    stacked = l_rows.unionByName(r_rows).withColumn(SLICE, time_slice("_t", slice_seconds))
-    slices = stacked.groupBy(*keys).agg(
-        F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_t"))).alias("_last")
+    final = ends.groupBy(*by).agg(
+        F.max_by("_right", "_t").alias("_last"), F.max("_t").alias("_last_t")
     )
-    over_slices = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    edges = slices.select(*keys, F.last("_last", ignorenulls=True).over(over_slices).alias("_edge"))
     in_slice = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    found = F.last("_right", ignorenulls=True).over(in_slice)
-    joined = stacked.join(edges, keys).withColumn("_hit", F.coalesce(found, F.col("_edge")))
-    return joined.filter(F.col("_left").isNotNull()).select(
-        "_left.*", *[F.col(f"_hit.{c}").alias(c) for c in columns]
+    found = stacked.withColumn("_hit", F.last("_right", ignorenulls=True).over(in_slice)).filter(
+        F.col("_left").isNotNull()
+    )
+    after = F.col("_t") > F.col("_last_t") if strict else F.col("_t") >= F.col("_last_t")
+    joined = found.join(final, list(by), "left").withColumn(
+        "_hit", F.coalesce(F.col("_hit"), F.when(after, F.col("_last")))
     )
+    return joined.select("_left.*", *[F.col(f"_hit.{c}").alias(c) for c in columns])
 
 
 def align_features(

@@ -112,7 +112,7 @@ def aggregate_bars(
     )
 
 
-def indexed_ticks(ticks: DataFrame, slice_seconds: int = 3600) -> DataFrame:
+def indexed_ticks(ticks: DataFrame, slice_seconds: int = 900) -> DataFrame:
     """Valid quotes with mid, spread, volume and their position in the series."""
     quotes = with_mid_spread(ticks.filter((F.col("bid") > 0) & (F.col("ask") > 0)))
     volume = F.col("last_volume") if "last_volume" in ticks.columns else F.lit(1.0)
@@ -121,7 +121,7 @@ def indexed_ticks(ticks: DataFrame, slice_seconds: int = 3600) -> DataFrame:
 
 
 def tick_bars(
-    ticks: DataFrame, n: int = 100, emit_partial: bool = False, slice_seconds: int = 3600
+    ticks: DataFrame, n: int = 100, emit_partial: bool = False, slice_seconds: int = 900
 ) -> DataFrame:
     """A bar every ``n`` ticks; the unfinished last bar is dropped unless asked for."""
     rows = indexed_ticks(ticks, slice_seconds)
@@ -133,7 +133,7 @@ def tick_bars(
 
 def with_tick_direction(
     ticks: DataFrame, gamma: float | None = None, threshold: float = 0.5, n: int = 100,
-    slice_seconds: int = 3600,
+    slice_seconds: int = 900,
 ) -> DataFrame:
     """Sign of the mid change inside each ``n``-tick bar; 0 on the first tick of a bar.
 
@@ -293,7 +293,7 @@ def with_prev_close(df: DataFrame, w) -> DataFrame:
 
 def volume_bars(
     ticks: DataFrame, target: float = 100.0, source: str = "tick_count", grid: bool = False,
-    emit_partial: bool = False, slice_seconds: int = 3600, base_volume: float = 100.0,
+    emit_partial: bool = False, slice_seconds: int = 900, base_volume: float = 100.0,
 ) -> DataFrame:
     """Bars that close when their volume reaches ``target``.
 

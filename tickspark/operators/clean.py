@@ -20,14 +20,14 @@ def positive_spread(ticks: DataFrame) -> DataFrame:
     return ticks.filter(F.col("ask") - F.col("bid") > 0)
 
 
-def tick_returns(ticks: DataFrame, slice_seconds: int = 3600) -> DataFrame:
+def tick_returns(ticks: DataFrame, slice_seconds: int = 900) -> DataFrame:
     """Change of the mid against the tick before; NULL on the first."""
     rows = ticks if "mid" in ticks.columns else with_mid_spread(ticks)
     indexed = with_row_index(rows, slice_seconds=slice_seconds, carry=["mid"])
     return indexed.withColumn("tick_return", F.col("mid") - F.col("prev_mid"))
 
 
-def drop_outliers(ticks: DataFrame, k: float = 10.0, slice_seconds: int = 3600) -> DataFrame:
+def drop_outliers(ticks: DataFrame, k: float = 10.0, slice_seconds: int = 900) -> DataFrame:
     """Keep rows whose \\|mid change\\| is at most ``k`` sample deviations; the first row stays.
 
     One deviation per series: a table of one row per symbol joined back by key.

@@ -67,7 +67,7 @@ def imbalance_bar_ids(
 
 def imbalance_bars(
     ticks: DataFrame, expected_ticks: float = 50.0, expected_imbalance: float = 0.5,
-    alpha: float = 0.1, session_seconds: int = 86_400,
+    alpha: float = 0.1, session_seconds: int = 3_600,
 ) -> DataFrame:
     """Tick-imbalance bars; expectations and the open bar restart in every session."""
     rows = with_session(

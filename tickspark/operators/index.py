@@ -20,7 +20,7 @@ def with_row_index(
     df: DataFrame,
     by: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("ts", "seq"),
-    slice_seconds: int = 3600,
+    slice_seconds: int = 900,
     name: str = "row_idx",
     carry: Sequence[str] = (),
     keep_slice: bool = False,
