@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickspark.layout import BARS, OWN, Layout, own_rows, windowed, with_blocks
+from tickspark.layout import BARS, Layout, windowed
 from tickspark.operators.fold import adaptive_kalman
 from tickspark.operators.index import time_slice
-from tickspark.operators.scan import memory_rows
+from tickspark.operators.scan import Walk, memory_rows, walk_blocks
 
 # Scaling (low-pass) filter coefficients of the wavelets, each summing to sqrt(2).
 FILTERS = {
@@ -41,25 +41,15 @@ def kalman_gains(q: float, r: float, p0: float, bits: int = 52) -> list[tuple[fl
             return out
 
 
-def kalman(
-    df: DataFrame, col: str = "close", q: float = 0.1, r: float = 1.0, p0: float = 100.0,
-    layout: Layout = BARS,
-) -> DataFrame:
-    """Random-walk Kalman filter: estimate, residual, gain, uncertainty, residual in bps.
+def kalman_walk(
+    col: str = "close", q: float = 0.1, r: float = 1.0, p0: float = 100.0, layout: Layout = BARS
+) -> Walk:
+    """The filter as a walk over blocks, see :func:`kalman`."""
+    table = np.array(kalman_gains(q, r, p0))
+    names = ("kalman", "kalman_residual", "kalman_gain", "kalman_uncertainty")
+    idx = layout.idx
 
-    The gain does not depend on the data, only on the row number, so the estimate is a decaying
-    average; blocks start early enough for the starting value to vanish in rounding.
-    """
-    gains = kalman_gains(q, r, p0)
-    steady = gains[-1][0]
-    lookback = memory_rows(1 - steady) + 1
-    blocks = with_blocks(df, lookback, 0, layout)
-    names = ["kalman", "kalman_residual", "kalman_gain", "kalman_uncertainty"]
-    schema = T.StructType([*blocks.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-    idx, table = layout.idx, np.array(gains)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx, ignore_index=True)
+    def fn(pdf: pd.DataFrame) -> dict:
         row = np.minimum(pdf[idx].to_numpy(), len(table) - 1)
         gain, p = table[row, 0], table[row, 1]
         x, estimates, residuals = None, [], []
@@ -68,12 +58,27 @@ def kalman(
             x = z if x is None else x + k * residual
             estimates.append(x)
             residuals.append(residual)
-        added = dict(zip(names, (estimates, residuals, gain, p)))
-        return pdf.assign(**added)[pdf[OWN]]
+        return dict(zip(names, (estimates, residuals, gain, p)))
+
+    fields = [T.StructField(n, T.DoubleType()) for n in names]
+    return Walk(fn, fields, memory_rows(1 - table[-1, 0]) + 1)
 
-    out = own_rows(blocks.groupBy(*layout.keys).applyInPandas(run, schema))
+
+def with_residual_bps(df: DataFrame, col: str = "close") -> DataFrame:
     bps = F.when(F.col(col) > 0, F.col("kalman_residual") / F.col(col) * 1e4).otherwise(F.lit(0.0))
-    return out.withColumn("kalman_residual_bps", bps)
+    return df.withColumn("kalman_residual_bps", bps)
+
+
+def kalman(
+    df: DataFrame, col: str = "close", q: float = 0.1, r: float = 1.0, p0: float = 100.0,
+    layout: Layout = BARS,
+) -> DataFrame:
+    """Random-walk Kalman filter: estimate, residual, gain, uncertainty, residual in bps.
+
+    The gain does not depend on the data, only on the row number, so the estimate is a decaying
+    average; blocks start early enough for the starting value to vanish in rounding.
+    """
+    return with_residual_bps(walk_blocks(df, [kalman_walk(col, q, r, p0, layout)], layout), col)
 
 
 # ---------------------------------------------------------------- wavelets

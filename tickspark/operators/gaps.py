@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickspark.layout import BARS, OWN, Layout, own_rows, windowed, with_blocks
+from tickspark.layout import BARS, Layout, windowed
 from tickspark.operators.joins import event_window
-from tickspark.operators.scan import Cooldown, FollowThrough, LastKnown, block_scan
+from tickspark.operators.scan import (
+    Cooldown, FollowThrough, LastKnown, Walk, block_scan, walk_blocks,
+)
 
 EPSILON = 1e-10
 
@@ -151,23 +153,16 @@ def fvg_state_features(
     columns and ``atr``.  ``ce_*`` is the oldest live gap of a side whose midpoint lies within
     ``ce_bps`` of the close, with the edge that would protect an entry.
     """
-    idx = layout.idx
-    blocks = with_blocks(detected, max_age, 0, layout)
-    schema = T.StructType([*blocks.schema.fields, *ACTIVE_FIELDS.fields])
-    names = ACTIVE_FIELDS.fieldNames()
+    idx, names = layout.idx, ACTIVE_FIELDS.fieldNames()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx, ignore_index=True)
+    def fn(pdf: pd.DataFrame) -> dict:
         rows = pd.DataFrame(_active_rows(pdf, idx, max_age, max_active, ce_bps), columns=names)
-        for c in ("fvg_age_bars", "ce_bull_idx", "ce_bear_idx"):
-            rows[c] = rows[c].astype("Int64")
-        return pd.concat([pdf, rows], axis=1)[pdf[OWN]]
+        whole = {c: rows[c].astype("Int64") for c in ("fvg_age_bars", "ce_bull_idx", "ce_bear_idx")}
+        return {c: whole.get(c, rows[c]) for c in names}
 
-    out = own_rows(blocks.groupBy(*layout.keys).applyInPandas(run, schema))
+    out = walk_blocks(detected, [Walk(fn, ACTIVE_FIELDS.fields, max_age)], layout)
     unit = F.greatest(F.col("atr"), F.lit(EPSILON))
     offset = F.col("close") - F.col("_mid")
-    doubles = ["_size", "_mid", "fvg_filled_pct", "ce_bull_edge", "ce_bear_edge", "ce_bull_mid", "ce_bear_mid"]
-    out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
     return out.withColumns(
         {
             "fvg_size_atr": F.col("_size") / unit,

@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -61,30 +62,56 @@ def _run_decay(x: np.ndarray, decay: float, seed_rows: int, at_start: bool) -> n
     return out
 
 
-def decaying_scan(df: DataFrame, specs: Sequence[Decay], layout: Layout = BARS) -> DataFrame:
-    """Add one column per spec; all specs share one pass over the blocks."""
-    lookback = max(memory_rows(s.decay) + s.seed_rows + s.lead_rows for s in specs)
-    if lookback > layout.block_rows:
-        out = df
-        for spec in specs:
-            out = smoothed_on_rows(out, spec, layout)
-        return out
-    blocks = with_blocks(df, lookback, 0, layout)
-    idx, specs = layout.idx, list(specs)
-    schema = T.StructType(
-        [*blocks.schema.fields, *[T.StructField(s.out, T.DoubleType()) for s in specs]]
-    )
+class Walk(NamedTuple):
+    """A function of the ordered rows of a block (halo included) that gives new columns."""
+
+    fn: Callable[[pd.DataFrame], dict]
+    fields: Sequence[T.StructField]
+    lookback: int
+
+
+def walk_blocks(df: DataFrame, walks: Sequence[Walk], layout: Layout = BARS) -> DataFrame:
+    """Run several independent walks in one pass over the blocks.
+
+    Each must need at most its ``lookback`` rows before the block.
+    """
+    blocks = with_blocks(df, max(w.lookback for w in walks), 0, layout)
+    fields = [f for w in walks for f in w.fields]
+    idx, fns = layout.idx, [w.fn for w in walks]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx, ignore_index=True)
-        at_start = bool(pdf[idx].iloc[0] == 0)
-        for s in specs:
-            x = pdf[s.source].to_numpy(dtype="float64", na_value=np.nan)
-            pdf[s.out] = _run_decay(x, s.decay, s.seed_rows, at_start)
+        for fn in fns:
+            pdf = pdf.assign(**fn(pdf))
         return pdf[pdf[OWN]]
 
-    out = blocks.groupBy(*layout.keys).applyInPandas(run, schema)
-    return own_rows(_nan_to_null(out, [s.out for s in specs]))
+    out = blocks.groupBy(*layout.keys).applyInPandas(run, T.StructType([*blocks.schema.fields, *fields]))
+    doubles = [f.name for f in fields if isinstance(f.dataType, T.DoubleType)]
+    return own_rows(_nan_to_null(out, doubles))
+
+
+def decay_walk(specs: Sequence[Decay], layout: Layout = BARS) -> Walk:
+    """Decaying recurrences as a walk; their memory must fit into a block."""
+    specs, idx = list(specs), layout.idx
+
+    def fn(pdf: pd.DataFrame) -> dict:
+        at_start = bool(pdf[idx].iloc[0] == 0)
+        values = {s.source: pdf[s.source].to_numpy(dtype="float64", na_value=np.nan) for s in specs}
+        return {s.out: _run_decay(values[s.source], s.decay, s.seed_rows, at_start) for s in specs}
+
+    lookback = max(memory_rows(s.decay) + s.seed_rows + s.lead_rows for s in specs)
+    return Walk(fn, [T.StructField(s.out, T.DoubleType()) for s in specs], lookback)
+
+
+def decaying_scan(df: DataFrame, specs: Sequence[Decay], layout: Layout = BARS) -> DataFrame:
+    """Add one column per spec in one pass; memories longer than a block use the block scan."""
+    walk = decay_walk(specs, layout)
+    if walk.lookback <= layout.block_rows:
+        return walk_blocks(df, [walk], layout)
+    out = df
+    for spec in specs:
+        out = smoothed_on_rows(out, spec, layout)
+    return out
 
 
 def _nan_to_null(df: DataFrame, columns: Iterable[str]) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickspark.layout import BARS, OWN, Layout, own_rows, windowed, with_blocks
-from tickspark.operators.scan import LastKnown, block_scan, cooldown
+from tickspark.layout import BARS, Layout, windowed
+from tickspark.operators.scan import LastKnown, Walk, block_scan, cooldown, walk_blocks
 
 
 # ---------------------------------------------------------------- primary signals
@@ -203,17 +203,14 @@ def rolling_quantiles(df: DataFrame, col: str, n: int, qs: Sequence[float], layo
     The windowed ``percentile`` of Spark sorts the frame anew for every row; the rolling
     quantile of pandas updates it, so the blocks are walked there.
     """
-    blocks = with_blocks(df, n - 1, 0, layout)
     names = [f"_q{k}" for k in range(len(qs))]
-    schema = T.StructType([*blocks.schema.fields, *[T.StructField(c, T.DoubleType()) for c in names]])
-    idx = layout.idx
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx, ignore_index=True)
+    def fn(pdf: pd.DataFrame) -> dict:
         window = pdf[col].rolling(n, min_periods=1)
-        return pdf.assign(**{c: window.quantile(q / 100) for c, q in zip(names, qs)})[pdf[OWN]]
+        return {c: window.quantile(q / 100) for c, q in zip(names, qs)}
 
-    return own_rows(blocks.groupBy(*layout.keys).applyInPandas(run, schema))
+    walk = Walk(fn, [T.StructField(c, T.DoubleType()) for c in names], n - 1)
+    return walk_blocks(df, [walk], layout)
 
 
 def _percent(q: float) -> float:

@@ -12,7 +12,7 @@ from tickspark.operators import asof, calendar, denoise, gaps, price, trend, vpi
 from tickspark.operators.bars import index_time_bars, time_bars
 from tickspark.operators.clean import with_is_valid
 from tickspark.operators.joins import with_features
-from tickspark.operators.scan import Decay, block_scan, decaying_scan
+from tickspark.operators.scan import Decay, block_scan, decay_walk, decaying_scan, walk_blocks
 from tickspark.schema import FEATURE_NAMES, clip_zscores, fill_defaults
 from tickspark.session import materialize
 
@@ -43,19 +43,19 @@ class FeatureConfig:
     trend: trend.SuperTrend = trend.SuperTrend()
 
 
-def recursive_features(df: DataFrame, layout: Layout = BARS) -> DataFrame:
-    """tick_intensity, pdi and micro_volatility_pct in one pass; needs ``log_return``."""
+def recursive_features(df: DataFrame, layout: Layout = BARS, with_kalman: bool = False) -> DataFrame:
+    """tick_intensity, pdi, micro_volatility_pct and the Kalman columns in one pass; needs ``log_return``."""
     dt_log = F.log(F.greatest(F.col("duration_ms"), F.lit(1.0)) + 1e-10)
     r = F.col("log_return") * 100
     inputs = df.withColumns({"_inv": 1 / F.greatest(dt_log, F.lit(0.1)), "_sq": r * r})
-    out = decaying_scan(
-        inputs,
-        [
-            Decay("tick_intensity", "_inv", 1 - INTENSITY_ALPHA),
-            Decay("_var", "_sq", MICRO_VOL_LAMBDA),
-        ],
-        layout,
-    )
+    specs = [
+        Decay("tick_intensity", "_inv", 1 - INTENSITY_ALPHA), Decay("_var", "_sq", MICRO_VOL_LAMBDA),
+    ]
+    if with_kalman:
+        walks = [decay_walk(specs, layout), denoise.kalman_walk("close", layout=layout)]
+        out = denoise.with_residual_bps(walk_blocks(inputs, walks, layout))
+    else:
+        out = decaying_scan(inputs, specs, layout)
     return out.withColumns(
         {
             "pdi": F.signum("log_return") * F.col("tick_intensity"),
@@ -147,9 +147,7 @@ def feature_table(
         bars = materialize(bars, "bars")
     narrow = bars.select(*NARROW)
     keys = ["symbol", "bar_idx"]
-    rolling = denoise.kalman(
-        recursive_features(rolling_features(bars, cfg, layout), layout), "close", layout=layout
-    )
+    rolling = recursive_features(rolling_features(bars, cfg, layout), layout, with_kalman=True)
     trends = trend.trend_columns(trend.pivot_supertrend(narrow, cfg.trend, layout))
     higher = asof.align_features(
         bars.select(*keys, "open_time"), higher_timeframe(narrow, cfg), HIGHER_COLUMNS, causal=causal,
