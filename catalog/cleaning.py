@@ -47,7 +47,9 @@ def _(spark, sf):
     return t.select("seq", parse_ts(text).alias("parsed"))
 
 
-@query("S3_detect_columns", "field:s column_name:s n:i")
+@query("S3_detect_columns", "field:s column_name:s n:i",
+       """select 'time' as field, 'Time (EET)' as column_name, count(ts) as n from events union all
+          select 'bid', 'Bid', count(value) from events union all select 'ask', 'Ask', count(value) from events""")
 def _(spark, sf):
     t = ticks(spark, sf).withColumnsRenamed({"ts": "Time (EET)", "bid": "Bid", "ask": "Ask"})
     found = {k: v for k, v in src.detect_columns(t).items() if v}
@@ -81,7 +83,8 @@ def _(spark, sf):
     return src.most_recent(ticks(spark, sf), 500)
 
 
-@query("S6_convert", "compression:s n_rows:i")
+@query("S6_convert", "compression:s n_rows:i",
+       "select unnest(['snappy', 'gzip', 'zstd', 'none']) as compression, (select count(*) from events) as n_rows")
 def _(spark, sf):
     t = ticks(spark, sf)
     reports = [tables.convert(t, scratch_path(spark, f"conv-{c}"), c) for c in tables.CODECS]
@@ -179,7 +182,7 @@ def _(spark, sf):
     return tables.tick_facts(dirty_ticks(spark, sf))
 
 
-@query("S12_bounded_intake", "batches:i n:i")
+@query("S12_bounded_intake", "batches:i n:i", "select 6 // 2 as batches, count(*) as n from events")
 def _(spark, sf):
     path = scratch_path(spark, "small-files")
     ticks(spark, sf).repartition(6, "seq").write.parquet(path)

@@ -89,7 +89,21 @@ def _(spark, sf):
     return denoise.kalman(bars(spark, sf))
 
 
-@query("N2_adaptive_kalman", ID + "kalman:f kalman_residual:f kalman_gain:f")
+@query("N2_adaptive_kalman", ID + "kalman:f kalman_residual:f kalman_gain:f",
+       f"""with recursive {BARS}, ss as (select symbol, bar_idx, close as z, epoch_us(open_time) // 864000000000 as sn from bars),
+       rn as (select *, row_number() over (partition by symbol, sn order by bar_idx) as k from ss),
+       ak as (select symbol, sn, bar_idx, k, z as x, 100.0::double as p, 0.1::double as q, 1.0::double as r, [0.0::double] as rec,
+           0.0::double as res, 1.0::double as gain from rn where k = 1
+         union all select symbol, sn, bar_idx, k, nx, np,
+           case when len(nrec) < 10 then q when list_min(nrec[-3:]) > 0 or list_max(nrec[-3:]) < 0 then q * 1.1 else q * 0.99 + 0.001 end,
+           case when len(nrec) < 10 then r when ratio > 1.5 then r * 1.05 when ratio < 0.5 then greatest(r * 0.95, 0.01) else r end,
+           nrec, nres, g from (
+           select *, list_aggregate(nrec, 'var_pop') / (q + r + 1e-10) as ratio from (
+             select *, x + g * nres as nx, (1 - g) * ahead as np, list_append(rec, nres)[-20:] as nrec from (
+               select n.symbol, n.sn, n.bar_idx, n.k, a.x, a.q, a.r, a.rec, a.p + a.q as ahead,
+                 (a.p + a.q) / (a.p + a.q + a.r) as g, n.z - a.x as nres
+               from ak a join rn n on n.symbol = a.symbol and n.sn = a.sn and n.k = a.k + 1))))
+       select symbol, bar_idx, x as kalman, res as kalman_residual, gain as kalman_gain from ak""")
 def _(spark, sf):
     return fold.adaptive_kalman(bars(spark, sf), session_seconds=10 * 86_400)
 
@@ -106,7 +120,21 @@ def _(spark, sf):
     return denoise.wavelet_decompose(bars(spark, sf), "close", 2)
 
 
-@query("N4_wavelet_decompose_db4", ID + "detail_1:f detail_2:f detail_3:f wavelet_trend:f close:f")
+def filter_sql(level: int, taps) -> str:
+    """CTEs ``w1`` .. of the backward-looking transform with the given filter."""
+    parts, source, value = [], "bars", "close"
+    for j in range(1, level + 1):
+        gap = 2 ** (j - 1)
+        terms = [f"{h / sum(taps)} * " + (value if k == 0 else f"coalesce(lag({value}, {gap * k}) {P}, {value})")
+                 for k, h in enumerate(taps)]
+        parts.append(f"w{j} as (select *, {' + '.join(terms)} as s{j} from {source})")
+        source, value = f"w{j}", f"s{j}"
+    return ", ".join(parts)
+
+
+@query("N4_wavelet_decompose_db4", ID + "detail_1:f detail_2:f detail_3:f wavelet_trend:f close:f",
+       f"""with {BARS}, {filter_sql(3, denoise.FILTERS['db4'])} select *, close - s1 as detail_1, s1 - s2 as detail_2,
+       s2 - s3 as detail_3, s3 as wavelet_trend from w3""")
 def _(spark, sf):
     return denoise.wavelet_decompose(bars(spark, sf), "close", 3, "db4")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from catalog.base import BARS, bars, gap_bars, query, table
-from catalog.features import ID
-from catalog.gaps import POSITIONS, position_ticks
+from catalog.features import ID, INV, RET, THERMO, VPIN, ewma_sql, st_features_sql, supertrend_sql, w, zscore_sql
+from catalog.gaps import ACTIVE, AGE, CAL, DAILY, DET, EVENT, MIN_BPS, POSITIONS, position_ticks
+from catalog.indicators import HAAR, KAL
 from catalog.labels import labelled
 from tickspark import schema
 from tickspark.operators import exits
@@ -77,10 +80,64 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- feature table and models
 
-SHORT = FeatureConfig(bucket_volume=100.0, n_buckets=10, higher_seconds=86_400, gap_min_bps=5.0, wavelet="haar")
-
-
-@query("feature_table", ID + " ".join(f"{n}:f" for n in schema.FEATURE_NAMES) + " is_valid:b")
+SHORT = FeatureConfig(
+    bucket_volume=100.0, n_buckets=10, higher_seconds=86_400, gap_min_bps=MIN_BPS, gap_max_age=AGE, wavelet="haar"
+)
+
+
+def renamed(sql: str, names: str) -> str:
+    """The same CTEs under other names, to use them twice."""
+    return re.sub(rf"\b({names})\b", r"h_\1", sql)
+
+
+VPIN_50 = VPIN[len(RET) + 2:].replace("// 5", "// 50").replace("1) % 5 ", "1) % 50 ").replace("count(*) = 5)", "count(*) = 50)")
+HIGHER = renamed(f"{supertrend_sql('hi')}, {st_features_sql('_15m')}", "tr0|tr1|tr2|pv0|pv1|pv|pw|sr|st|sf")
+UP_DOWN = " + ".join(
+    f"case when {c} > 0 then {c} / greatest(up + dn, 1) * ln({c} / greatest(up + dn, 1) + 1e-10) else 0 end" for c in ("up", "dn")
+)
+FEATURE_SQL = f"""with recursive {DET}{ACTIVE}{EVENT}, {INV[len(BARS) + 2:]}, {ewma_sql('inv', 'x', 0.9, 'ti')},
+  sq as (select symbol, bar_idx, power(log_return * 100, 2) as x from ret), {ewma_sql('sq', 'x', 0.94, 'mv')},
+  {THERMO[len(RET) + 2:]}, {KAL[len(BARS) + 2:]}, {HAAR}, {VPIN_50}, {supertrend_sql('bars')}, {DAILY[len(BARS) + 2:]}, {HIGHER},
+  {CAL[len(BARS) + 2:]},
+  ro as (select *, {zscore_sql('log_return', 100)} as zr, sum(imbalance) {w(20)} as oc,
+      sum(imbalance / greatest(duration_ms, 1.0)) {w(20)} as ow, lag(close, 50) over (partition by symbol order by bar_idx) as p50,
+      sum(tick_count) {w(50)} as n50, case when count(*) {w(20)} = 20 then sqrt(sum(power(log_return * 100, 2)) {w(20)}) end as rv from th),
+  wv as (select *, (var_pop(wavelet_trend) {w(100)}) / ((var_pop(close) {w(100)}) + 1e-10) as tratio from haar),
+  vf as (select symbol, bar_idx, vpin, coalesce(vpin, 0.0) as v0 from vb),
+  vz as (select *, {zscore_sql('v0', 100)} as zv from vf),
+  sc as (select *, case when session <> coalesce(lag(session) over (partition by symbol order by bar_idx), 4) and session <> 4
+      then bar_idx end as started, (epoch_us(open_time) % 86400000000) / 60000000.0 as mi from ses),
+  sa as (select *, bar_idx - coalesce(max(started) over (partition by symbol order by bar_idx rows between unbounded preceding and current row), 0) as age from sc),
+  hb as (select b.symbol, b.bar_idx, h.mid_15m_range, h.atr_15m, h.st_trend_15m, h.st_distance_15m, h.st_bars_since_flip_15m, h.st_slope_15m,
+      h.st_bandwidth_15m from bars b asof left join h_sf h on h.symbol = b.symbol and h.end_time <= b.open_time),
+  jn as (select ro.symbol, ro.bar_idx, ro.log_return, greatest(-5, least(5, zr)) as log_return_zscore,
+    ro.spread_sum / greatest(ro.tick_count, 1) / ro.close * 1e4 as spread_bps, ln(ro.dt + 1e-10) as delta_t_log, ti_r.y as tick_intensity,
+    oc as ofi_count, ow as ofi_weighted, abs(ro.close - p50) / p50 * 100 / n50 as kyle_lambda_pct, sign(ro.log_return) * ti_r.y as pdi,
+    sqrt(mv_r.y) as micro_volatility_pct, rv as realized_volatility_pct, temp as market_temperature,
+    case when cnt = 50 then -({UP_DOWN}) end as market_entropy,
+    case when temp < 0.02 then 0 when temp < 0.2 then 1 when temp < 1.0 then 3 when temp is not null then 2 end as ts_phase,
+    vz.vpin, greatest(-5, least(5, zv)) as vpin_zscore, (ro.close - st.st_line) / ro.close * 100 as trend_deviation, st.st_dir as trend_direction,
+    st.trend_duration, kr.res / ro.close * 1e4 as kalman_residual_bps, kr.k as kalman_gain, wv.detail_1 * wv.detail_1 as wavelet_energy_1,
+    wv.detail_2 * wv.detail_2 as wavelet_energy_2, tratio as wavelet_trend_ratio, act.bullish_fvg, act.bearish_fvg, act.fvg_size_atr,
+    act.fvg_age_bars, act.price_to_fvg_mid, act.fvg_filled_pct, act.active_fvg_count, act.nearest_fvg_distance, ev.fvg_event,
+    ev.fvg_impulse_atr, case when hb.mid_15m_range > 0 then (ro.close - hb.mid_15m_range) / hb.atr_15m else 0 end as fvg_location_15m,
+    ev.fvg_follow_up_3, ev.fvg_follow_dn_3, ev.fvg_follow_bars, ev.fvg_follow_net, hb.st_trend_15m, hb.st_distance_15m,
+    hb.st_bars_since_flip_15m, hb.st_slope_15m, hb.st_bandwidth_15m, sa.session, sa.hour_of_day, sa.minute_of_hour, sa.day_of_week,
+    sa.age as bars_from_session_open,
+    ((mi >= 0 and mi < 30) or (mi >= 480 and mi < 510) or (mi >= 780 and mi < 810))::int as is_session_open,
+    ((mi >= 450 and mi < 480) or (mi >= 930 and mi < 960) or (mi >= 1230 and mi < 1260))::int as is_session_close,
+    sin(2 * pi() * (sa.hour_of_day + sa.minute_of_hour / 60.0) / 24) as hour_sin, cos(2 * pi() * (sa.hour_of_day + sa.minute_of_hour / 60.0) / 24) as hour_cos,
+    hb.st_trend_15m * (act.bullish_fvg - act.bearish_fvg) as trend_fvg_alignment, abs(hb.st_distance_15m) * act.fvg_size_atr as trend_strength_x_fvg,
+    hb.st_bars_since_flip_15m * sqrt(mv_r.y) as trend_duration_x_vol, hb.st_distance_15m * act.price_to_fvg_mid as trend_fvg_distance,
+    sa.session * hb.st_trend_15m as session_trend_interaction, hb.st_trend_15m * ev.fvg_event as st_alignment,
+    ev.atr / hb.atr_15m as atr_ratio_1m_15m, ev.atr as atr_1m, hb.atr_15m, hb.mid_15m_range
+    from ro join ti_r using (symbol, bar_idx) join mv_r using (symbol, bar_idx) join kr using (symbol, bar_idx) join wv using (symbol, bar_idx)
+    join act using (symbol, bar_idx) join ev using (symbol, bar_idx) join vz using (symbol, bar_idx) join st using (symbol, bar_idx)
+    join hb using (symbol, bar_idx) join sa using (symbol, bar_idx))
+  select symbol, bar_idx, true as is_valid, {', '.join(f'coalesce({n}, 0) as {n}' for n in schema.FEATURE_NAMES)} from jn"""
+
+
+@query("feature_table", ID + " ".join(f"{n}:f" for n in schema.FEATURE_NAMES) + " is_valid:b", FEATURE_SQL)
 def _(spark, sf):
     return feature_table(gap_bars(spark, sf), SHORT)
 
