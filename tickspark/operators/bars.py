@@ -45,9 +45,9 @@ def _pieces(
 ) -> DataFrame:
     """Aggregate the part of a bar that lies in one time slice.
 
-    ``rows`` are already distributed by (series, slice), so this moves nothing.
+    ``rows`` are already distributed by (series, slice) and sorted, so this moves nothing.
     """
-    in_slice = Window.partitionBy(*by, SLICE).orderBy("row_idx")
+    in_slice = Window.partitionBy(*by, SLICE).orderBy("ts", "seq")
     bar_id = keys[-1]
     stepped = rows.withColumns(
         {

@@ -188,23 +188,32 @@ class MidExit:
         return None
 
 
+#: Positions walked in one group: enough to amortise the hand-over to Python, still small.
+POSITIONS_PER_GROUP = 256
+
+
 def _actions(pdf: pd.DataFrame, make: Callable) -> pd.DataFrame:
-    pdf = pdf.sort_values("row_idx")
-    first = pdf.iloc[0]
-    position = make(
-        int(first["direction"]), float(first["entry_price"]), float(first["_opened"]),
-        float(first["lots"]), float(first["stop_loss"]), first["trend_alignment"],
-    )
-    out = []
-    for row, bid, ask, now in zip(pdf["row_idx"], pdf["bid"], pdf["ask"], pdf["_now"]):
+    """Walk the ticks of the positions in ``pdf``, one position after the other."""
+    pdf = pdf.sort_values(["ticket", "row_idx"])
+    columns = [
+        "symbol", "ticket", "row_idx", "bid", "ask", "_now", "direction", "entry_price", "_opened", "lots",
+        "stop_loss", "trend_alignment",
+    ]
+    out, current, position = [], None, None
+    for symbol, ticket, row, bid, ask, now, *opening in zip(*(pdf[c].tolist() for c in columns)):
+        if ticket != current:
+            current, position = ticket, make(*opening)
+        if position is None:  # closed
+            continue
         action, price, pnl = position.tick(bid, ask, now)
         if action is None:
             continue
         name, stage, stop, lots = action
-        out.append((first["symbol"], int(first["ticket"]), int(row), name, stage, price, stop, lots, pnl))
+        out.append((symbol, ticket, row, name, stage, price, stop, lots, pnl))
         if name == "FULL_CLOSE":
-            break
-    return pd.DataFrame(out, columns=ACTION_SCHEMA.fieldNames()).astype({"new_sl": "float64", "close_lots": "float64"})
+            position = None
+    frame = pd.DataFrame(out, columns=ACTION_SCHEMA.fieldNames())
+    return frame.astype({"new_sl": "float64", "close_lots": "float64"})
 
 
 def _run(position_ticks: DataFrame, make: Callable) -> DataFrame:
@@ -212,8 +221,8 @@ def _run(position_ticks: DataFrame, make: Callable) -> DataFrame:
         "symbol", "ticket", "row_idx", "direction", "entry_price", "lots", "stop_loss", "trend_alignment",
         "bid", "ask", (F.unix_micros("ts") / 1e6).alias("_now"),
         (F.unix_micros("entry_time") / 1e6).alias("_opened"),
-    )
-    out = rows.groupBy("symbol", "ticket").applyInPandas(lambda pdf: _actions(pdf, make), ACTION_SCHEMA)
+    ).withColumn("_group", F.floor(F.col("ticket") / POSITIONS_PER_GROUP))
+    out = rows.groupBy("symbol", "_group").applyInPandas(lambda pdf: _actions(pdf, make), ACTION_SCHEMA)
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("new_sl", "close_lots")})
 
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE = "_slice"
 
@@ -16,6 +17,21 @@ def time_slice(ts: str | Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(col) / (seconds * 1_000_000)).cast("long")
 
 
+def _order_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """One comparable value for ``order``.
+
+    A (timestamp, whole number) pair becomes one decimal: unlike a struct it fits the fixed-width
+    buffers of hash aggregation, so finding the last row needs no sort.
+    """
+    types = [df.schema[c].dataType for c in order]
+    whole = (T.LongType, T.IntegerType)
+    if len(order) == 2 and isinstance(types[0], T.TimestampType) and isinstance(types[1], whole):
+        micros, seq = F.unix_micros(order[0]), F.col(order[1])
+        shifted = micros.cast("decimal(18,0)") * F.lit(str(10 ** 19)).cast("decimal(20,0)")
+        return (shifted + seq.cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.struct(*order)
+
+
 def with_row_index(
     df: DataFrame,
     by: Sequence[str] = ("symbol",),
@@ -39,14 +55,14 @@ def with_row_index(
     keys = [*by, SLICE]
     aggs = [F.count(F.lit(1)).alias("_n")]
     if carry:
-        last = F.max(F.struct(*order, *[F.col(c).alias(f"_v_{c}") for c in carry]))
-        aggs.append(last.alias("_last"))
+        key = _order_key(df, order)
+        aggs += [F.max_by(c, key).alias(f"_last_{c}") for c in carry]
     over_slices = Window.partitionBy(*by).orderBy(SLICE)
     before = over_slices.rowsBetween(Window.unboundedPreceding, -1)
     offsets = sliced.groupBy(*keys).agg(*aggs).select(
         *keys,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        *[F.lag(f"_last._v_{c}").over(over_slices).alias(f"_edge_{c}") for c in carry],
+        *[F.lag(f"_last_{c}").over(over_slices).alias(f"_edge_{c}") for c in carry],
     )
     in_slice = Window.partitionBy(*keys).orderBy(*order)
     out = sliced.join(offsets, keys).withColumns(

@@ -32,33 +32,36 @@ def ranking_metrics(
         F.sum(y * wt).alias("wpos"), F.sum((1 - y) * wt).alias("wneg"),
     )
     sides = ("pos", "neg", "wpos", "wneg")
-    totals = merged.groupBy(*by).agg(*[F.sum(c).alias(f"t_{c}") for c in sides])
     sliced = merged.withColumns(
         {SLICE: -F.floor(F.col("_s") * parts).cast("long"), "_d": -F.col("_s")}
     )
     ranked = running(sliced, by, [SLICE], ["_d"], {f"c_{c}": ("sum", c) for c in sides})
-    rows = ranked.join(totals, list(by)) if by else ranked.crossJoin(F.broadcast(totals))
 
-    def roc(p: str, n: str) -> Column:
-        before = F.col(f"c_{p}") - F.col(p)
-        return F.sum(_div(F.col(n) * (before + F.col(p) / 2), F.col(f"t_{p}") * F.col(f"t_{n}")))
+    def area(p: str, n: str) -> Column:
+        """Pairs of a negative and a higher positive, ties half."""
+        return F.sum(F.col(n) * (F.col(f"c_{p}") - F.col(p) / 2))
 
-    def average_precision(p: str, n: str) -> Column:
-        precision = _div(F.col(f"c_{p}"), F.col(f"c_{p}") + F.col(f"c_{n}"))
-        return F.sum(_div(F.col(p), F.col(f"t_{p}")) * precision)
+    def precision_sum(p: str, n: str) -> Column:
+        return F.sum(F.col(p) * _div(F.col(f"c_{p}"), F.col(f"c_{p}") + F.col(f"c_{n}")))
 
-    both = F.max((F.col("t_pos") > 0) & (F.col("t_neg") > 0))
-    rate, wrate = (F.max(_div(F.col(f"t_{p}"), F.col(f"t_{p}") + F.col(f"t_{n}")))
-                   for p, n in (("pos", "neg"), ("wpos", "wneg")))
+    sums = ranked.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in sides], area("pos", "neg").alias("area"),
+        area("wpos", "wneg").alias("warea"), precision_sum("pos", "neg").alias("ap"),
+        precision_sum("wpos", "wneg").alias("wap"),
+    )
+    both = (F.col("pos") > 0) & (F.col("neg") > 0)
+
+    def auc(value: str, p: str, n: str) -> Column:
+        return F.when(both, _div(F.col(value), F.col(p) * F.col(n))).otherwise(F.lit(0.5))
 
-    def guarded(value: Column, default: Column) -> Column:
-        return F.when(both, value).otherwise(default)
+    def average_precision(value: str, p: str, n: str) -> Column:
+        rate = _div(F.col(p), F.col(p) + F.col(n))
+        return F.when(both, _div(F.col(value), F.col(p))).otherwise(rate)
 
-    return rows.groupBy(*by).agg(
-        guarded(roc("pos", "neg"), F.lit(0.5)).alias("roc_auc"),
-        guarded(average_precision("pos", "neg"), rate).alias("pr_auc"),
-        guarded(roc("wpos", "wneg"), F.lit(0.5)).alias("weighted_roc_auc"),
-        guarded(average_precision("wpos", "wneg"), wrate).alias("weighted_pr_auc"),
+    return sums.select(
+        *by, auc("area", "pos", "neg").alias("roc_auc"), average_precision("ap", "pos", "neg").alias("pr_auc"),
+        auc("warea", "wpos", "wneg").alias("weighted_roc_auc"),
+        average_precision("wap", "wpos", "wneg").alias("weighted_pr_auc"),
     )
 
 
