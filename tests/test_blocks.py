@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.util import assert_same, keyed
 from tickspark.layout import Layout, run_blocked
 from tickspark.operators import asof, calendar, classic, denoise, gaps, labels, price, scan, signals, trend, vpin
-from tickspark.operators.bars import tick_bars
+from tickspark.operators.bars import tick_bars, volume_bars
 
 WIDE = Layout()
 
@@ -114,3 +114,14 @@ def test_time_slices_do_not_matter(spark):
     t = ticks(spark, SF)
     a = keyed(tick_bars(t, 7, slice_seconds=600), columns)
     assert_same(a, keyed(tick_bars(t, 7, slice_seconds=40 * 86_400), columns))
+
+
+def test_volume_bars(spark):
+    from catalog.base import ticks
+    from tests.conftest import SF
+
+    t = ticks(spark, SF)
+    narrow = Layout(idx="row_idx", block_rows=130)
+    columns = ["open", "close", "volume", "tick_count", "buy_count"]
+    a = keyed(volume_bars(t, 61.0, "real", layout=narrow), columns)
+    assert_same(a, keyed(volume_bars(t, 61.0, "real"), columns))

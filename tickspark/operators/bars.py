@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickspark.layout import Layout, windowed
+from tickspark.layout import TICKS, Layout, windowed
 from tickspark.operators.index import SLICE, with_row_index
 from tickspark.operators.scan import volume_resets
 
@@ -294,6 +294,7 @@ def with_prev_close(df: DataFrame, w) -> DataFrame:
 def volume_bars(
     ticks: DataFrame, target: float = 100.0, source: str = "tick_count", grid: bool = False,
     emit_partial: bool = False, slice_seconds: int = 900, base_volume: float = 100.0,
+    layout: Layout = TICKS,
 ) -> DataFrame:
     """Bars that close when their volume reaches ``target``.
 
@@ -312,7 +313,6 @@ def volume_bars(
             "bar_idx", F.floor(F.col("_before") / target).cast("long")
         ).withColumn("_done", F.floor(F.col("_after") / target) > F.col("bar_idx"))
     else:
-        layout = Layout(idx="row_idx")
         rows = volume_resets(rows, "volume", target, layout).withColumnsRenamed(
             {"bucket": "bar_idx", "closes_bucket": "_done"}
         )
