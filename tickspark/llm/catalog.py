@@ -1,9 +1,12 @@
 """The registered queries of the corpus operators: name to (function, SQL or None)."""
 
-from tickspark.llm import rules, sharding, warc
+from tickspark.llm import langid, quality_fm, rules, sharding, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": (toxicity.op1, None),
     "op2_warc_fixity": (warc.op2, warc.OP2_SQL),
+    "op3_quality": (quality_fm.op3, None),
     "op8_quality_rules": (rules.op8, None),
+    "op9_langid": (langid.op9, None),
     "op10_sharding": (sharding.op10, None),
 }

@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 
 from tickspark.session import configure, materialize
 
+#: Most rows and bytes of one batch that a Python worker is given.
+BATCH_ROWS, BATCH_BYTES = "1000", str(32 << 20)
 #: Words in one shingle.
 SHINGLE = 5
 #: White space between words, as a regular expression class.
@@ -22,7 +24,11 @@ SPACE = r"\x20\x09-\x0D"
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A supplied table; the session is prepared on the way."""
-    return configure(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    spark = configure(spark)
+    # Texts can be long: a worker holds few of them at once.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def fold(doc_id: str | Column, parts: int) -> Column:
