@@ -31,15 +31,22 @@ DIM = 8
 PASSAGE = 16
 NGRAMS = (3, 4, 5)
 #: Most labelled rows taken for learning: clean, toxic.
-MAX_ROWS = (8000, 2500)
+MAX_ROWS = (5000, 1500)
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’¡¿…"
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of many words at once: bucket and owner (position of the word)."""
+    """Hashed n-grams of many words at once: the buckets of all words in turn, and how many each has."""
+    parts = [_subwords(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
+    if not parts:
+        return np.empty(0, np.int32), np.empty(0, np.int32)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     bare = [w.strip(STRIP) or w for w in words]
     points = np.frombuffer("".join(f"<{w}>" for w in bare).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(bare)), np.fromiter((len(w) + 2 for w in bare), np.int64, len(bare)))
+    owner = np.repeat(np.arange(len(bare), dtype=np.int32), np.fromiter((len(w) + 2 for w in bare), np.int64, len(bare)))
     ids, owners = [], []
     for n in NGRAMS:
         m = len(points) - n + 1
@@ -49,13 +56,14 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             h = h * np.uint64(0x100000001B3) + points[k : k + m]
         inside = owner[:m] == owner[n - 1 : n - 1 + m]
-        ids.append(mix(h[inside]))
+        ids.append(mix(h[inside]) % np.uint64(BUCKETS))
         owners.append(owner[:m][inside])
-    ids.append(np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in bare), np.uint64, len(bare)))
-    owners.append(np.arange(len(bare)))
-    flat, own = np.concatenate(ids), np.concatenate(owners)
+    whole = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in bare), np.uint64, len(bare))
+    ids.append(whole % np.uint64(BUCKETS))
+    owners.append(np.arange(len(bare), dtype=np.int32))
+    own = np.concatenate(owners)
     order = np.argsort(own, kind="stable")
-    return (flat[order] % np.uint64(BUCKETS)).astype(np.int64), own[order]
+    return np.concatenate(ids).astype(np.int32)[order], np.bincount(own, minlength=len(bare)).astype(np.int32)
 
 
 def tokens(text: str) -> list[str]:
@@ -89,8 +97,10 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
-def _word_effects(effect: np.ndarray, ids: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(owner, effect[ids], n) / np.bincount(owner, minlength=n)
+def _word_effects(effect: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Mean effect of each word's n-grams; every word has one at least."""
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    return np.add.reduceat(effect[flat], starts) / sizes
 
 
 def _softmax_step(m: Model, memory: list[np.ndarray], words: np.ndarray, lengths: np.ndarray, y: np.ndarray,
@@ -120,16 +130,15 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 12, rate: float = 0
     rng = np.random.default_rng(seed)
     m = Model(rng.normal(0, 0.01, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2))
     number: dict[str, int] = {}
-    docs = [np.fromiter((number.setdefault(w, len(number)) for w in tokens(t)), np.int64) for t in texts]
+    docs = [np.fromiter((number.setdefault(w, len(number)) for w in tokens(t)), np.int32) for t in texts]
     docs_ok = np.array([len(d) > 0 for d in docs])
     if len(set(toxic[docs_ok].tolist())) < 2:
         rate_toxic = float(np.clip(toxic.mean() if len(toxic) else 0, 1e-6, 1 - 1e-6))
         m.embedding[:] = 0
         m.shift = float(np.log(rate_toxic / (1 - rate_toxic)))
         return m
-    flat, owner = subwords(list(number))
-    sizes = np.bincount(owner, minlength=len(number))
-    start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    flat, sizes = subwords(list(number))
+    start = np.cumsum(sizes, dtype=np.int64) - sizes
     edges = [passages(len(d)) for d in docs]
     begins = np.concatenate([e + o for e, o in zip(edges, np.concatenate(([0], np.cumsum([len(d) for d in docs])[:-1])), strict=True) if len(e)])
     every = np.concatenate(docs)
@@ -142,7 +151,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 12, rate: float = 0
     n = len(begins)
 
     def scores() -> np.ndarray:
-        w = _word_effects(m.effect, flat, owner, len(number))
+        w = _word_effects(m.effect.astype(np.float32), flat, sizes)
         return np.add.reduceat(w[every], begins) / spans + m.offset
 
     def highest(z: np.ndarray) -> np.ndarray:
@@ -206,30 +215,41 @@ class Scorer:
                 if len(self.known) > self.LIMIT:
                     self.known.clear()
                     new = list(set(words))
-                ids, owner = subwords(new)
-                self.known.update(zip(new, _word_effects(self.effect, ids, owner, len(new)).tolist(), strict=True))
+                self.known.update(zip(new, _word_effects(self.effect, *subwords(new)).tolist(), strict=True))
             w = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
             starts = passages(len(words))
             out[k] = (np.add.reduceat(w, starts) / np.diff(np.append(starts, len(words)))).max() + self.offset
         return 1 / (1 + np.exp(-np.clip(self.slope * out + self.shift, -30, 30)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS) -> DataFrame:
-    """``text, toxic`` of a bounded sample of learnable labelled rows, those of lowest id hash."""
+def sample(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS) -> tuple[DataFrame, dict[int, int]]:
+    """``doc_id, text, toxic`` of a bounded sample of learnable labelled rows, those of lowest id hash,
+    and the number of all learnable rows of each class."""
     known = labels.where(F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0)).select(
         F.col("doc_id").alias("_id"), "toxic"
     ).dropDuplicates(["_id"])
+    number = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     part = [
         known.where(F.col("toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(max_rows[k]) for k in (0, 1)
     ]
     chosen = part[0].unionByName(part[1])
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"), number
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS) -> Model:
-    """Train on at most ``max_rows`` clean and toxic rows, brought to the driver."""
-    rows = sorted(sample(docs, labels, max_rows).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or ""))
-    return train([r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows], np.int64))
+    """Train on at most ``max_rows`` clean and toxic rows, brought to the driver.
+
+    The score is then moved from the class shares of the sample to those of all labels.
+    """
+    chosen, number = sample(docs, labels, max_rows)
+    rows = sorted(chosen.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or ""))
+    texts, toxic = [r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows], np.int64)
+    del rows
+    model = train(texts, toxic)
+    have = np.bincount(toxic, minlength=2)
+    if have.all() and number.get(0) and number.get(1):
+        model.shift += float(np.log(number[1] / number[0]) - np.log(have[1] / have[0]))
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
