@@ -1,12 +1,14 @@
 """The registered queries of the corpus operators: name to (function, SQL or None)."""
 
-from tickspark.llm import langid, neardup, quality_fm, rules, sharding, toxicity, warc
+from tickspark.llm import langid, neardup, packing, quality_fm, rules, sharding, tokenids, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": (toxicity.op1, None),
     "op2_warc_fixity": (warc.op2, warc.OP2_SQL),
     "op3_quality": (quality_fm.op3, None),
     "op4_neardup": (neardup.op4, None),
+    "op5_packing": (packing.op5, None),
+    "op7_token_ids": (tokenids.op7, None),
     "op8_quality_rules": (rules.op8, None),
     "op9_langid": (langid.op9, None),
     "op10_sharding": (sharding.op10, None),

@@ -7,10 +7,13 @@ most precisely where similarity is high, so that pairs of a bucket are dropped o
 shingle sets without fetching these.
 
 Buckets are not expanded into all pairs.  First every member is compared with one leader of its bucket,
-drawn anew for each bucket, and what is linked falls into components.  Then only members of one
-bucket in different components are compared, those outside its largest component with the others.  Links
-inside a component cannot change it, so no component is lost.  A pair at the threshold shares no
-band with a chance below 1 in 10,000; above it, the chance falls fast.
+the member that meets most others in its buckets, and what is linked falls into components.  Then only members
+of one bucket in different components are compared, those outside its largest component with the others,
+and only pairs that pass the sketch leave the join.  Links inside a component cannot change it, so no
+component is lost.  Of the members still compared,
+shingles that no other of them has are counted out: they are in no intersection, which bounds the similarity
+of two sets from above and leaves far apart members of a large group without any pair.  A pair at the
+threshold shares no band with a chance below 1 in 10,000; above it, the chance falls fast.
 
 Null and empty texts have no shingles and are linked with nothing; a text of fewer than five words has
 its whole sequence as its one shingle.  Repeats of a row share its component.  Null ids are allowed: a
@@ -31,13 +34,13 @@ from pyspark.sql import functions as F
 from tickspark.llm.common import WordHash, components, mix, read, shingle_set
 from tickspark.session import materialize
 
-BANDS, ROWS = 36, 5
+BANDS, ROWS = 50, 6
 #: Bits of an odd sketch.
-SKETCH = 512
+SKETCH = 2048
 #: Smallest similarity that counts as a link, in percent.
 PERCENT = 75
 #: Pairs whose sketches estimate less are dropped; five standard errors below the threshold.
-SKETCH_FLOOR = 0.5
+SKETCH_FLOOR = 0.61
 _RNG = np.random.default_rng(20090622)
 #: Multipliers of the hash functions.
 FACTORS = (_RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -110,6 +113,22 @@ def shingles_of(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(take, "digest binary, shingles array<long>")
 
 
+def full_sets(chosen: DataFrame, docs: DataFrame) -> DataFrame:
+    """``digest, shingles`` of the chosen classes (digest, first_id), from the texts."""
+    ids = chosen.where("first_id is not null").select("first_id").distinct()
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("first_id"), "left_semi").unionByName(
+        docs.select("doc_id", "text").where("doc_id is null")
+    )
+    return shingles_of(texts).join(chosen.select("digest").distinct(), "digest").dropDuplicates(["digest"])
+
+
+def common_counts(chosen: DataFrame, docs: DataFrame) -> DataFrame:
+    """``digest, shared``: how many shingles of each chosen class another chosen class has too."""
+    each = materialize(full_sets(chosen, docs).select("digest", F.explode("shingles").alias("s")), "open-shingles")
+    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s")
+    return each.join(common, "s").groupBy("digest").agg(F.count(F.lit(1)).alias("shared"))
+
+
 def similar_size(a: Column, b: Column) -> Column:
     """Sets of these sizes can reach the threshold."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
@@ -129,14 +148,10 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, label: str) -
         estimate(F.col("a_sketch"), F.col("b_sketch")) >= SKETCH_FLOOR
     )
     near = materialize(near.select("a", "b", "a_id", "b_id"), f"{label}-near")
-    ends = near.select(F.col("a").alias("digest"), F.col("a_id").alias("id")).unionByName(
-        near.select(F.col("b").alias("digest"), F.col("b_id").alias("id"))
+    ends = near.select(F.col("a").alias("digest"), F.col("a_id").alias("first_id")).unionByName(
+        near.select(F.col("b").alias("digest"), F.col("b_id").alias("first_id"))
     ).distinct()
-    ids = ends.where("id is not null").select("id").distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi").unionByName(
-        docs.select("doc_id", "text").where("doc_id is null")
-    )
-    sets = materialize(shingles_of(texts).join(ends.select("digest").distinct(), "digest").dropDuplicates(["digest"]), f"{label}-sets")
+    sets = materialize(full_sets(ends, docs), f"{label}-sets")
     both = near.select("a", "b").join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
     common = F.size(F.array_intersect("a_set", "b_set"))
     linked = 100 * common >= PERCENT * (F.size("a_set") + F.size("b_set") - common)
@@ -146,11 +161,17 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, label: str) -
 def link(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``digest, root`` for every class that is linked with another."""
     keyed = classes.select("digest", "n_shingles", F.explode("bands").alias("key"))
-    leader = F.min(F.struct(F.xxhash64("key", "digest").alias("r"), F.col("digest").alias("d"), F.col("n_shingles").alias("n")))
-    buckets = materialize(
-        keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), leader.alias("lead")).where("members > 1"), "buckets"
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    crowd = materialize(keyed.join(crowded, "key"), "crowd")
+    # The leader of a bucket is the member that meets most others in all its buckets.
+    company = crowd.groupBy("digest").agg(F.sum("members").alias("met"))
+    crowd = materialize(crowd.drop("members").join(company, "digest"), "company")
+    lead = crowd.groupBy("key").agg(F.max(F.struct("met", "digest", "n_shingles")).alias("lead"))
+    members = materialize(
+        crowd.join(lead, "key").select(
+            "key", "digest", "n_shingles", F.struct(F.col("lead.digest").alias("d"), F.col("lead.n_shingles").alias("n")).alias("lead")
+        ), "members",
     )
-    members = materialize(keyed.join(buckets, "key").select("key", "digest", "n_shingles", "lead"), "members")
     star = members.where((F.col("digest") != F.col("lead.d")) & similar_size(F.col("n_shingles"), F.col("lead.n")))
     tried = materialize(
         star.select(F.least("digest", "lead.d").alias("a"), F.greatest("digest", "lead.d").alias("b")).distinct(), "star"
@@ -165,13 +186,21 @@ def link(classes: DataFrame, docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")
     ).where("roots > 1").select("key", "main")
     open_rows = materialize(owned.join(mixed, "key"), "open")
-    outside = open_rows.where("root <> main").select("key", F.col("digest").alias("x"), F.col("root").alias("x_root"), F.col("n_shingles").alias("x_n"))
-    inside = open_rows.select("key", F.col("digest").alias("y"), F.col("root").alias("y_root"), F.col("n_shingles").alias("y_n"), "main")
+    chosen = open_rows.select("digest").distinct().join(classes.select("digest", "first_id"), "digest")
+    shared = common_counts(materialize(chosen, "chosen"), docs)
+    # A class whose shared shingles are too few for any link has no pair at all.
+    open_rows = open_rows.join(shared, "digest").join(classes.select("digest", "sketch"), "digest").where(100 * F.col("shared") >= PERCENT * F.col("n_shingles"))
+    open_rows = materialize(open_rows.select("key", "main", "digest", "root", "n_shingles", "shared", "sketch"), "open-shared")
+    outside = open_rows.where("root <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("digest", "root", "n_shingles", "shared", "sketch")])
+    inside = open_rows.select("key", "main", *[F.col(c).alias(f"y_{c}") for c in ("digest", "root", "n_shingles", "shared", "sketch")])
+    most = F.least("x_shared", "y_shared")
     rest = outside.join(inside, "key").where(
-        (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x") < F.col("y")))
-        & similar_size(F.col("x_n"), F.col("y_n"))
+        (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_digest") < F.col("y_digest")))
+        & similar_size(F.col("x_n_shingles"), F.col("y_n_shingles"))
+        & (100 * most >= PERCENT * (F.col("x_n_shingles") + F.col("y_n_shingles") - most))
+        & (estimate(F.col("x_sketch"), F.col("y_sketch")) >= SKETCH_FLOOR)
     )
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = rest.select(F.least("x_digest", "y_digest").alias("a"), F.greatest("x_digest", "y_digest").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     second = confirm(materialize(rest, "rest"), classes, docs, "rest")
     return components(first.unionByName(second))
 
