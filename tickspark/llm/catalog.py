@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators: name to (function, SQL or None)."""
 
-from tickspark.llm import langid, neardup, packing, quality_fm, rules, sharding, tokenids, toxicity, warc
+from tickspark.llm import decontam, langid, neardup, packing, quality_fm, rules, sharding, tokenids, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": (toxicity.op1, None),
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_quality": (quality_fm.op3, None),
     "op4_neardup": (neardup.op4, None),
     "op5_packing": (packing.op5, None),
+    "op6_decontamination": (decontam.op6, decontam.OP6_SQL),
     "op7_token_ids": (tokenids.op7, None),
     "op8_quality_rules": (rules.op8, None),
     "op9_langid": (langid.op9, None),

@@ -44,7 +44,7 @@ def words(text: Column) -> Column:
 
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once per row."""
-    return F.transform(F.array(value), use)[0]
+    return F.transform(F.array(value), lambda x: use(x))[0]
 
 
 def window_hashes(word_array: Column, n: int = SHINGLE) -> Column:

@@ -271,3 +271,8 @@ def pack_documents(docs: DataFrame, path: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of all documents' pieces."""
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: all documents packed; the columns are those of the pieces."""
+    return pack_documents(docs, tokenizer_path())

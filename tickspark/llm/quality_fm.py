@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.llm.common import SHINGLE, WordHash, fold, mix, read
@@ -152,7 +152,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_R
     ).dropDuplicates(["_id"])
     part = [known.where(F.col("quality") == k).orderBy(F.xxhash64("_id"), "_id").limit(max_rows[k]) for k in (0, 1)]
     chosen = part[0].unionByName(part[1])
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "n_chars", "quality")
+    return docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS) -> Model:
@@ -161,25 +161,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS
     return train([r["text"] for r in rows], [r["n_chars"] for r in rows], np.array([r["quality"] for r in rows], np.int64))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``score``, the chance of high quality, of every whole text; all columns stay."""
+def quality_score(model: Model) -> Column:
+    """The chance of high quality of a whole text, from ``text`` and ``n_chars``."""
 
     @F.pandas_udf("double")
-    def quality(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         cache = WordHash()
         for text, n_chars in batches:
             parts = [describe(t, c, cache) for t, c in zip(text, n_chars, strict=True)]
             stats = np.array([p[1] for p in parts]).reshape(len(parts), len(STATISTICS))
             yield pd.Series(model.score([p[0] for p in parts], stats))
 
-    name = "score" if "score" not in docs.columns else "quality_score"
-    return docs.withColumn(name, quality("text", F.col("n_chars").cast("double")))
+    return scored("text", F.col("n_chars").cast("double"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learned from the labels outside the held-out fold."""
     docs = read(spark, sf_dir, "documents")
-    scored = score(docs.select("doc_id", "text", "n_chars"), fit(docs, read(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score").withColumn(
+    score = quality_score(fit(docs, read(spark, sf_dir, "labels")))
+    return docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.3).cast("int")
     )
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents unlikely to be of high quality go."""
+    return docs.where(quality_score(fit(docs, read(spark, sf_dir, "labels"))) >= 0.3)

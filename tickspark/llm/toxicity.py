@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.llm.common import fold, mix, read
@@ -233,7 +233,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_R
         known.where(F.col("toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(max_rows[k]) for k in (0, 1)
     ]
     chosen = part[0].unionByName(part[1])
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"), number
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id"), number
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS) -> Model:
@@ -252,29 +252,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``score`` (0 to 1) of every whole text; all columns stay."""
+def toxic_score(model: Model, text: str | Column = "text") -> Column:
+    """The score (0 to 1) of a whole text."""
     scorer = Scorer(model)
 
     @F.pandas_udf("double")
-    def toxic_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for text in batches:
-            yield pd.Series(scorer(text.tolist()))
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(scorer(texts.tolist()))
 
-    name = "score" if "score" not in docs.columns else "toxic_score"
-    return docs.withColumn(name, toxic_score("text"))
+    return scored(text)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels outside the held-out fold."""
     docs = read(spark, sf_dir, "documents")
-    scored = score(docs.select("doc_id", "text"), fit(docs, read(spark, sf_dir, "labels")))
-    return scored.select(
-        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
-    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    score = toxic_score(fit(docs, read(spark, sf_dir, "labels")))
+    return docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored toxic go."""
-    model = fit(docs, read(spark, sf_dir, "labels"))
-    return score(docs.withColumn("_t", F.lit(0)).drop("_t"), model).where("score < 0.5").select(*docs.columns)
+    return docs.where(toxic_score(fit(docs, read(spark, sf_dir, "labels"))) < 0.5)
