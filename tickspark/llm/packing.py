@@ -53,8 +53,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
         encode = encoder(path, False)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
-                ids = np.append(np.frombuffer(encode(text), np.uint16), END).astype("<u4")
+            for doc_id, raw in zip(b["doc_id"].astype("Int64"), encode.all(b["text"]), strict=True):
+                ids = np.append(np.frombuffer(raw, np.uint16), END).astype("<u4")
                 first = (len(ids) - 1) % capacity + 1
                 for k, (a, e) in enumerate(zip([0, *range(first, len(ids), capacity)], range(first, len(ids) + 1, capacity), strict=True)):
                     raw = ids[a:e].tobytes()

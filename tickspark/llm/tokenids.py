@@ -106,7 +106,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         to_ids, end = encoder(path, True), END.to_bytes(2, "little")
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": [to_ids(t) + end for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": [ids + end for ids in to_ids.all(b["text"])]})
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids binary")
     place = scratch_path(docs.sparkSession, "ids")

@@ -11,12 +11,17 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache
 
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 #: Anything that is not plain Latin text.
 OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]")
+#: Control characters other than tab and line ends.
+CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+#: Single marks that are pieces of their own after a letter.
+STOPS = ".,;:!?"
 #: White space before a space, which the byte vocabulary may join to one piece.
 GAP = re.compile("[\t\n\r ] ")
 
@@ -25,40 +30,84 @@ class Encoder:
     """Encodes texts to little-endian unsigned integers of ``width`` bytes."""
 
     #: Most words remembered.
-    LIMIT = 800_000
+    LIMIT = 1_000_000
+    #: Characters of texts whose new words are encoded together.
+    GROUP = 300_000
 
     def __init__(self, path: str, lower: bool, width: int = 2) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.lower, self.kind = lower, {2: "H", 4: "I"}[width]
         self.known: dict[str, bytes] = {}
+        mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.bytes = {k: mapped(chr(k))[0][0] for k in range(32, 0x250)}
+        self.stops = dict(zip(STOPS, self._encode(list(STOPS)), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.kind, e.ids).tobytes() for e in found]
 
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters: each is one piece, so the library's merge model alone does."""
+        merge, table, space = self.tokenizer.model.tokenize, self.bytes, "" if self.lower else self.bytes[32]
+        return [array(self.kind, [t.id for t in merge(space + w.translate(table))]).tobytes() for w in words]
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode words not known yet; a letter and one stop after it are two pieces."""
+        known, stops = self.known, self.stops
+        ended = {w for w in new if w[-1:] in stops and w[-2:-1].isalpha()}
+        bare = (new - ended) | {w[:-1] for w in ended if w[:-1] not in known}
+        letters = [w for w in bare if w.isalpha()]
+        others = [w for w in bare if not w.isalpha()]
+        known.update(zip(letters, self._encode_letters(letters), strict=True))
+        known.update(zip(others, self._encode(others if self.lower else [" " + w for w in others]), strict=True))
+        for w in ended:
+            known[w] = known[w[:-1]] + stops[w[-1]]
+
+    def _group(self, texts: list[str | None]) -> list[bytes]:
+        get = self.known.get
+        out: list[bytes] = [b""] * len(texts)
+        cut: list[tuple[int, bytes, list[str], list[bytes | None]]] = []
+        new: set[str] = set()
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if (not text.isascii() or CONTROL.search(text)) and OTHER.search(text) or (not self.lower and GAP.search(text)):
+                out[k] = self._encode([text])[0]
+                continue
+            if self.lower:
+                head, words = b"", text.lower().split()
+            else:
+                # Every word but the first has its space before it.
+                first, *words = text.split(" ")
+                head = self._encode([first])[0] if first else b""
+            parts = list(map(get, words))
+            if None in parts:
+                new.update(w for w, p in zip(words, parts, strict=True) if p is None)
+                cut.append((k, head, words, parts))
+            else:
+                out[k] = head + b"".join(parts)
+        self._learn(new)
+        for k, head, words, parts in cut:
+            out[k] = head + b"".join([get(w) if p is None else p for w, p in zip(words, parts, strict=True)])
+        if len(self.known) > self.LIMIT:
+            self.known.clear()
+        return out
+
+    def all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each whole text, in order; empty for null."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text or "")
+            if size > self.GROUP:
+                yield from self._group(held)
+                held, size = [], 0
+        yield from self._group(held)
+
     def __call__(self, text: str | None) -> bytes:
         """Ids of one whole text; empty for null."""
-        if not text:
-            return b""
-        if OTHER.search(text) or (not self.lower and GAP.search(text)):
-            return self._encode([text])[0]
-        if self.lower:
-            head, words = b"", text.lower().split()
-        else:
-            # Every word but the first has its space before it.
-            first, *words = text.split(" ")
-            head = self._encode([first])[0] if first else b""
-        try:
-            return head + b"".join([self.known[w] for w in words])
-        except KeyError:
-            pass
-        new = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(new) > self.LIMIT:
-            self.known.clear()
-            new = list(set(words))
-        self.known.update(zip(new, self._encode(new if self.lower else [" " + w for w in new]), strict=True))
-        return head + b"".join([self.known[w] for w in words])
+        return self._group([text])[0]
 
 
 @cache
