@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from catalog.base import DIRTY, TICKS, dirty_ticks, query, table, ticks
@@ -106,23 +108,25 @@ def _(spark, sf):
 
 @query(
     "S8_read_bars", "symbol:s open_time:t open:f high:f low:f close:f tick_volume:i",
-    f"""with {TICKS} select 'view' as symbol, date_trunc('day', ts)::timestamp as open_time,
+    f"""with {TICKS} select symbol, date_trunc('day', ts)::timestamp as open_time,
       round(arg_min((bid + ask) / 2, ts), 4) as open, round(max((bid + ask) / 2), 4) as high,
       round(min((bid + ask) / 2), 4) as low, round(arg_max((bid + ask) / 2, ts), 4) as close,
-      count(*) as tick_volume from ticks where symbol = 'view' group by 2""",
+      count(*) as tick_volume from ticks group by 1, 2""",
 )
 def _(spark, sf):
-    t = with_mid_spread(ticks(spark, sf)).filter(F.col("symbol") == "view")
+    t = with_mid_spread(ticks(spark, sf))
     day = F.date_trunc("day", "ts")
-    hist = t.groupBy(F.date_format(day, "yyyy.MM.dd HH:mm:ss").alias("time")).agg(
+    hist = t.groupBy("symbol", F.date_format(day, "yyyy.MM.dd HH:mm:ss").alias("time")).agg(
         F.round(F.min_by("mid", "ts"), 4).alias("open"), F.round(F.max("mid"), 4).alias("high"),
         F.round(F.min("mid"), 4).alias("low"), F.round(F.max_by("mid", "ts"), 4).alias("close"),
         F.count(F.lit(1)).alias("tick_volume"), F.lit(0.0).alias("spread"),
         F.lit(0.0).alias("real_volume"),
     )
     path = scratch_path(spark, "ohlc-csv")
-    hist.write.option("header", True).csv(path)
-    return src.read_bars(spark, path, "view")
+    # One folder of bars per symbol, as such histories come.
+    hist.write.partitionBy("symbol").option("header", True).csv(path)
+    names = [r["symbol"] for r in table(spark, sf, "events").select(F.col("event_type").alias("symbol")).distinct().collect()]
+    return reduce(lambda a, b: a.unionByName(b), [src.read_bars(spark, f"{path}/symbol={s}", s) for s in sorted(names)])
 
 
 def _tick_files(spark, sf) -> str:

@@ -338,11 +338,12 @@ def _(spark, sf):
 
 
 @query("R2_saturation_alerts", "vec_id:i norm:f",
-       """with n as (select vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double * 1e6))) as norm from embeddings
-       where vec_id % 50 = 9) select * from n where norm > 100""")
+       """with n as (select vec_id, case when vec_id % 50 = 8 and list_min(list_transform(embedding, lambda x: abs(x))) > 0
+         then 'inf'::double when vec_id % 50 in (7, 8) then null
+         else sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double * case when vec_id % 50 = 9 then 1e6 else 1 end)))
+         end as norm from embeddings) select * from n where norm > 100""")
 def _(spark, sf):
-    rows = vectors(spark, sf).filter(~F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
-    return risk.saturation_alerts(rows)
+    return risk.saturation_alerts(vectors(spark, sf))
 
 
 SCORE_LOW = f"""{SCORED}, lo as (select *, (bar_idx // 15) % 2 = 0 and score < 0.95 as is_low from scored),
@@ -413,6 +414,47 @@ def _(spark, sf):
     return risk.loss_streaks(fills(spark, sf))
 
 
+DAY_FILLS = """fills as (select ts, (event_id * 7919) % 1000003 as ticket, user_id % 3 as account,
+    value - 10 as pnl, ts::date as trading_day from events)"""
+
+
+def day_fills(spark, sf):
+    """Events as fills of three accounts with times of day and tickets that do not rise with time."""
+    e = table(spark, sf, "events")
+    return e.select(
+        F.col("ts").cast("timestamp").alias("ts"), ((F.col("event_id") * 7919) % 1_000_003).alias("ticket"), (F.col("user_id") % 3).alias("account"),
+        F.lit("FILLED").alias("status"), (F.col("value") - 10).alias("pnl"),
+    )
+
+
+@query("R6_daily_pnl_accounts", "account:i ticket:i trading_day:s daily_pnl:f",
+       f"""with {DAY_FILLS} select *, sum(pnl) over (partition by account, trading_day order by ts, ticket
+         rows between unbounded preceding and current row) as daily_pnl from fills""")
+def _(spark, sf):
+    return risk.daily_pnl(day_fills(spark, sf), by=("account",))
+
+
+@query("R7_loss_streaks_accounts", "account:i ticket:i consecutive_losses:i total_trades:i winning_trades:i",
+       f"""with {DAY_FILLS}, n as (select *, row_number() over (partition by account order by ts, ticket) as total_trades,
+         sum((pnl >= 0)::int) over (partition by account order by ts, ticket rows between unbounded preceding and current row)
+         as winning_trades from fills)
+       select *, total_trades - coalesce(max(case when pnl >= 0 then total_trades end) over (partition by account
+         order by ts, ticket rows between unbounded preceding and current row), 0) as consecutive_losses from n""")
+def _(spark, sf):
+    return risk.loss_streaks(day_fills(spark, sf), by=("account",))
+
+
+@query("R10_drawdown_accounts", "account:i ticket:i peak_equity:f day_start:f daily_loss_pct:f drawdown_pct:f",
+       f"""with {DAY_FILLS}, e as (select *, 1000000 + sum(pnl) over (partition by account order by ts, ticket
+         rows between unbounded preceding and current row) as equity from fills),
+       d as (select *, max(equity) over (partition by account order by ts, ticket rows between unbounded preceding and current row) as peak_equity,
+         first_value(equity) over (partition by account, trading_day order by ts, ticket) as day_start from e)
+       select *, (day_start - equity) / day_start * 100 as daily_loss_pct, (peak_equity - equity) / peak_equity * 100 as drawdown_pct from d""")
+def _(spark, sf):
+    rows = risk.account_equity(risk.with_trading_day(day_fills(spark, sf)), 1_000_000.0, by=("account",))
+    return risk.drawdown(rows, by=("account",))
+
+
 @query("R8_risk_breaches", "trading_day:s ticket:i reason:s daily_pnl:f consecutive_losses:i",
        f"""with {FILLS}, hb as (select *, case when daily_pnl < -100 then 'DAILY_LOSS_LIMIT'
          when consecutive_losses >= 5 then 'CONSECUTIVE_LOSSES' end as reason from ls),

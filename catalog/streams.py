@@ -168,7 +168,7 @@ def _(spark, sf):
     joined = rows.join(
         gated.select("symbol", "bar_idx", "threshold", "gate_stage"), ["symbol", "bar_idx"], "left"
     )
-    return signals.decide(joined, cfg.decision).withColumn("direction", F.col("event_direction"))
+    return signals.decide(joined, cfg.decision, cfg.gate.mode).withColumn("direction", F.col("event_direction"))
 
 
 @query("X6_bootstrap", BAR_SPEC,

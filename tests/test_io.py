@@ -49,7 +49,10 @@ def test_flags(spark):
 
 def test_history_page_is_bounded(spark):
     df = spark.range(6000).select(F.timestamp_seconds("id").alias("time"), "id")
-    assert tables.runtime_history(df, limit=99_999).count() == 5000
+    assert tables.runtime_history(df, limit=5000).count() == 5000
+    for bad in ({"limit": 5001}, {"limit": 0}, {"offset": -1}):
+        with pytest.raises(ValueError):
+            tables.runtime_history(df, **bad)
     page = [r["id"] for r in tables.runtime_history(df, limit=3, offset=2).collect()]
     assert page == [5997, 5996, 5995]
 

@@ -67,14 +67,16 @@ def dmi(
     df: DataFrame, n: int = 14, smooth: int = 14, strong: float = 25.0, weak: float = 17.0,
     layout: Layout = BARS,
 ) -> DataFrame:
-    """+DI, -DI and ADX, and the state bull, bear, weak or none."""
+    """+DI, -DI and ADX, and the state bull, bear, weak or none; 0 where the averaged range is 0."""
     moves = _directional_moves(df, layout=layout)
     averaged = decaying_scan(
         moves, [wilder(f"_s{c}", c, n, lead_rows=1) for c in ("_plus", "_minus", "_tr")], layout
     )
-    lines = averaged.withColumns(
-        {"di_plus": 100 * F.col("_s_plus") / F.col("_s_tr"), "di_minus": 100 * F.col("_s_minus") / F.col("_s_tr")}
-    )
+    def share(side: str) -> Column:
+        # No range, no movement.
+        return F.when(F.col("_s_tr") == 0, F.lit(0.0)).otherwise(F.try_divide(100 * F.col(side), F.col("_s_tr")))
+
+    lines = averaged.withColumns({"di_plus": share("_s_plus"), "di_minus": share("_s_minus")})
     both = F.col("di_plus") + F.col("di_minus")
     dx = F.abs(F.col("di_plus") - F.col("di_minus")) / F.when(both == 0, F.lit(1.0)).otherwise(both)
     scanned = decaying_scan(lines.withColumn("_dx", dx), [wilder("_adx", "_dx", smooth, lead_rows=n)], layout)

@@ -38,7 +38,7 @@ def detect_fvg(df: DataFrame, w, min_bps: float = 0.0) -> DataFrame:
         }
     )
     sized = sized.withColumn("gap_size", F.col("gap_top") - F.col("gap_bottom"))
-    sized = sized.withColumn("gap_size_bps", F.col("gap_size") / F.col("_middle") * 1e4)
+    sized = sized.withColumn("gap_size_bps", F.try_divide(F.col("gap_size"), F.col("_middle")) * 1e4)
     keep = F.col("gap_size_bps") >= min_bps
     named = ("gap_top", "gap_bottom", "gap_size")
     return sized.withColumns(
@@ -187,17 +187,20 @@ def event_stages(cooldown_bars: int = 2, window: int = 3, idx: str = "bar_idx")
 
 
 def event_columns(scanned: DataFrame) -> DataFrame:
-    """Feature columns from the outputs of :func:`event_stages`; needs ``atr``."""
+    """Feature columns from the outputs of :func:`event_stages`; needs ``atr``; 0 where that is 0."""
     event = F.when(F.col("_kept"), F.col("fvg_type")).otherwise(0)
-    unit = F.col("atr")
+
+    def in_atr(move: Column) -> Column:
+        return F.when(F.col("atr") == 0, move * 0).otherwise(F.try_divide(move, F.col("atr")))
+
     return scanned.withColumns(
         {
             "fvg_event": event,
-            "fvg_impulse_atr": F.when(F.col("_kept"), F.col("gap_size") / unit).otherwise(F.lit(0.0)),
-            "fvg_follow_up_3": F.col("_ev_up") / unit,
-            "fvg_follow_dn_3": F.col("_ev_dn") / unit,
+            "fvg_impulse_atr": F.when(F.col("_kept"), in_atr(F.col("gap_size"))).otherwise(F.lit(0.0)),
+            "fvg_follow_up_3": in_atr(F.col("_ev_up")),
+            "fvg_follow_dn_3": in_atr(F.col("_ev_dn")),
             "fvg_follow_bars": (F.col("bar_idx") - F.col("_ev_idx")).cast("long"),
-            "fvg_follow_net": (F.col("close") - F.col("_ev_close")) / unit,
+            "fvg_follow_net": in_atr(F.col("close") - F.col("_ev_close")),
         }
     ).drop("_kept", "_ev_idx", "_ev_close", "_ev_up", "_ev_dn")
 

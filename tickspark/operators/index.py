@@ -49,9 +49,13 @@ def with_row_index(
     once, hashed by (series, slice), so one series with most of the data is spread over as many
     tasks as it has slices.  For each column in ``carry`` the value of the row before is added
     as ``prev_<column>``, also across slice edges.  ``slices`` replaces the time slice by another
-    number that never falls along ``order``.
+    number that never falls along ``order``.  A NULL in the first order column is an error: such a
+    row has no place in the series.
     """
-    sliced = df.withColumn(SLICE, time_slice(order[0], slice_seconds) if slices is None else slices)
+    if slices is None:
+        missing = F.raise_error(F.lit(f"NULL in {order[0]}: rows without a place in the series")).cast("long")
+        slices = F.coalesce(time_slice(order[0], slice_seconds), missing)
+    sliced = df.withColumn(SLICE, slices)
     keys = [*by, SLICE]
     aggs = [F.count(F.lit(1)).alias("_n")]
     if carry:

@@ -73,7 +73,7 @@ def _finish(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "barrier_hit": hit,
-            "return_pct": (F.col("exit_price") - F.col("close")) / F.col("close") * 100,
+            "return_pct": F.try_divide(F.col("exit_price") - F.col("close"), F.col("close")) * 100,
             "holding_bars": F.col("_offset").cast("long"),
             "exit_idx": (F.col("bar_idx") + F.col("_offset")).cast("long"),
         }
@@ -215,7 +215,7 @@ def multi_horizon(
     """Forward returns in bps and long/short flags for every horizon; 0 where the future is short."""
     limit = threshold_bps / 1e4
     for h in horizons:
-        ratio = F.lead("close", h).over(w) / F.col("close")
+        ratio = F.try_divide(F.lead("close", h).over(w), F.col("close"))
         ret = F.log(ratio) if log_returns else ratio - 1
         df = df.withColumn("_ret", ret).withColumns(
             {
@@ -232,7 +232,7 @@ def multi_horizon(
 @windowed(lookahead=lambda h=10, bps=3.0: h)
 def simple_label(df: DataFrame, w, h: int = 10, bps: float = 3.0) -> DataFrame:
     """1, -1 or 0 by the log return over ``h`` bars."""
-    ret = F.log(F.lead("close", h).over(w) / F.col("close"))
+    ret = F.log(F.try_divide(F.lead("close", h).over(w), F.col("close")))
     return df.withColumn(
         "label", F.when(ret > bps / 1e4, 1).when(ret < -bps / 1e4, -1).otherwise(0)
     )
@@ -318,7 +318,7 @@ def balance_segments(
         F.min_by("mid", "row_idx").alias("first_mid"), F.max_by("mid", "row_idx").alias("last_mid"),
         F.count(F.lit(1)).alias("n_ticks"),
     )
-    ret = (F.col("last_mid") / F.col("first_mid") - 1) * 100
+    ret = (F.try_divide(F.col("last_mid"), F.col("first_mid")) - 1) * 100
     classed = segments.withColumns(
         {
             "trend": F.when(ret > threshold_pct, F.lit("up")).when(ret < -threshold_pct, F.lit("down"))

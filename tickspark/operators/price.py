@@ -27,8 +27,8 @@ def _full(w: WindowSpec, n: int, value: Column) -> Column:
 
 @windowed(lookback=1)
 def log_return(df: DataFrame, w, close: str = "close", out: str = "log_return") -> DataFrame:
-    """ln(close / previous close), 0 on the first bar."""
-    ratio = F.col(close) / F.lag(close).over(w)
+    """ln(close / previous close), 0 on the first bar and next to a close of 0."""
+    ratio = F.try_divide(F.col(close), F.lag(close).over(w))
     return df.withColumn(out, F.coalesce(F.log(ratio), F.lit(0.0)))
 
 
@@ -37,7 +37,7 @@ def rolling_zscore(df: DataFrame, w, col: str, n: int = 100, out: str | None = N
     """(x - mean) / population deviation over the last ``n`` rows, 0 below 3 rows or if flat."""
     frame = w.rowsBetween(1 - n, 0)
     std = F.stddev_pop(col).over(frame)
-    score = (F.col(col) - F.avg(col).over(frame)) / std
+    score = F.try_divide(F.col(col) - F.avg(col).over(frame), std)
     ready = (F.count(F.lit(1)).over(frame) >= 3) & (std > EPSILON)
     return df.withColumn(out or f"{col}_zscore", F.when(ready, score).otherwise(F.lit(0.0)))
 
@@ -45,7 +45,7 @@ def rolling_zscore(df: DataFrame, w, col: str, n: int = 100, out: str | None = N
 def spread_bps(df: DataFrame) -> DataFrame:
     """Average spread of the bar in basis points of the close."""
     average = F.col("spread_sum") / F.greatest(F.col("tick_count"), F.lit(1))
-    return df.withColumn("spread_bps", average / F.col("close") * 1e4)
+    return df.withColumn("spread_bps", F.try_divide(average, F.col("close")) * 1e4)
 
 
 def delta_t_log(df: DataFrame) -> DataFrame:

@@ -72,6 +72,8 @@ def spread_profile(ticks: DataFrame, pip: float = 0.01, wide_sigma: float = 5.0)
 def return_profile(ticks: DataFrame, sigma: float = 10.0) -> DataFrame:
     """Tick-return statistics, share of zero returns and number of moves beyond 10 deviations.
 
+    A single return has no deviation (NULL) and no large move.
+
     The deviation is needed before the large moves can be counted; returns are first reduced to
     counts per distinct (symbol, return), so the second look reads the reduced table.
     """
@@ -87,8 +89,9 @@ def return_profile(ticks: DataFrame, sigma: float = 10.0) -> DataFrame:
     )
     centred = distinct.join(stats.select("symbol", "return_mean", "n_returns"), "symbol")
     spread = centred.groupBy("symbol").agg(
-        F.sqrt(F.sum(n * (r - F.col("return_mean")) * (r - F.col("return_mean")))
-               / (F.max("n_returns") - 1)).alias("return_std")
+        F.sqrt(F.try_divide(
+            F.sum(n * (r - F.col("return_mean")) * (r - F.col("return_mean"))), F.max("n_returns") - 1
+        )).alias("return_std")
     )
     large = (
         distinct.join(spread, "symbol").groupBy("symbol").agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -64,8 +65,8 @@ def vector_norms(df: DataFrame, vector: str = "vector") -> DataFrame:
 
 
 def saturation_alerts(df: DataFrame, limit: float = 100.0, vector: str = "vector") -> DataFrame:
-    """Rows whose hidden vector is longer than ``limit``."""
-    return vector_norms(df, vector).filter(F.col("norm") > limit)
+    """Rows whose hidden vector is longer than ``limit``; NaN is no length, infinity is."""
+    return vector_norms(df, vector).filter(~F.isnan("norm") & (F.col("norm") > limit))
 
 
 def low_confidence_runs(
@@ -102,74 +103,81 @@ def with_trading_day(df: DataFrame, tz: str = "UTC", cutoff_hours: int = 0, ts:
     return df.withColumn("trading_day", F.to_date(local))
 
 
-FILL_SLICES = ("_hour", "_ticket_part")
+FILL_SLICES = ("_minute",)
 
 
-def _sliced(fills: DataFrame, tickets_per_slice: int = 100_000) -> DataFrame:
-    return fills.withColumns(
-        {
-            "_hour": time_slice("ts", 3600),
-            "_ticket_part": F.floor(F.col("ticket") / tickets_per_slice).cast("long"),
-        }
-    )
+def _sliced(fills: DataFrame) -> DataFrame:
+    """Fills with the slice of time they fall into; a task holds one minute of one account."""
+    return fills.withColumn("_minute", time_slice("ts", 60))
+
 
+def _keyed(fills: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """Fills, the columns that tell accounts apart, and which of them were added."""
+    return (fills, list(by), []) if by else (fills.withColumn("_account", F.lit(0)), ["_account"], ["_account"])
 
-def daily_pnl(fills: DataFrame, tz: str = "UTC", cutoff_hours: int = 0) -> DataFrame:
-    """Running result of the trading day after each fill, in order of time and ticket."""
+
+def daily_pnl(fills: DataFrame, tz: str = "UTC", cutoff_hours: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """Running result of the trading day after each fill, in order of time and ticket.
+
+    ``by`` names the columns of the account; without them all fills are one account.
+    """
     filled = with_trading_day(fills.filter(F.col("status") == "FILLED"), tz, cutoff_hours)
     out = running(
-        _sliced(filled), ["trading_day"], FILL_SLICES, ["ts", "ticket"], {"daily_pnl": ("sum", "pnl")}
+        _sliced(filled), [*by, "trading_day"], FILL_SLICES, ["ts", "ticket"], {"daily_pnl": ("sum", "pnl")}
     )
     return out.drop(*FILL_SLICES)
 
 
-def loss_streaks(fills: DataFrame) -> DataFrame:
-    """Consecutive losses up to each fill, and trades and wins so far."""
-    filled = fills.filter(F.col("status") == "FILLED")
+def loss_streaks(fills: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Consecutive losses of the account up to each fill, and trades and wins so far."""
+    filled, keys, added = _keyed(fills.filter(F.col("status") == "FILLED"), by)
     win = F.col("pnl") >= 0
-    marked = _sliced(filled).withColumns({"_account": F.lit(0), "_one": F.lit(1), "_win": win.cast("int")})
+    marked = _sliced(filled).withColumns({"_one": F.lit(1), "_win": win.cast("int")})
     counted = running(
-        marked, ["_account"], FILL_SLICES, ["ts", "ticket"],
+        marked, keys, FILL_SLICES, ["ts", "ticket"],
         {"total_trades": ("sum", "_one"), "winning_trades": ("sum", "_win")},
     )
     at_win = counted.withColumn("_at", F.when(F.col("_win") == 1, F.col("total_trades")))
-    carried = running(at_win, ["_account"], FILL_SLICES, ["ts", "ticket"], {"_last_win": ("max", "_at")})
+    carried = running(at_win, keys, FILL_SLICES, ["ts", "ticket"], {"_last_win": ("max", "_at")})
     return carried.withColumns(
         {
             "consecutive_losses": F.col("total_trades") - F.coalesce("_last_win", F.lit(0)),
             "win_rate": F.col("winning_trades") / F.col("total_trades"),
         }
-    ).drop(*FILL_SLICES, "_account", "_one", "_win", "_at", "_last_win")
+    ).drop(*FILL_SLICES, *added, "_one", "_win", "_at", "_last_win")
 
 
 def risk_breaches(
-    fills: DataFrame, loss_limit: float, max_losses: int = 5, tz: str = "UTC", cutoff_hours: int = 0
+    fills: DataFrame, loss_limit: float, max_losses: int = 5, tz: str = "UTC", cutoff_hours: int = 0,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """First fill of each trading day at which the daily loss or the losing streak is too large."""
-    daily = daily_pnl(fills, tz, cutoff_hours).select("ticket", "trading_day", "ts", "daily_pnl")
-    streaks = loss_streaks(fills).select("ticket", "consecutive_losses")
-    rows = daily.join(streaks, "ticket")
+    """First fill of each trading day of an account at which the daily loss or the losing streak is too large."""
+    daily = daily_pnl(fills, tz, cutoff_hours, by).select(*by, "ticket", "trading_day", "ts", "daily_pnl")
+    streaks = loss_streaks(fills, by).select(*by, "ticket", "consecutive_losses")
+    rows = daily.join(streaks, [*by, "ticket"])
     reason = (
         F.when(F.col("daily_pnl") < -loss_limit, F.lit("DAILY_LOSS_LIMIT"))
         .when(F.col("consecutive_losses") >= max_losses, F.lit("CONSECUTIVE_LOSSES"))
     )
     hits = rows.withColumn("reason", reason).filter(F.col("reason").isNotNull())
     first = F.min_by(F.struct("ticket", "reason", "daily_pnl", "consecutive_losses"), F.struct("ts", "ticket"))
-    return hits.groupBy("trading_day").agg(first.alias("f")).select("trading_day", "f.*")
+    return hits.groupBy(*by, "trading_day").agg(first.alias("f")).select(*by, "trading_day", "f.*")
 
 
 def exposure_alerts(df: DataFrame, limit: float, exposure: str = "exposure_usd") -> DataFrame:
     return df.filter(F.col(exposure) > limit)
 
 
-def drawdown(equity: DataFrame, value: str = "equity", day: str = "trading_day") -> DataFrame:
-    """Loss since the start of the day and drawdown from the peak so far, in percent.
+def drawdown(
+    equity: DataFrame, value: str = "equity", day: str = "trading_day", by: Sequence[str] = ()
+) -> DataFrame:
+    """Loss since the start of the day and drawdown from the account's peak so far, in percent.
 
-    ``equity`` has ``ts`` and ``ticket`` for its order and one account.
+    ``equity`` has ``ts`` and ``ticket`` for its order.
     """
-    rows = _sliced(equity).withColumn("_account", F.lit(0))
-    peaked = running(rows, ["_account"], FILL_SLICES, ["ts", "ticket"], {"peak_equity": ("max", value)})
-    opened = running(peaked, [day], FILL_SLICES, ["ts", "ticket"], {"day_start": ("first", value)})
+    rows, keys, added = _keyed(_sliced(equity), by)
+    peaked = running(rows, keys, FILL_SLICES, ["ts", "ticket"], {"peak_equity": ("max", value)})
+    opened = running(peaked, [*by, day], FILL_SLICES, ["ts", "ticket"], {"day_start": ("first", value)})
     v = F.col(value)
     return opened.withColumns(
         {
@@ -178,14 +186,14 @@ def drawdown(equity: DataFrame, value: str = "equity", day: str = "trading_day")
             "drawdown_pct": F.when(F.col("peak_equity") > 0, (F.col("peak_equity") - v) / F.col("peak_equity") * 100)
             .otherwise(F.lit(0.0)),
         }
-    ).drop(*FILL_SLICES, "_account")
+    ).drop(*FILL_SLICES, *added)
 
 
-def account_equity(fills: DataFrame, start: float = 10_000.0) -> DataFrame:
+def account_equity(fills: DataFrame, start: float = 10_000.0, by: Sequence[str] = ()) -> DataFrame:
     """Account value after each fill."""
-    rows = _sliced(fills.filter(F.col("status") == "FILLED")).withColumn("_account", F.lit(0))
-    out = running(rows, ["_account"], FILL_SLICES, ["ts", "ticket"], {"_sum": ("sum", "pnl")})
-    return out.withColumn("equity", F.col("_sum") + start).drop("_sum", "_account", *FILL_SLICES)
+    rows, keys, added = _keyed(_sliced(fills.filter(F.col("status") == "FILLED")), by)
+    out = running(rows, keys, FILL_SLICES, ["ts", "ticket"], {"_sum": ("sum", "pnl")})
+    return out.withColumn("equity", F.col("_sum") + start).drop("_sum", *added, *FILL_SLICES)
 
 
 # ---------------------------------------------------------------- feed health

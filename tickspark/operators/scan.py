@@ -104,7 +104,11 @@ def decay_walk(specs: Sequence[Decay], layout: Layout = BARS) -> Walk:
 
 
 def decaying_scan(df: DataFrame, specs: Sequence[Decay], layout: Layout = BARS) -> DataFrame:
-    """Add one column per spec in one pass; memories longer than a block use the block scan."""
+    """Add one column per spec in one pass; memories longer than a block use the block scan.
+
+    Sources must have a value on every row after ``lead_rows``, since the rows read before a block
+    are counted as rows; :func:`smoothed_on_rows` takes columns with gaps.
+    """
     walk = decay_walk(specs, layout)
     if walk.lookback <= layout.block_rows:
         return walk_blocks(df, [walk], layout)
@@ -119,8 +123,8 @@ def _nan_to_null(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def ewma(df: DataFrame, col: str, alpha: float, out: str | None = None, layout: Layout = BARS) -> DataFrame:
-    """Exponential average seeded with the first value."""
-    return decaying_scan(df, [Decay(out or f"{col}_ewma", col, 1 - alpha)], layout)
+    """Exponential average seeded with the first value; rows without a value keep the average before."""
+    return smoothed_on_rows(df, Decay(out or f"{col}_ewma", col, 1 - alpha), layout)
 
 
 # ---------------------------------------------------------------- general block scan

@@ -70,7 +70,7 @@ def structure_stop(df: DataFrame, cfg: PrimaryConfig = PrimaryConfig()) -> DataF
 
 def confidence_factors(df: DataFrame) -> DataFrame:
     """What the quality of a signal depends on, and the risk to the stop in bps."""
-    risk = F.abs(F.col("entry_price") - F.col("stop_loss")) / F.col("entry_price") * 1e4
+    risk = F.try_divide(F.abs(F.col("entry_price") - F.col("stop_loss")), F.col("entry_price")) * 1e4
     factors = F.struct(
         "trend_duration", F.coalesce("gap_size_bps", F.lit(0.0)).alias("fvg_size_bps"),
         F.round("st_atr", 4).alias("atr"), F.round("st_bandwidth", 4).alias("bandwidth"),
@@ -272,13 +272,17 @@ class DecisionConfig:
     require_transition: bool = False
 
 
-def decide(df: DataFrame, cfg: DecisionConfig = DecisionConfig()) -> DataFrame:
-    """First failing check of each bar in ``filtered_reason``; NULL means trade."""
+def decide(df: DataFrame, cfg: DecisionConfig = DecisionConfig(), gate_mode: str = "rolling_quantile") -> DataFrame:
+    """First failing check of each bar in ``filtered_reason``; NULL means trade.
+
+    The phase is checked behind a fixed gate only; a rolling gate has thresholds per phase.
+    """
     blocked = (
         (F.col("trend_alignment") == "COUNTER") & ~F.col("structure_ok")
         if cfg.require_structure else F.lit(False)
     )
-    wrong_phase = (F.col("market_phase") != "TRANSITION") if cfg.require_transition else F.lit(False)
+    in_phase = cfg.require_transition and gate_mode == "fixed"
+    wrong_phase = (F.col("market_phase") != "TRANSITION") if in_phase else F.lit(False)
     reason = (
         F.when(F.col("bar_idx") + 1 < cfg.warmup_bars, F.lit("WARMUP"))
         .when(~F.col("event_present"), F.lit("NO_EVENT"))

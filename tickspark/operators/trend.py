@@ -97,7 +97,7 @@ def pivot_supertrend(df: DataFrame, cfg: SuperTrend = SuperTrend(), layout: Layo
     )
     width = 2 * factor * F.col("st_atr")
     return out.withColumns(
-        {"st_line": line, "st_bandwidth": width, "st_bandwidth_pct": width / F.col("close")}
+        {"st_line": line, "st_bandwidth": width, "st_bandwidth_pct": F.try_divide(width, F.col("close"))}
     ).drop("tup_before", "tdown_before", "pivot")
 
 
@@ -122,7 +122,7 @@ def trend_columns(df: DataFrame) -> DataFrame:
     """Deviation from the line in percent, direction and duration."""
     return df.withColumns(
         {
-            "trend_deviation": (F.col("close") - F.col("st_line")) / F.col("close") * 100,
+            "trend_deviation": F.try_divide(F.col("close") - F.col("st_line"), F.col("close")) * 100,
             "trend_direction": F.col("st_dir"),
         }
     )

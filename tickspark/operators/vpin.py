@@ -41,7 +41,7 @@ def volume_buckets(
 @windowed(lookback=lambda n: n - 1)
 def _bucket_ratio(df: DataFrame, w, n: int) -> DataFrame:
     frame = w.rowsBetween(1 - n, 0)
-    ratio = F.sum("_oi").over(frame) / F.sum("_vol").over(frame)
+    ratio = F.try_divide(F.sum("_oi").over(frame), F.sum("_vol").over(frame))
     full = F.count(F.lit(1)).over(frame) == n
     return df.withColumn("vpin", F.when(full, F.coalesce(ratio, F.lit(0.0))))
 

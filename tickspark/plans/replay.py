@@ -47,7 +47,7 @@ def decisions(features: DataFrame, model=None, cfg: ReplayConfig = ReplayConfig(
         "symbol", "bar_idx", "score", "threshold", "gate_stage"
     )
     joined = rows.join(gated, ["symbol", "bar_idx"], "left")
-    return signals.decide(joined, cfg.decision).withColumn("direction", F.col("event_direction"))
+    return signals.decide(joined, cfg.decision, cfg.gate.mode).withColumn("direction", F.col("event_direction"))
 
 
 def run_signals(features: DataFrame, model=None, cfg: ReplayConfig = ReplayConfig(), model_cfg: ModelConfig = ModelConfig()) -> DataFrame:

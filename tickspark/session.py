@@ -68,12 +68,14 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
 def scratch_dir(spark: SparkSession) -> str:
     """Root for written intermediate tables and stream checkpoints.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only when that is
-    unset (tests, a laptop) a local folder is used.
+    A cluster names a shared folder in ``spark.checkpoint.dir``; only a local master (tests, a
+    laptop) may leave it unset and gets a local folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return shared or os.path.join(tempfile.gettempdir(), "tickspark-scratch")
 
 

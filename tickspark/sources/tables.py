@@ -107,11 +107,16 @@ def write_runtime(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
+#: Most rows of a page of the runtime history.
+MAX_PAGE = 5000
+
+
 def runtime_history(df: DataFrame, limit: int = 200, offset: int = 0, time: str = "time") -> DataFrame:
-    """Newest rows first, one page; pages hold at most 5000 rows."""
-    limit = max(1, min(int(limit), 5000))
+    """Newest rows first, one page of 1 to 5000 rows; other limits and negative offsets are errors."""
+    if not 1 <= limit <= MAX_PAGE or offset < 0:
+        raise ValueError(f"limit must be 1 to {MAX_PAGE} and offset 0 or more, not {limit} and {offset}")
     tie = [F.col(c).desc() for c in df.columns if c != time][:1]
-    return df.orderBy(F.col(time).desc(), *tie).offset(max(0, int(offset))).limit(limit)
+    return df.orderBy(F.col(time).desc(), *tie).offset(offset).limit(limit)
 
 
 def migrate_epoch(df: DataFrame, old: str = "ts", new: str = "time") -> DataFrame:

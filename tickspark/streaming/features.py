@@ -245,7 +245,7 @@ class DecisionProcessor(StatefulProcessor):
                     reason = "COLD_START"
                 elif score < limit:
                     reason = "LOW_CONFIDENCE"
-                elif cfg.decision.require_transition and phase != "TRANSITION":
+                elif cfg.decision.require_transition and cfg.gate.mode == "fixed" and phase != "TRANSITION":
                     reason = "WRONG_PHASE"
                 elif not stop > 0:
                     reason = "NO_STOP_LOSS"
