@@ -36,7 +36,7 @@ def _(spark, sf):
 @query("V2_embargo_size", "symbol:s embargo:i", f"with {SAMPLE} select distinct symbol, embargo from fd")
 def _(spark, sf):
     n = samples(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("embargo", cv.embargo_size(F.col("n")))
+    return n.withColumn("embargo", cv.embargo_size(F.col("n"), high=100))
 
 
 FOLDS = f"""{SAMPLE}, bd as (select symbol, fold_of as fold, min(pos) as a, max(pos) as b, min(bar_idx) as ta,
@@ -180,7 +180,7 @@ def _(spark, sf):
          case when n_samples >= 10 then r95 end as recall_p95, case when n_samples >= 10 then w90 end as weighted_recall_p90
        from ct join rm using (fold, market_phase) join rc using (fold, market_phase)""")
 def _(spark, sf):
-    return metrics.metrics_by_phase(evaluated(spark, sf), by=["fold"])
+    return metrics.metrics_by_phase(evaluated(spark, sf), min_rows=10, min_rows_p99=100, by=["fold"])
 
 
 @query("V12_classification_metrics", "symbol:s accuracy:f precision:f recall:f",

@@ -345,20 +345,23 @@ def _(spark, sf):
     return joins.with_features(base, blocks)
 
 
-HOLD = 200
 POSITIONS = f"""{BARS}, po as (select symbol, bar_idx as ticket, case when bar_idx % 2 = 0 then 1 else -1 end as direction,
-    close as entry_price, close_time as entry_time, 0.10 as lots, (bar_idx + 1) * 20 - 1 as start_row from bars),
+    close as entry_price, close_time as entry_time, 0.10 as lots, (bar_idx + 1) * 20 - 1 as start_row,
+    case when bar_idx % 50 < 49 then (bar_idx + 1) * 20 - 1 + 40 + bar_idx % 7 * 60 end as close_row from bars),
   pt as (select p.*, t.row_idx, t.ts, t.mid - t.spread / 2 as bid, t.mid + t.spread / 2 as ask
-    from po p join q_bars t on t.symbol = p.symbol and t.row_idx between p.start_row + 1 and p.start_row + {HOLD})"""
+    from po p join q_bars t on t.symbol = p.symbol and t.row_idx > p.start_row
+      and (p.close_row is null or t.row_idx <= p.close_row))"""
 
 
 def open_positions(spark, sf, stop_distance: float = 5.0):
-    """One position per bar, long and short in turn, opened at its close."""
+    """One position per bar, long and short in turn, opened at its close; one in 50 is never closed."""
+    opened = (F.col("bar_idx") + 1) * 20 - 1
     side = F.when(F.col("bar_idx") % 2 == 0, 1).otherwise(-1)
     return bars(spark, sf).select(
         "symbol", F.col("bar_idx").alias("ticket"), side.alias("direction"),
         F.col("close").alias("entry_price"), F.col("close_time").alias("entry_time"),
-        F.lit(0.10).alias("lots"), ((F.col("bar_idx") + 1) * 20 - 1).alias("start_row"),
+        F.lit(0.10).alias("lots"), opened.alias("start_row"),
+        F.when(F.col("bar_idx") % 50 < 49, opened + 40 + F.col("bar_idx") % 7 * 60).alias("close_row"),
         (F.col("close") - side * stop_distance).alias("stop_loss"),
     )
 
@@ -367,7 +370,7 @@ def position_ticks(spark, sf):
     quotes = indexed_ticks(ticks(spark, sf)).drop(SLICE).withColumns(
         {"bid": F.col("mid") - F.col("spread") / 2, "ask": F.col("mid") + F.col("spread") / 2}
     )
-    return joins.positions_on_ticks(open_positions(spark, sf), quotes, HOLD)
+    return joins.positions_on_ticks(open_positions(spark, sf), quotes)
 
 
 MARK = """select symbol, ticket, row_idx, exit_price, gross, gross - (7.0 * lots + 2.0 * lots + 1.0) as net_pnl_usd,

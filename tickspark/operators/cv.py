@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def embargo_size(n: Column, pct: float = 0.01, low: int = 1, high: int = 100) -> Column:
-    """Rows kept free around a test block."""
-    return F.greatest(F.lit(low), F.least(F.floor(n * pct).cast("long"), F.lit(high)))
+def embargo_size(n: Column, pct: float = 0.01, low: int = 1, high: int | None = None) -> Column:
+    """Rows kept free around a test block: a share of ``n``, at least ``low`` and, if given, at most ``high``."""
+    rows = F.floor(n * pct).cast("long")
+    return F.greatest(F.lit(low), rows if high is None else F.least(rows, F.lit(high)))
 
 
 def _fold_start(fold: Column, n: Column, k: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ("symbol", "bar_idx")
@@ -61,16 +61,29 @@ def with_features(base: DataFrame, blocks: Sequence[DataFrame], on: Sequence[str
     return out
 
 
+#: Ticks in one block of the join of positions with ticks.
+LIFE_BLOCK = 4096
+
+
 def positions_on_ticks(
-    positions: DataFrame, ticks: DataFrame, hold_ticks: int, start: str = "start_row"
+    positions: DataFrame, ticks: DataFrame, start: str = "start_row", close: str = "close_row"
 ) -> DataFrame:
-    """Each position with the ``hold_ticks`` ticks after its opening row.
+    """Each position with the ticks after its opening row up to its closing row.
 
-    ``ticks`` carry ``row_idx`` and positions the row they were opened on, so this is the
-    windowed equi-join of :func:`event_window`, not a time-range join.
+    A position without a closing row is open until the series ends.  Positions are laid out on the
+    tick blocks of their life and joined by (symbol, block), so neither a long life nor a symbol with
+    most ticks meets in one task; the output holds what was asked for and nothing else.
     """
-    opened = positions.withColumn("row_idx", F.col(start))
-    quotes = ticks.select("symbol", "row_idx", "ts", "bid", "ask")
-    return event_window(opened, quotes, 1, hold_ticks, on="row_idx").drop("row_idx").withColumnRenamed(
-        "other_idx", "row_idx"
+    def block(row: Column) -> Column:
+        return F.floor(row / LIFE_BLOCK).cast("long")
+
+    last = ticks.groupBy("symbol").agg(F.max("row_idx").alias("_last"))
+    lives = positions.join(last, "symbol").withColumn(
+        "_until", F.least(F.coalesce(close, F.col("_last")), F.col("_last"))
+    ).where(F.col("_until") > F.col(start))
+    laid = lives.withColumn("_block", F.explode(F.sequence(block(F.col(start) + 1), block(F.col("_until")))))
+    quotes = ticks.select("symbol", "row_idx", "ts", "bid", "ask", block(F.col("row_idx")).alias("_block"))
+    met = laid.join(quotes, ["symbol", "_block"]).where(
+        (F.col("row_idx") > F.col(start)) & (F.col("row_idx") <= F.col("_until"))
     )
+    return met.drop("_block", "_until", "_last")

@@ -122,9 +122,9 @@ def _confusion(rows: DataFrame, keys: list[str], chosen: Column, label: str, wei
 
 def metrics_by_phase(
     scored: DataFrame, quantiles: Sequence[float] = (99, 95, 90, 85), phase: str = "market_phase",
-    min_rows: int = 10, min_rows_p99: int = 100, by: Sequence[str] = (),
+    min_rows: int = 1, min_rows_p99: int = 1, by: Sequence[str] = (),
 ) -> DataFrame:
-    """Counts, average precision and recall per phase; NULL where a phase has too few rows."""
+    """Counts, average precision and recall per phase; NULL where a phase has fewer rows than asked for."""
     keys = [*by, phase]
     counts = scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_samples"), F.sum("y").alias("n_positive"),
