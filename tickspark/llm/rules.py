@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.llm.common import SPACE, fold, let, read, window_hashes, words
+from tickspark.session import materialize
 
 #: Most labelled rows taken for learning.
 MAX_ROWS = 12_000
@@ -209,7 +210,8 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[Rule]:
     """Learn rules on rows that pass the base rule; at most ``max_rows`` rows reach the driver."""
-    stats = statistics(labelled(docs, labels, max_rows).select("doc_id", "text"))
+    # The sample is written first, or its texts' statistics would be counted before the join, over all texts.
+    stats = statistics(materialize(labelled(docs, labels, max_rows).select("doc_id", "text"), "labelled"))
     known = labels.select(F.col("doc_id").alias("_id"), "quality").dropDuplicates(["_id"])
     rows = stats.where(~base_failed()).join(known, F.col("doc_id") == F.col("_id")).select(
         *[c.alias(k) for k, c in ratios().items()], "quality"
