@@ -114,8 +114,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that contain a benchmark item go."""
-    leaks = find(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    leaks = find(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
 
 
 #: Containment counted on all shingles of all texts, without any search.

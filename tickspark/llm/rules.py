@@ -205,7 +205,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
     known = labels.where(F.col("quality").isNotNull() & (fold("doc_id", 5) != 0)).select(
         F.col("doc_id").alias("_id"), "quality"
     ).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    return docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).drop("_id")
+    return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[Rule]:

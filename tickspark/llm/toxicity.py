@@ -131,7 +131,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 12, rate: float = 0
     m = Model(rng.normal(0, 0.01, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2))
     number: dict[str, int] = {}
     docs = [np.fromiter((number.setdefault(w, len(number)) for w in tokens(t)), np.int32) for t in texts]
-    docs_ok = np.array([len(d) > 0 for d in docs])
+    docs_ok = np.array([len(d) > 0 for d in docs], bool)
     if len(set(toxic[docs_ok].tolist())) < 2:
         rate_toxic = float(np.clip(toxic.mean() if len(toxic) else 0, 1e-6, 1 - 1e-6))
         m.embedding[:] = 0
