@@ -11,8 +11,8 @@ the member that meets most others in its buckets, and what is linked falls into
 of one bucket in different components are compared, those outside its largest component with the others,
 and only pairs that pass the sketch leave the join.  Links inside a component cannot change it, so no
 component is lost.  Of the members still compared,
-shingles that no other of them has are counted out: they are in no intersection, which bounds the similarity
-of two sets from above and leaves far apart members of a large group without any pair.  A pair at the
+shingles that no other of them has are counted out: they are in no intersection.  Bitmaps of the rest
+bound the similarity of two sets from above, and pairs that cannot reach the threshold leave no row.  A pair at the
 threshold shares no band with a chance below 1 in 10,000; above it, the chance falls fast.
 
 Null and empty texts have no shingles and are linked with nothing; a text of fewer than five words has
@@ -41,6 +41,8 @@ SKETCH = 2048
 PERCENT = 75
 #: Pairs whose sketches estimate less are dropped; five standard errors below the threshold.
 SKETCH_FLOOR = 0.61
+#: Words of 64 bits in the bitmaps of members that are compared across components.
+MARK_WORDS = 64
 _RNG = np.random.default_rng(20090622)
 #: Multipliers of the hash functions.
 FACTORS = (_RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -122,11 +124,27 @@ def full_sets(chosen: DataFrame, docs: DataFrame) -> DataFrame:
     return shingles_of(texts).join(chosen.select("digest").distinct(), "digest").dropDuplicates(["digest"])
 
 
-def common_counts(chosen: DataFrame, docs: DataFrame) -> DataFrame:
-    """``digest, shared``: how many shingles of each chosen class another chosen class has too."""
+def common_marks(chosen: DataFrame, docs: DataFrame) -> DataFrame:
+    """``digest, shared, marks, bits``: of the shingles that another chosen class has too, how many a
+    chosen class has, a bitmap of their hashes, and how many of its bits are set."""
     each = materialize(full_sets(chosen, docs).select("digest", F.explode("shingles").alias("s")), "open-shingles")
     common = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s")
-    return each.join(common, "s").groupBy("digest").agg(F.count(F.lit(1)).alias("shared"))
+    word = F.pmod(F.col("s"), F.lit(MARK_WORDS))
+    words = each.join(common, "s").groupBy("digest", word.cast("int").alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftright(s, 32), 64) as int))")).alias("m")
+    )
+    kept = words.groupBy("digest").agg(
+        F.sum("n").alias("shared"), F.sum(F.bit_count("m")).alias("bits"),
+        F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("by_word"),
+    )
+    marks = F.transform(F.sequence(F.lit(0), F.lit(MARK_WORDS - 1)), lambda w: F.coalesce(F.try_element_at("by_word", w), F.lit(0).cast("long")))
+    return kept.select("digest", "shared", "bits", marks.alias("marks"))
+
+
+def most_common(x: str, y: str) -> Column:
+    """The most shingles that two chosen classes can share: common bits, and what one bit may stand for."""
+    both = sum((F.bit_count(F.col(f"{x}_marks")[k].bitwiseAND(F.col(f"{y}_marks")[k])) for k in range(MARK_WORDS)), F.lit(0))
+    return both + F.least(F.col(f"{x}_shared") - F.col(f"{x}_bits"), F.col(f"{y}_shared") - F.col(f"{y}_bits"))
 
 
 def similar_size(a: Column, b: Column) -> Column:
@@ -158,6 +176,10 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, label: str) -
     return materialize(both.where(linked).select("a", "b"), f"{label}-links")
 
 
+#: What a member brings to the comparison across components.
+MEMBER = ("digest", "root", "n_shingles", "shared", "bits", "marks", "sketch")
+
+
 def link(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``digest, root`` for every class that is linked with another."""
     keyed = classes.select("digest", "n_shingles", F.explode("bands").alias("key"))
@@ -187,18 +209,19 @@ def link(classes: DataFrame, docs: DataFrame) -> DataFrame:
     ).where("roots > 1").select("key", "main")
     open_rows = materialize(owned.join(mixed, "key"), "open")
     chosen = open_rows.select("digest").distinct().join(classes.select("digest", "first_id"), "digest")
-    shared = common_counts(materialize(chosen, "chosen"), docs)
+    shared = common_marks(materialize(chosen, "chosen"), docs)
     # A class whose shared shingles are too few for any link has no pair at all.
     open_rows = open_rows.join(shared, "digest").join(classes.select("digest", "sketch"), "digest").where(100 * F.col("shared") >= PERCENT * F.col("n_shingles"))
-    open_rows = materialize(open_rows.select("key", "main", "digest", "root", "n_shingles", "shared", "sketch"), "open-shared")
-    outside = open_rows.where("root <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("digest", "root", "n_shingles", "shared", "sketch")])
-    inside = open_rows.select("key", "main", *[F.col(c).alias(f"y_{c}") for c in ("digest", "root", "n_shingles", "shared", "sketch")])
+    open_rows = materialize(open_rows.select("key", "main", *MEMBER), "open-shared")
+    outside = open_rows.where("root <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in MEMBER])
+    inside = open_rows.select("key", "main", *[F.col(c).alias(f"y_{c}") for c in MEMBER])
     most = F.least("x_shared", "y_shared")
     rest = outside.join(inside, "key").where(
         (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_digest") < F.col("y_digest")))
         & similar_size(F.col("x_n_shingles"), F.col("y_n_shingles"))
         & (100 * most >= PERCENT * (F.col("x_n_shingles") + F.col("y_n_shingles") - most))
         & (estimate(F.col("x_sketch"), F.col("y_sketch")) >= SKETCH_FLOOR)
+        & ((100 + PERCENT) * most_common("x", "y") >= PERCENT * (F.col("x_n_shingles") + F.col("y_n_shingles")))
     )
     rest = rest.select(F.least("x_digest", "y_digest").alias("a"), F.greatest("x_digest", "y_digest").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     second = confirm(materialize(rest, "rest"), classes, docs, "rest")
