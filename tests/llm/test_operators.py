@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.conftest import SF
+from tests.llm.conftest import DOCS
 from tests.oracle import connect, differences
 from tickspark.llm import decontam, langid, neardup, packing, quality_fm, rules, sharding, tokenids, toxicity, warc
 from tickspark.llm.common import components, read, shingle_set, WordHash
@@ -352,6 +353,16 @@ def test_learned_list():
     assert found and (hit == bad).mean() > 0.97
 
 
+def test_leaks_go_by_row(spark):
+    """A leak under a null or repeated id takes no clean row of that id with it."""
+    item = read(spark, SF, "benchmark").where("size(split(text, ' ')) > 8").orderBy("item_id").first()["text"]
+    clean = [" ".join(f"c{k}x{j}" for j in range(30)) for k in range(4)]
+    rows = [(None, item), (None, clean[0]), (None, clean[1]), (None, None), (5, clean[2]), (5, "so " + item), (5, clean[2]), (6, item), (7, clean[3])]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = Counter((r["doc_id"], r["text"]) for r in decontam.drop_leaks(spark, docs, SF).collect())
+    assert got == Counter((i, t) for i, t in rows if item not in (t or ""))
+
+
 # --- 10: shards
 
 

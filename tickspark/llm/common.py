@@ -37,6 +37,11 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def text_key(text: Column) -> Column:
+    """128-bit hash of the bytes of a text; null for null."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda x: x != "")

@@ -9,8 +9,9 @@ the least power of two with which an item at the threshold shares no bin minimum
 chance below ``MISS``.  A shared minimum makes a candidate; containment is then counted on full shingle sets.
 
 Words are compared in lower case.  Items of fewer than five words have no shingles and are never found; the
-same holds for null and empty texts.  Null ids are kept as they are; rows with one id and different texts
-count by the higher containment.  Repeated rows give one pair.  Shingles are compared by 64-bit hashes.
+same holds for null and empty texts.  Null ids are kept as they are; in the table of pairs, rows with one id and
+different texts count by the higher containment, and repeated rows give one pair.  The pipeline stage judges every
+row by its own text, whatever its id.  Shingles are compared by 64-bit hashes, whole texts by 128-bit ones.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import let, read, window_hashes, words
+from tickspark.llm.common import let, read, text_key, window_hashes, words
 from tickspark.session import materialize
 
 #: Least containment that counts, in percent.
@@ -113,9 +114,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that contain a benchmark item go."""
-    leaks = find(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
+    """Pipeline stage: rows whose own text contains a benchmark item go; ids, null or repeated, do not matter."""
+    texts = docs.select(text_key(F.col("text")).alias("doc_id"), "text")
+    leaks = find(texts, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(leaks, text_key(docs["text"]) == leaks["_leak"], "left_anti")
 
 
 #: Containment counted on all shingles of all texts, without any search.
