@@ -166,6 +166,21 @@ def test_one_of_each_component_stays(spark, odd_docs):
     assert 1 in ids and 2 not in ids and {3, 4, 5, 6, 8, None} <= set(ids)
 
 
+def test_one_row_stays_without_ids(spark):
+    """Null ids, repeated rows, two texts under one id: one row of each component, and all that is no copy."""
+    a, b, c, d, e = (" ".join(f"{x}{j}" for j in range(60)) for x in "abcde")
+    rows = [
+        (None, a), (None, a), (None, a + " more"), (None, b), (3, b), (4, c), (4, c), (4, c), (5, d), (5, e), (6, e), (2, d + " more"),
+        (None, None), (7, ""), (8, " "), (8, None), (9, "x y"), (None, "x y"),
+    ]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = Counter((r["doc_id"], r["text"]) for r in neardup.drop_copies(spark, docs, SF).collect())
+    of_a = [got.pop((None, t), 0) for t in (a, a + " more")]
+    assert sum(of_a) == 1
+    want = [(3, b), (4, c), (2, d + " more"), (5, e), (None, None), (7, ""), (8, " "), (8, None), (9, "x y")]
+    assert got == Counter(want)
+
+
 def test_large_group_of_near_copies(spark):
     """A group whose members are near one hub but mostly not near each other, and some near nothing."""
     rng = np.random.default_rng(1)

@@ -17,8 +17,9 @@ threshold shares no band with a chance below 1 in 10,000; above it, the chance f
 
 Null and empty texts have no shingles and are linked with nothing; a text of fewer than five words has
 its whole sequence as its one shingle.  Repeats of a row share its component.  Null ids are allowed: a
-component takes the least id that is not null, or null when all are, and then keeps all its rows.
-Shingles are compared by 64-bit hashes, sets by 128-bit digests.
+component takes the least id that is not null, or null when all are, and then marks all its rows as kept.
+The pipeline stage keeps exactly one row of each component, also where ids are null or repeated.
+Shingles are compared by 64-bit hashes, sets and texts by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import WordHash, components, mix, read, shingle_set
+from tickspark.llm.common import WordHash, components, mix, read, shingle_set, text_key
 from tickspark.session import materialize
 
 BANDS, ROWS = 50, 6
@@ -78,7 +79,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, digest, sketch, bands`` of every document; the last three null without shingles."""
+    """``doc_id, text_key, n_shingles, digest, sketch, bands`` of every document; the last three null without shingles."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHash()
@@ -94,10 +95,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sketch.append(fold_bits(low))
                 bands.append(band_keys(low))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": n, "digest": digest, "sketch": sketch, "bands": bands})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_key": b["text_key"], "n_shingles": n, "digest": digest, "sketch": sketch, "bands": bands})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        sign, "doc_id long, n_shingles long, digest binary, sketch array<long>, bands array<long>"
+    return docs.select(F.col("doc_id").cast("long"), "text", text_key(F.col("text")).alias("text_key")).mapInPandas(
+        sign, "doc_id long, text_key binary, n_shingles long, digest binary, sketch array<long>, bands array<long>"
     )
 
 
@@ -110,7 +111,7 @@ def shingles_of(docs: DataFrame) -> DataFrame:
             sets = [s for s in (shingle_set(t, cache) for t in b["text"]) if len(s)]
             yield pd.DataFrame({
                 "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "shingles": [s.view(np.int64) for s in sets]
-            })
+            }, dtype=object)
 
     return docs.select("text").mapInPandas(take, "digest binary, shingles array<long>")
 
@@ -228,8 +229,8 @@ def link(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return components(first.unionByName(second))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every document."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and ``digest, first_id, root`` of every class; classes of one root are a component."""
     signed = materialize(signatures(docs), "signatures")
     classes = materialize(
         signed.where("n_shingles > 0").groupBy("digest").agg(
@@ -241,6 +242,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         classes.select("digest", "first_id").join(link(classes, docs).withColumnRenamed("node", "digest"), "digest", "left")
         .withColumn("root", F.coalesce("root", "digest")), "roots",
     )
+    return signed, roots
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every document."""
+    signed, roots = grouped(docs)
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = roots.join(least, "root").select("digest", "component_id")
     # Rows of one text share a digest, which may be that of a third of all rows: only the small side is grouped.
@@ -256,7 +263,37 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def chosen_rows(docs: DataFrame) -> DataFrame:
+    """``_id, _key, _n``: id and text key of the row that stays of each component, and how many rows have both.
+
+    It is the row of least id, null ids last, then of least key.  Rows without shingles are only grouped
+    with their repeats (same id, same text).
+    """
+    signed, roots = grouped(docs)
+    rows = signed.groupBy("doc_id", "text_key", "digest").agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(rows.join(roots.select("digest", "root"), "digest", "left"), "rows")
+    first = rows.where("root is not null").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "n")).alias("r")
+    )
+    names = ["_id", "_key", "_n"]
+    return materialize(
+        first.select("r.doc_id", "r.text_key", "r.n").toDF(*names)
+        .unionByName(rows.where("root is null").select("doc_id", "text_key", "n").toDF(*names)), "chosen-rows",
+    )
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, the one of least id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Pipeline stage: one row of each component stays, the one of least id."""
+    chosen = chosen_rows(docs)
+
+    def pick(rows: DataFrame) -> DataFrame:
+        same = docs["doc_id"].eqNullSafe(rows["_id"]) & text_key(docs["text"]).eqNullSafe(rows["_key"])
+        return docs.join(rows, same, "left_semi")
+
+    repeated = chosen.where("_n > 1")
+    if repeated.isEmpty():
+        return pick(chosen)
+    # Of rows with one id and one text, the first stays; they meet one by one partition.
+    by = ["_stage_id", "_stage_key"]
+    once = pick(repeated).withColumns({by[0]: F.col("doc_id"), by[1]: text_key(F.col("text"))}).dropDuplicates(by).drop(*by)
+    return pick(chosen.where("_n = 1")).unionByName(once)
