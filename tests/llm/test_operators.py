@@ -119,6 +119,25 @@ def test_archive_audit_of_odd_replicas(spark):
     assert set(found) == {"content", "moved"}
 
 
+def test_archive_audit_behind_a_gap(spark):
+    """Records lost, put in and lengthened in the middle are named; records behind their range are no damage."""
+    def replica(ids, html=lambda k: f"<p>{k}</p>"):
+        rows = [(k, f"u{k}", html(k)) for k in ids]
+        return warc.leaves(spark.createDataFrame(rows, "page_id long, url string, html string"))
+
+    ids = [None, None, *range(0, 1500), 1700, 1700, 1700, *range(2000, 3500), 1 << 40]
+    ours = replica(ids)
+    theirs = replica([k for k in ids if k not in (490, 1700)] + [1700, 1700, 495, 5000], lambda k: "<p>longer</p>" if k == 2990 else f"<p>{k}</p>")
+    found = {}
+    for r in warc.audit(ours, theirs).collect():
+        found.setdefault(r["damage"], []).append(r["page_id"])
+    assert sorted(found.pop("missing")) == [490, 1700] and sorted(found.pop("extra")) == [495, 5000] and found.pop("content") == [2990]
+    # The records between the lost one and the one put in, which has their length, and those behind 2990 in its range.
+    assert sorted(found.pop("moved")) == [*range(491, 496), *range(2991, 3000)] and not found
+    records = {r["digest"]: r["page_id"] for r in ours.collect()}
+    assert all(records[r["digest"]] == r["page_id"] for r in warc.audit(ours, theirs).collect() if r["digest"])
+
+
 # --- 4: near duplicates
 
 

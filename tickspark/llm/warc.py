@@ -1,13 +1,15 @@
 """Fixity audit of web archives with hash trees.
 
-Every record of an archive is a leaf: its ordinal, its byte range and the SHA-256 of its bytes.
-Sixteen neighbouring nodes, in order, are hashed with their byte ranges into one node of the next
-level, up to one root.  Two replicas with the same root are equal; otherwise only the children of
-nodes that differ are compared, level by level, until the damaged records are found.
-
-Null url or html counts as empty; a null page id sorts first.  Replicas of different length are
-compared over the longer one: a leaf without a partner is ``missing`` or ``extra``.  An empty
-replica has no leaves and a null root.  Repeated pages are separate records.
+Every record of an archive is a leaf: its digest (SHA-256 of its bytes, with the page id among them), the
+number of its copy among equal records, and its offset in a fixed range of page ids.  Digest and copy are keys
+that do not depend on which other records a replica holds; their hash gives the leaf a bucket of about sixteen,
+and sixteen neighbouring nodes are hashed into one of the next level, up to one root.  Two replicas with
+the same root are equal; otherwise only the children of nodes that differ are compared, level by level.  A record
+that is lost or put in shows in its own bucket and, as moved, in those of the records behind it in its range.
+
+What is left over on both sides is paired by page id, in order.  Null url or html counts as empty; a
+null page id sorts first and has a range of its own.  A record without a partner is ``missing`` or ``extra``.  An
+empty replica has no leaves.  Repeated pages are separate records.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from tickspark.session import materialize
 FANOUT = 16
 #: Records in one archive file.
 PER_ARCHIVE = 1000
+#: Page ids in one range, inside which offsets are compared.
+PER_RANGE = 1000
 
 
 def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
@@ -55,77 +59,91 @@ def leaves(pages: DataFrame) -> DataFrame:
     )
 
 
-def tree(leaf_rows: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels of the tree, leaves first: ``node, archive, start, stop, digest``; the last is the root.
+def keyed(leaf_rows: DataFrame) -> DataFrame:
+    """Leaves with ``copy``, their number among equal records, and ``offset``, their place in their range."""
+    upto = W.orderBy("archive").rowsBetween(W.unboundedPreceding, -1)
+    base = leaf_rows.groupBy("archive").agg(F.max("stop").alias("_bytes")).select(
+        "archive", F.coalesce(F.sum("_bytes").over(upto), F.lit(0)).alias("_base")
+    )
+    rows = leaf_rows.join(base, "archive").select(
+        *leaf_rows.columns, (F.col("start") + F.col("_base")).alias("_at"), F.expr(f"page_id div {PER_RANGE}").alias("_range")
+    )
+    first = rows.groupBy("digest").agg(F.min("ordinal").alias("_first"))
+    ranges = rows.groupBy(F.col("_range").alias("_of")).agg(F.min("_at").alias("_from"))
+    return rows.join(first, "digest").join(ranges, F.col("_range").eqNullSafe(F.col("_of"))).select(
+        *leaf_rows.columns, (F.col("ordinal") - F.col("_first")).alias("copy"), (F.col("_at") - F.col("_from")).alias("offset")
+    )
 
-    A node's range runs from the start of its first child to the stop of its last.  The number of
-    levels is the logarithm of the leaf count; at most ``fanout`` rows meet in one group.
-    """
-    level = leaf_rows.select(F.col("ordinal").alias("node"), "archive", "start", "stop", "digest")
-    n = level.agg(F.max("node").alias("m")).first()["m"]
-    levels = [level]
-    last = -1 if n is None else n
-    while last > 0:
-        child = F.array_sort(F.collect_list(F.struct("node", "archive", "start", "stop", "digest")))
-        grouped = levels[-1].groupBy(
-            ((F.col("node") - F.col("node") % fanout) / fanout).cast("long").alias("node")
-        ).agg(child.alias("c"))
-        text = F.array_join(
-            F.transform("c", lambda x: F.concat_ws(":", x["archive"], x["start"], x["stop"], x["digest"])), "\n"
-        )
-        above = grouped.select(
-            "node", F.col("c")[0]["archive"].alias("archive"), F.col("c")[0]["start"].alias("start"),
-            F.element_at("c", -1)["stop"].alias("stop"), F.sha2(text.cast("binary"), 256).alias("digest"),
-        )
-        levels.append(materialize(above, "tree"))
-        last //= fanout
+
+def depth_for(n: int, fanout: int = FANOUT) -> int:
+    """Levels of nodes above the buckets, so that a bucket has about ``fanout`` of ``n`` records."""
+    depth = 0
+    while fanout ** (depth + 1) < n:
+        depth += 1
+    return depth
+
+
+def tree(leaf_rows: DataFrame, depth: int, fanout: int = FANOUT) -> list[DataFrame]:
+    """The leaves (as from :func:`keyed`) with the ``node`` of their bucket, then levels of ``node, digest``
+    from the buckets to the root."""
+    bucket = F.pmod(F.xxhash64("digest", "copy"), F.lit(fanout**depth).cast("long"))
+    levels = [materialize(leaf_rows.withColumn("node", bucket), "replica")]
+
+    def above(rows: DataFrame, node: Column, *parts: str) -> DataFrame:
+        text = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", *parts))), "\n")
+        return materialize(rows.groupBy(node.alias("node")).agg(F.sha2(text.cast("binary"), 256).alias("digest")), "tree")
+
+    levels.append(above(levels[0], F.col("node"), "digest", "copy", "offset"))
+    for _ in range(depth):
+        levels.append(above(levels[-1], F.expr(f"node div {fanout}"), "node", "digest"))
     return levels
 
 
 def compare(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """``node`` of the leaves that differ, and the rows of both sides; descends from the roots.
-
-    When the trees differ in height, the higher levels are taken as differing.
-    """
-    height = max(len(ours), len(theirs))
+    """``node`` of the buckets that differ; descends from the roots."""
     bad = None
-    for k in range(height - 1, -1, -1):
-        if k >= min(len(ours), len(theirs)):
-            continue
-        a, b = ours[k], theirs[k]
+    for a, b in zip(reversed(ours[1:]), reversed(theirs[1:]), strict=True):
         if bad is not None:
             parents = bad.select(F.col("node").alias("parent"))
-            up = ((F.col("node") - F.col("node") % fanout) / fanout).cast("long")
-            a = a.join(parents, up == F.col("parent"), "left_semi")
-            b = b.join(parents, up == F.col("parent"), "left_semi")
-        both = a.select("node", *[F.col(c).alias(f"a_{c}") for c in ("archive", "start", "stop", "digest")]).join(
-            b.select("node", *[F.col(c).alias(f"b_{c}") for c in ("archive", "start", "stop", "digest")]),
-            "node", "full_outer",
-        )
-        bad = materialize(both.where(
-            ~(F.col("a_digest").eqNullSafe(F.col("b_digest")) & F.col("a_start").eqNullSafe(F.col("b_start"))
-              & F.col("a_stop").eqNullSafe(F.col("b_stop")))
-        ), "damage")
+            up = F.expr(f"node div {fanout}") == F.col("parent")
+            a, b = a.join(parents, up, "left_semi"), b.join(parents, up, "left_semi")
+        both = a.withColumnRenamed("digest", "a").join(b.withColumnRenamed("digest", "b"), "node", "full_outer")
+        bad = materialize(both.where(~F.col("a").eqNullSafe(F.col("b"))).select("node"), "damage")
     return bad
 
 
+#: What is known of a record on one side.
+SIDE = ("ordinal", "archive", "start", "stop", "digest", "offset")
+
+
+def pair(rows: DataFrame, *by: str) -> DataFrame:
+    """The records ``a`` (ours) and ``b`` (theirs) of each key, at most one on either side."""
+    return rows.groupBy(*by).agg(*[F.max(F.when(F.col("side") == s, F.struct(*SIDE))).alias(s) for s in "ab"])
+
+
 def audit(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Records of ``ours`` and ``theirs`` (as from :func:`leaves`) that differ, with what differs.
 
-    ``damage``: ``content`` (other bytes), ``moved`` (same bytes elsewhere), ``missing`` (only in
-    ours), ``extra`` (only in theirs).
+    ``damage``: ``content`` (other bytes under the same page id), ``moved`` (same bytes at another offset
+    in the range of page ids), ``missing`` (only in ours), ``extra`` (only in theirs).  Ordinal, archive, start
+    and stop are those of ours, and of theirs for ``extra``.
     """
-    ours, theirs = materialize(ours, "replica"), materialize(theirs, "replica")
-    bad = compare(tree(ours, fanout), tree(theirs, fanout), fanout)
-    kind = (
-        F.when(F.col("b_digest").isNull(), "missing").when(F.col("a_digest").isNull(), "extra")
-        .when(F.col("a_digest") == F.col("b_digest"), "moved").otherwise("content")
-    )
-    names = ours.select("ordinal", "page_id").join(bad.select(F.col("node").alias("ordinal")), "ordinal", "left_semi")
-    return bad.withColumn("damage", kind).join(names.withColumnRenamed("ordinal", "node"), "node", "left").select(
-        F.col("node").alias("ordinal"), "page_id", F.coalesce("a_archive", "b_archive").alias("archive"),
-        F.coalesce("a_start", "b_start").alias("start"), F.coalesce("a_stop", "b_stop").alias("stop"),
-        F.col("a_digest").alias("digest"), F.col("b_digest").alias("other_digest"), "damage",
+    ours, theirs = materialize(ours, "leaves"), materialize(theirs, "leaves")
+    depth = depth_for(max(ours.count(), theirs.count()), fanout)
+    trees = [tree(keyed(rows), depth, fanout) for rows in (ours, theirs)]
+    bad = compare(*trees, fanout)
+    a, b = (t[0].join(bad, "node", "left_semi").withColumn("side", F.lit(s)) for t, s in zip(trees, "ab", strict=True))
+    same = materialize(pair(a.unionByName(b), "page_id", "digest", "copy"), "pairs")
+    moved = same.where(F.col("a.offset") != F.col("b.offset")).select("page_id", "a", "b", F.lit("moved").alias("damage"))
+    alone = same.where("a is null or b is null").select(
+        "page_id", F.when(F.col("b").isNull(), "a").otherwise("b").alias("side"), F.coalesce("a", "b").alias("r")
+    ).select("page_id", "side", "r.*")
+    turn = F.row_number().over(W.partitionBy("page_id", "side").orderBy("ordinal"))
+    kind = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("content")
+    rest = pair(alone.withColumn("turn", turn), "page_id", "turn").select("page_id", "a", "b", kind.alias("damage"))
+    return moved.unionByName(rest).withColumn("r", F.coalesce("a", "b")).select(
+        "r.ordinal", "page_id", "r.archive", "r.start", "r.stop",
+        F.col("a.digest").alias("digest"), F.col("b.digest").alias("other_digest"), "damage",
     )
 
 
