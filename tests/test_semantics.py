@@ -144,6 +144,36 @@ def test_counter_cap(spark):
             recent.append(counter)
 
 
+def test_state_runs_on_over_days_and_batches(spark):
+    """Without sessions, state is carried along each series however it is cut into batches."""
+    n, before = 400, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    mids = {s: [100.0 + ((i * m) % 17) / 4 + i / 50 for i in range(n)] for s, m in (("X", 7), ("Y", 5))}
+    kinds = [("COUNTER", "ALIGNED", "COUNTER")[i * i % 3] for i in range(n)]
+    rows = [(s, i, x - 0.5, x + 0.5, x, kinds[i]) for s, xs in mids.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "symbol string, seq long, bid double, ask double, close double, trend_alignment string")
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("seq") * 20_000)).withColumn("open_time", F.col("ts")).withColumn("bar_idx", F.col("seq"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got_bars = fold.imbalance_bars(df, 4.0).orderBy("symbol", "bar_in_session").collect()
+        got_kalman = denoise.denoise(df, "adaptive").orderBy("symbol", "seq").collect()
+        got_cap = fold.counter_cap(df).orderBy("symbol", "seq").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    past, bars, estimates, accepted = [], [], [], []
+    for s, xs in mids.items():
+        ids, closes = fold.imbalance_bar_ids([0.0, *(float((b > a) - (b < a)) for a, b in zip(xs, xs[1:]))], 4.0)
+        bars += [(s, k, ids.count(k), k in {i for i, c in zip(ids, closes) if c}) for k in range(max(ids) + 1)]
+        flt, past = fold.AdaptiveKalman(), []
+        estimates += [flt.step(x)[0] for x in xs]
+        for kind in kinds:
+            ok = not (kind == "COUNTER" and len(past) >= 5 and sum(past) / len(past) >= 0.3)
+            accepted.append(ok)
+            past = [*past, kind == "COUNTER"][-20:] if ok else past
+    assert [(r["symbol"], r["bar_in_session"], r["tick_count"], r["is_complete"]) for r in got_bars] == bars
+    assert [r["kalman"] for r in got_kalman] == pytest.approx(estimates, abs=1e-12)
+    assert [r["accepted"] for r in got_cap] == accepted
+
+
 def test_training_never_meets_the_test_block(bar_rows):
     samples = bar_rows.select("symbol", "bar_idx", F.col("bar_idx").alias("pos"), F.lit(7).alias("holding"))
     for table, key in (
