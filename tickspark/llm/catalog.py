@@ -1,6 +1,8 @@
 """The registered queries of the corpus operators: name to (function, SQL or None)."""
 
-from tickspark.llm import decontam, langid, neardup, packing, quality_fm, rules, sharding, tokenids, toxicity, warc
+from tickspark.llm import (
+    balanced, decontam, fim, langid, neardup, packing, quality_fm, rules, sharding, tokenids, toxicity, trie, warc,
+)
 
 QUERIES = {
     "op1_toxicity": (toxicity.op1, None),
@@ -13,4 +15,7 @@ QUERIES = {
     "op8_quality_rules": (rules.op8, None),
     "op9_langid": (langid.op9, None),
     "op10_sharding": (sharding.op10, None),
+    "op11_balanced_packing": (balanced.op11, None),
+    "op12_fill_in_middle": (fim.op12, fim.OP12_SQL),
+    "op13_prefix_trie": (trie.op13, trie.OP13_SQL),
 }

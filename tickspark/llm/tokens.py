@@ -4,7 +4,8 @@ Both vocabularies split a text at white space, and what lies between is encoded
 word goes through the tokenizers library once per worker and is looked up afterwards.  The texts are cut here
 only where that is sure to agree with the library: Latin letters (code points up to U+024F), which
 every Unicode version treats alike, and, for the byte vocabulary, single spaces.  Any other text goes to
-the library whole.  Strings of special tokens are ordinary text.
+the library whole, and so does one that may hold the string of a special token.  Such strings give the special
+id, as in the library's plain call; ``special_as_text`` treats them as ordinary text.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]")
 CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 #: Single marks that are pieces of their own after a letter.
 STOPS = ".,;:!?"
+#: How the strings of special tokens begin in these vocabularies.
+SPECIAL = "<|"
 #: White space before a space, which the byte vocabulary may join to one piece.
 GAP = re.compile("[\t\n\r ] ")
 
@@ -34,9 +37,10 @@ class Encoder:
     #: Characters of texts whose new words are encoded together.
     GROUP = 300_000
 
-    def __init__(self, path: str, lower: bool, width: int = 2) -> None:
+    def __init__(self, path: str, lower: bool, width: int = 2, special_as_text: bool = False) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = None if special_as_text else SPECIAL
         self.lower, self.kind = lower, {2: "H", 4: "I"}[width]
         self.known: dict[str, bytes] = {}
         mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
@@ -72,7 +76,10 @@ class Encoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if (not text.isascii() or CONTROL.search(text)) and OTHER.search(text) or (not self.lower and GAP.search(text)):
+            if (
+                (not text.isascii() or CONTROL.search(text)) and OTHER.search(text)
+                or (not self.lower and GAP.search(text)) or (self.special and self.special in text)
+            ):
                 out[k] = self._encode([text])[0]
                 continue
             if self.lower:
@@ -111,6 +118,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, lower: bool, width: int = 2) -> Encoder:
+def encoder(path: str, lower: bool, width: int = 2, special_as_text: bool = False) -> Encoder:
     """The encoder of this worker process; it keeps the words it knows from task to task."""
-    return Encoder(path, lower, width)
+    return Encoder(path, lower, width, special_as_text)
