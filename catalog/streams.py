@@ -4,39 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import BARS, TICKS, bars, query, ticks
-from catalog.bars import BAR_SPEC
-from catalog.features import ID, INV, RET, THERMO, ewma_sql, w, zscore_sql
-from catalog.gaps import DAILY, asof_sql
+from catalog.base import BARS, TICKS, bars, gap_bars, query, ticks
+from catalog.bars import BAR_SPEC, time_bars_sql
+from catalog.features import (
+    ID, INV, RET, ST, THERMO, VPIN, ewma_sql, st_features_sql, supertrend_sql, w, zscore_sql,
+)
+from catalog.gaps import (
+    ACTIVE, AGE, CAL, DAILY, DAY, DET, EVENT, MIN_BPS, ST15, ST_COLUMNS, STRUCT, asof_sql,
+)
+from catalog.indicators import HAAR, KAL
 from tickspark.operators.bars import BAR_COLUMNS
 from tickspark.plans.features import FeatureConfig
-from tickspark.session import scratch_path
+from tickspark.session import materialize, scratch_path
 from tickspark.sources.ticks import stream_ticks
 from tickspark.streaming import bars as sbars
 from tickspark.streaming import features as sfeat
+from tickspark.streaming.online import stream_features
 from tickspark.streaming.run import run_to_table
 
 
+def write_parts(df, path: str, part) -> None:
+    """Append the rows of part 0, 1, ... one part after the other; a symbol's rows of a part share a file."""
+    rows = materialize(df.withColumn("_part", part), "arriving")
+    for (k,) in sorted(rows.select("_part").distinct().collect()):
+        rows.filter(F.col("_part") == k).drop("_part").repartition(2, "symbol").write.mode("append").parquet(path)
+
+
 def write_in_order(df, path: str, order: str, parts: int = 4) -> None:
-    """Append ``parts`` files one after the other, so that they arrive in order of ``order``."""
+    """Append ``parts`` parts of similar size, so that they arrive in order of ``order``."""
     key = F.col(order).cast("double")
     cuts = df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)])).first()[0]
-    part = sum((F.when(key > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    for k in range(parts):
-        df.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    write_parts(df, path, sum((F.when(key > c, 1).otherwise(0) for c in cuts), F.lit(0)))
 
 
-def as_stream(df, label: str, order: str, per_trigger: int = 1):
-    """The rows as a stream that reads them a file at a time in order of ``order``."""
+def as_stream(df, label: str, order: str, per_trigger: int = 2, parts: int = 4):
+    """The rows as a stream that reads them a part at a time in order of ``order``."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    write_in_order(df, path, order)
+    write_in_order(df, path, order, parts)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def tick_stream(spark, sf, files: int = 4):
+def tick_stream(spark, sf, parts: int = 3):
+    """Ticks in order of time over several triggers."""
     path = scratch_path(spark, "stream-ticks")
-    ticks(spark, sf).repartitionByRange(files, "ts").write.parquet(path)
-    return stream_ticks(spark, path, max_files_per_trigger=files)
+    write_in_order(ticks(spark, sf), path, "ts", parts)
+    return stream_ticks(spark, path, max_files_per_trigger=2)
 
 
 @query("X1_stream_bars", BAR_SPEC, f"with {BARS} select * from bars")
@@ -78,15 +90,91 @@ def _(spark, sf):
 
 
 def stream_feature_table(spark, sf):
-    stream = as_stream(bars(spark, sf), "bar-stream", "bar_idx")
-    return run_to_table(sfeat.stream_features(stream, FeatureConfig(higher_seconds=86_400)), "x3")
+    return run_to_table(stream_features(as_stream(bars(spark, sf), "bar-stream", "bar_idx"), ONLINE), "x3")
+
+
+ONLINE = FeatureConfig(higher_seconds=DAY, bucket_volume=100.0, n_buckets=10, wavelet="haar")
+ONLINE_GAPS = FeatureConfig(higher_seconds=DAY, gap_min_bps=MIN_BPS, gap_max_age=AGE)
+
+
+@query("X3_stream_flow", ID + "vpin:f vpin_zscore:f",
+       f"""with {VPIN}, f as (select *, coalesce(vpin, 0.0) as v from vb)
+       select symbol, bar_idx, vpin, {zscore_sql('v', 100)} as vpin_zscore from f""")
+def _(spark, sf):
+    return stream_feature_table(spark, sf)
+
+
+@query("X3_stream_trend", ID + "trend_deviation:f trend_direction:i trend_duration:i bos:i choch:i structure_signal:i",
+       f"""with recursive {STRUCT} select *, (close - st_line) / close * 100 as trend_deviation, st_dir as trend_direction from sx""")
+def _(spark, sf):
+    return stream_feature_table(spark, sf)
+
+
+@query("X3_stream_denoise", ID + "kalman_residual_bps:f kalman_gain:f wavelet_energy_1:f wavelet_energy_2:f wavelet_trend_ratio:f",
+       f"""with recursive {KAL}, {HAAR} select h.symbol, h.bar_idx, res / close * 1e4 as kalman_residual_bps, k as kalman_gain,
+       detail_1 * detail_1 as wavelet_energy_1, detail_2 * detail_2 as wavelet_energy_2,
+       (var_pop(wavelet_trend) {w(100)}) / ((var_pop(close) {w(100)}) + 1e-10) as wavelet_trend_ratio
+       from haar h join kr using (symbol, bar_idx)""")
+def _(spark, sf):
+    return stream_feature_table(spark, sf)
+
+
+@query("X3_stream_calendar",
+       ID + "hour_of_day:i minute_of_hour:i day_of_week:i hour_sin:f hour_cos:f session:i bars_from_session_open:i "
+       "is_session_open:i is_session_close:i",
+       f"""with {CAL}, ch as (select *, case when session <> coalesce(lag(session) over (partition by symbol order by bar_idx), 4)
+         and session <> 4 then bar_idx end as st, (epoch_us(open_time) % 86400000000) / 60000000.0 as mi from ses)
+       select *, bar_idx - coalesce(max(st) over (partition by symbol order by bar_idx
+         rows between unbounded preceding and current row), 0) as bars_from_session_open,
+         sin(2 * pi() * (hour_of_day + minute_of_hour / 60.0) / 24) as hour_sin, cos(2 * pi() * (hour_of_day + minute_of_hour / 60.0) / 24) as hour_cos,
+         case when (mi >= 0 and mi < 30) or (mi >= 480 and mi < 510) or (mi >= 780 and mi < 810) then 1 else 0 end as is_session_open,
+         case when (mi >= 450 and mi < 480) or (mi >= 930 and mi < 960) or (mi >= 1230 and mi < 1260) then 1 else 0 end as is_session_close from ch""")
+def _(spark, sf):
+    return stream_feature_table(spark, sf)
+
+
+def stream_gap_table(spark, sf):
+    return run_to_table(stream_features(as_stream(gap_bars(spark, sf), "gap-stream", "bar_idx"), ONLINE_GAPS), "x3-gaps")
+
+
+GAP_TREND = f"""tb as ({time_bars_sql(DAY)}), hi as (select *, start_time + interval 1 day as end_time,
+    row_number() over (partition by symbol order by start_time) - 1 as bar_idx from tb), {supertrend_sql('hi')}, {st_features_sql('_15m')}"""
+
+
+@query("X3_stream_gaps",
+       ID + "bullish_fvg:i bearish_fvg:i active_fvg_count:i fvg_size_atr:f fvg_age_bars:i price_to_fvg_mid:f fvg_filled_pct:f "
+       "nearest_fvg_distance:f fvg_event:i fvg_impulse_atr:f fvg_follow_up_3:f fvg_follow_dn_3:f fvg_follow_bars:i fvg_follow_net:f",
+       f"with recursive {DET}{ACTIVE}{EVENT} select * from ev join act using (symbol, bar_idx)")
+def _(spark, sf):
+    return stream_gap_table(spark, sf)
+
+
+@query("X3_stream_interactions",
+       ID + "trend_fvg_alignment:f trend_strength_x_fvg:f trend_fvg_distance:f session_trend_interaction:f st_alignment:i "
+       "fvg_location_15m:f atr_ratio_1m_15m:f",
+       f"""with recursive {DET}{ACTIVE}{EVENT}, {GAP_TREND},
+       jn as (select e.*, a.bullish_fvg, a.bearish_fvg, a.fvg_size_atr, a.price_to_fvg_mid, s.st_trend_15m as tr, s.st_distance_15m as di,
+         (s.high + s.low) / 2 as m, case when s.high is not null then greatest(s.high - s.low, 1e-10) end as rg, hour(e.open_time) as h
+         from ev e join act a using (symbol, bar_idx) asof left join sf s on s.symbol = e.symbol and s.end_time <= e.open_time)
+       select *, tr * (bullish_fvg - bearish_fvg) as trend_fvg_alignment, abs(di) * fvg_size_atr as trend_strength_x_fvg,
+         di * price_to_fvg_mid as trend_fvg_distance, tr * case when h between 13 and 15 then 3 when h between 13 and 20 then 2
+           when h between 8 and 15 then 1 when h < 8 then 0 else 4 end as session_trend_interaction, tr * fvg_event as st_alignment,
+         case when m > 0 then (close - m) / rg else 0 end as fvg_location_15m, atr / rg as atr_ratio_1m_15m from jn""")
+def _(spark, sf):
+    return stream_gap_table(spark, sf)
 
 
 @query("X4_stream_higher", ID + "mid_15m_range:f atr_15m:f",
        f"with {DAILY} {asof_sql('end_time', 'h.mid_15m_range, h.atr_15m')}")
 def _(spark, sf):
-    out = stream_feature_table(spark, sf)
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("mid_15m_range", "atr_15m")})
+    return stream_feature_table(spark, sf)
+
+
+@query("X4_stream_supertrend",
+       ID + "st_trend_15m:i st_distance_15m:f st_bars_since_flip_15m:i st_slope_15m:f st_bandwidth_15m:f",
+       f"with recursive {ST15} select * from sa")
+def _(spark, sf):
+    return stream_feature_table(spark, sf).fillna(0, ST_COLUMNS)
 
 
 def decision_rows(spark, sf):
@@ -125,10 +213,11 @@ X5_SQL = f"""with {BARS}, f as (select symbol, bar_idx, close, high - low as atr
     case when direction = 1 then close - 3 * atr else close + 3 * atr end as stop_loss,
     coalesce(ls = direction and bar_idx - li <= 10, false) as ok from k),
   s as (select *, row_number() over (partition by symbol order by bar_idx) - 1 as si,
-      case when trend_alignment = 'ALIGNED' then 90.0 when trend_alignment = 'COUNTER' then 97.0 when ph = 'LAMINAR' then 97.0 else 95.0 end as q
+      case when trend_alignment = 'ALIGNED' then 90.0 when ph = 'FROZEN' then 99.0 when trend_alignment = 'COUNTER' or ph = 'LAMINAR' then 97.0
+        when ph = 'TURBULENT' then 92.0 else 95.0 end as q
     from m where bar_idx + 1 >= 3 and event_present and (trend_alignment <> 'COUNTER' or ok)),
-  t as (select *, least(si + 1, 30) as size, case q when 90.0 then quantile_cont(score, 0.9) over v when 95.0 then quantile_cont(score, 0.95) over v
-      else quantile_cont(score, 0.97) over v end as picked
+  t as (select *, least(si + 1, 30) as size, case q when 90.0 then quantile_cont(score, 0.9) over v when 92.0 then quantile_cont(score, 0.92) over v
+      when 95.0 then quantile_cont(score, 0.95) over v when 97.0 then quantile_cont(score, 0.97) over v else quantile_cont(score, 0.99) over v end as picked
     from s window v as (partition by symbol order by bar_idx rows between 29 preceding and current row)),
   th as (select *, case when size < 5 then 'FROZEN' when size < 12 then 'FIXED' else 'ROLLING' end as gate_stage,
     case when size < 5 then null when size < 12 then 0.7 else greatest(0.1, least(0.9, picked)) end as threshold from t)
@@ -148,6 +237,36 @@ def _(spark, sf):
     return out.withColumn("threshold", F.when(~F.isnan("threshold"), F.col("threshold")))
 
 
+#: Bounds of the phases for bars of two ticks of this data.
+LIVE_PHASES = {"frozen": 0.0008, "laminar": 0.0012, "turbulent": 0.0016}
+LIVE = FeatureConfig(higher_seconds=DAY, gap_min_bps=MIN_BPS, gap_max_age=AGE, phase_limits=LIVE_PHASES)
+
+LIVE_SQL = f"""with recursive {DET}{EVENT}, mst as (select * from (with recursive {supertrend_sql('bars')} select * from st)),
+  {STRUCT[len(ST) + 2:].replace("from st", "from mst").replace("mst_", "st_")}, {GAP_TREND},
+  lr as (select symbol, bar_idx, greatest(duration_ms, 1.0) as dt, coalesce(ln(close / lag(close) over (partition by symbol order by bar_idx)), 0.0) as r from bars),
+  tm as (select symbol, bar_idx, case when count(*) {w(50)} = 50 then (var_pop(r) {w(50)}) / (avg(dt) {w(50)}) * 1e6 end as t from lr),
+  f as (select e.symbol, e.bar_idx, e.close, e.atr, e.fvg_event as ev, coalesce(s.st_trend_15m, 0) as tr, x.structure_signal as sg,
+      1 / (1 + exp(1 - e.fvg_impulse_atr - 0.1 * coalesce(e.fvg_follow_net, 0))) as score,
+      case when tm.t < 0.0008 then 'FROZEN' when tm.t < 0.0012 then 'LAMINAR' when tm.t < 0.0016 then 'TRANSITION' when tm.t is not null then 'TURBULENT' end as ph
+    from ev e join sx x using (symbol, bar_idx) join tm using (symbol, bar_idx)
+    asof left join sf s on s.symbol = e.symbol and s.end_time <= e.open_time),
+{X5_SQL[X5_SQL.index("  e as (select"):]}"""
+
+
+def with_score(features):
+    """A fixed logistic score of impulse and follow-through stands for the model."""
+    z = F.col("fvg_impulse_atr") + 0.1 * F.coalesce("fvg_follow_net", F.lit(0.0)) - 1
+    return features.withColumn("score", 1 / (1 + F.exp(-z))).fillna(0, ["st_trend_15m"])
+
+
+@query("X5_live_path", DECISION_SPEC, LIVE_SQL)
+def _(spark, sf):
+    """Ticks to bars to features to scores to decisions: three stateful steps in one streaming query."""
+    live = sbars.finished_bars(sbars.stream_bars(tick_stream(spark, sf), 2))
+    out = run_to_table(sfeat.stream_decisions(with_score(stream_features(live, LIVE)), live_config()), "x5-live")
+    return out.withColumn("threshold", F.when(~F.isnan("threshold"), F.col("threshold")))
+
+
 @query("V15_run_signals", DECISION_SPEC, X5_SQL)
 def _(spark, sf):
     """The same decisions from the batch operators."""
@@ -179,23 +298,36 @@ def _(spark, sf):
     cut = F.lit("2024-01-16 00:00:00").cast("timestamp")
     t = ticks(spark, sf)
     path = scratch_path(spark, "live-ticks")
-    t.filter(F.col("ts") >= cut).repartitionByRange(2, "ts").write.parquet(path)
+    write_in_order(t.filter(F.col("ts") >= cut), path, "ts", 2)
     stream = stream_ticks(spark, path, max_files_per_trigger=2)
     history = sbars.bar_state(t.filter(F.col("ts") < cut), 20)
     out = run_to_table(sbars.stream_bars(stream, 20, history=history), "x6")
     return sbars.finished_bars(out).select(BAR_COLUMNS)
 
 
-@query("X7_late_policy", "symbol:s n_bars:i n_late:i")
+LATE_SQL = f"""with {TICKS}, ar as (select *, ts + case when seq % 100 = 99 then interval 1 day when seq % 5 = 4 then interval 1 hour
+      else interval 0 hour end as arrival from ticks),
+  b as (select *, epoch_us(arrival) // (5 * 86400000000) as part from ar),
+  p as (select symbol, part, max(max(ts)) over (partition by symbol order by part) as newest from b group by symbol, part),
+  u as (select p.symbol, p.part, lead(p.part) over (partition by p.symbol order by p.part) as next_part,
+      max(b.ts) as used from p join b on b.symbol = p.symbol and b.part <= p.part and b.ts <= p.newest - interval 2 hour group by p.symbol, p.part),
+  j as (select b.*, coalesce(b.ts < u.used, false) as late from b left join u on u.symbol = b.symbol and u.next_part = b.part)
+  select symbol, count(*) filter (where not late) // 20 as n_bars, count(*) filter (where late) as n_late from j group by symbol"""
+
+
+@query("X7_late_policy", "symbol:s n_bars:i n_late:i", LATE_SQL)
 def _(spark, sf):
-    """Every fifth tick arrives an hour late, every hundredth a day late; two hours are waited for."""
+    """Every fifth tick arrives an hour late, every hundredth a day late; two hours are waited for.
+
+    Ticks arrive five days at a time.  The last ones of each symbol come out by its timer.
+    """
     k = F.col("seq")
     late = F.when(k % 100 == 99, F.expr("interval 1 day")).when(k % 5 == 4, F.expr("interval 1 hour")).otherwise(F.expr("interval 0 hour"))
-    arriving = ticks(spark, sf).withColumn("_arrival", F.col("ts") + late)
+    arriving = ticks(spark, sf).withColumn("arrival", F.col("ts") + late)
     path = scratch_path(spark, "late-ticks")
-    write_in_order(arriving, path, "_arrival", 8)
-    stream = stream_ticks(spark, path, max_files_per_trigger=1)
-    out = run_to_table(sbars.stream_bars(stream, 20, delay_ms=7_200_000), "x7")
+    write_parts(arriving, path, F.floor(F.unix_micros("arrival") / (5 * DAY * 1_000_000)))
+    stream = spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    out = run_to_table(sbars.stream_bars(stream, 20, delay_ms=7_200_000, clock="arrival"), "x7")
     return out.groupBy("symbol").agg(
         F.count_if(F.col("kind") == "bar").alias("n_bars"), F.count_if(F.col("kind") == "late").alias("n_late")
     )
@@ -214,7 +346,7 @@ def scored_ticks(spark, sf):
          0 as n_invalid, count(*) filter (where latency_ms > 200) as n_slow, max(latency_ms) as max_latency_ms from s group by all)
        select * from g where start_time + interval 1 day <= (select max(ts) from ticks) - interval 1 minute""")
 def _(spark, sf):
-    stream = as_stream(scored_ticks(spark, sf), "score-stream", "ts", per_trigger=4)
+    stream = as_stream(scored_ticks(spark, sf), "score-stream", "ts")
     return run_to_table(sfeat.stream_alerts(stream, window="1 day"), "x8")
 
 

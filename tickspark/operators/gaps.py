@@ -108,10 +108,16 @@ ACTIVE_FIELDS = T.StructType(
 )
 
 
-def _active_rows(pdf: pd.DataFrame, idx: str, max_age: int, max_active: int, ce_bps: float) -> list[tuple]:
-    """Walk one block keeping the gaps that are neither filled nor too old."""
+def active_rows(
+    pdf: pd.DataFrame, idx: str, max_age: int, max_active: int, ce_bps: float, alive: list[list],
+) -> list[tuple]:
+    """Walk consecutive rows keeping the gaps that are neither filled nor too old.
+
+    ``alive`` holds the live gaps (side, top, bottom, middle, birth, filled part) before the rows and is
+    left as they are after them.
+    """
     columns = [idx, "high", "low", "close", "fvg_type", "gap_top", "gap_bottom"]
-    out, alive = [], []
+    out = []
     for i, high, low, close, kind, top, bottom in zip(*(pdf[c].tolist() for c in columns)):
         kept = []
         for gap in alive:
@@ -122,7 +128,7 @@ def _active_rows(pdf: pd.DataFrame, idx: str, max_age: int, max_active: int, ce_
                 depth = (g_top - low) if side == 1 else (high - g_bottom)
                 gap[5] = min(1.0, depth / (g_top - g_bottom))
             kept.append(gap)
-        alive = kept
+        alive[:] = kept
         if kind:
             alive.append([kind, top, bottom, (top + bottom) / 2, i, 0.0])
         newest = alive[-max_active:]
@@ -156,14 +162,18 @@ def fvg_state_features(
     idx, names = layout.idx, ACTIVE_FIELDS.fieldNames()
 
     def fn(pdf: pd.DataFrame) -> dict:
-        rows = pd.DataFrame(_active_rows(pdf, idx, max_age, max_active, ce_bps), columns=names)
+        rows = pd.DataFrame(active_rows(pdf, idx, max_age, max_active, ce_bps, []), columns=names)
         whole = {c: rows[c].astype("Int64") for c in ("fvg_age_bars", "ce_bull_idx", "ce_bear_idx")}
         return {c: whole.get(c, rows[c]) for c in names}
 
-    out = walk_blocks(detected, [Walk(fn, ACTIVE_FIELDS.fields, max_age)], layout)
+    return active_columns(walk_blocks(detected, [Walk(fn, ACTIVE_FIELDS.fields, max_age)], layout))
+
+
+def active_columns(walked: DataFrame) -> DataFrame:
+    """Feature columns from the outputs of :func:`active_rows`; needs ``atr``."""
     unit = F.greatest(F.col("atr"), F.lit(EPSILON))
     offset = F.col("close") - F.col("_mid")
-    return out.withColumns(
+    return walked.withColumns(
         {
             "fvg_size_atr": F.col("_size") / unit,
             "price_to_fvg_mid": offset / unit,

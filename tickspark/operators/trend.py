@@ -64,6 +64,24 @@ def band_stage(hold_on_equal: bool) -> list[Kernel]:
     ]
 
 
+def supertrend_stages(cfg: SuperTrend, idx: str = "bar_idx") -> list:
+    """Stages of the SuperTrend on rows with ``prev_close``, ``st_atr``, the pivots and prices."""
+    def raw_bands(rows):
+        width = (cfg.factor * rows["st_atr"]).where(rows["st_atr"] > 0)
+        return {"raw_up": rows["center"] - width, "raw_dn": rows["center"] + width}
+
+    def signal(rows):
+        close, banded = rows["close"], rows["raw_up"].notna()
+        choices = [close > rows["tdown_before"], close < rows["tup_before"], rows["tup_before"].isna()]
+        found = np.select([c & banded for c in choices], [1.0, -1.0, 1.0], default=np.nan)
+        return {"_signal": found}
+
+    return [
+        _center_stage(cfg.center_update), raw_bands, band_stage(False), signal,
+        TrendState("_signal", idx, "st_dir", "trend_duration"),
+    ]
+
+
 def pivot_supertrend(df: DataFrame, cfg: SuperTrend = SuperTrend(), layout: Layout = BARS) -> DataFrame:
     """SuperTrend around the pivot centre.
 
@@ -74,23 +92,8 @@ def pivot_supertrend(df: DataFrame, cfg: SuperTrend = SuperTrend(), layout: Layo
         with_prev_close.step(), price.true_range.step(),
         price.atr.step(cfg.atr_rows, out="st_atr"), pivots.step(cfg.lookback),
     ]
+    out = block_scan(run_blocked(df, steps, layout), *supertrend_stages(cfg, layout.idx), layout=layout)
     factor = cfg.factor
-
-    def raw_bands(rows):
-        width = (factor * rows["st_atr"]).where(rows["st_atr"] > 0)
-        return {"raw_up": rows["center"] - width, "raw_dn": rows["center"] + width}
-
-    def signal(rows):
-        close, banded = rows["close"], rows["raw_up"].notna()
-        choices = [close > rows["tdown_before"], close < rows["tup_before"], rows["tup_before"].isna()]
-        found = np.select([c & banded for c in choices], [1.0, -1.0, 1.0], default=np.nan)
-        return {"_signal": found}
-
-    out = block_scan(
-        run_blocked(df, steps, layout), _center_stage(cfg.center_update), raw_bands,
-        band_stage(False), signal, TrendState("_signal", layout.idx, "st_dir", "trend_duration"),
-        layout=layout,
-    )
     line = (
         F.when(F.col("st_dir") == 1, F.col("tup")).when(F.col("st_dir") == -1, F.col("tdown"))
         .otherwise(F.coalesce("center", F.lit(0.0)))

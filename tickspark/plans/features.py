@@ -162,7 +162,16 @@ def feature_table(
             higher.select(*keys, *HIGHER_COLUMNS),
         ],
     )
+    return finished(combined(rows))
+
+
+def combined(rows: DataFrame) -> DataFrame:
+    """Columns made of several families; row by row, so also on a stream."""
     rows = gaps.st_alignment(gaps.fvg_location(calendar.interactions(rows)))
     ratio = F.when(F.col("atr_15m").isNotNull(), F.col("atr") / F.greatest("atr_15m", F.lit(1e-10)))
-    rows = rows.withColumns({"atr_1m": F.col("atr"), "atr_ratio_1m_15m": ratio})
+    return rows.withColumns({"atr_1m": F.col("atr"), "atr_ratio_1m_15m": ratio})
+
+
+def finished(rows: DataFrame) -> DataFrame:
+    """Z-scores cut, warm-up NULLs replaced, rows judged."""
     return with_is_valid(fill_defaults(clip_zscores(rows)), FEATURE_NAMES)

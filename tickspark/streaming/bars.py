@@ -57,12 +57,15 @@ class BarProcessor(StatefulProcessor):
 
     Ticks wait until they are ``delay_ms`` older than the newest tick of the symbol and are then
     used in time order.  A tick older than what was already used is put out as a ``late`` row.
+    With ``timed`` an event-time timer stands at the end of the wait of the newest tick, so a symbol that
+    goes quiet gives its last ticks once the watermark has passed.
     """
 
-    def __init__(self, n: int, delay_ms: int):
-        self.n, self.delay_us = n, delay_ms * 1000
+    def __init__(self, n: int, delay_ms: int, timed: bool = False):
+        self.n, self.delay_us, self.timed = n, delay_ms * 1000, timed
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.bar = handle.getValueState("bar", "v array<double>")
         self.clock = handle.getValueState("clock", "newest long, used long")
         self.waiting = handle.getListState(
@@ -84,15 +87,32 @@ class BarProcessor(StatefulProcessor):
                 (late if tick[0] < used else fresh).append(tick)
         pending = sorted([*pending, *fresh], key=lambda t: (t[0], t[1]))
         newest = max([newest, *[t[0] for t in fresh]])
-        ready = [t for t in pending if t[0] <= newest - self.delay_us]
         out = [("late", key[0], int(t[1]), int(t[0]), *[None] * len(BAR_FIELDS)) for t in late]
+        yield self._use(key, open_bar, pending, newest, used, newest - self.delay_us, out)
+        if self.timed:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if self.waiting.exists():
+                self.handle.registerTimer(int(newest + self.delay_us) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """Nothing came behind the newest tick while it waited: use all that waits."""
+        newest, used = self.clock.get()
+        open_bar = OpenBar(self.n, self.bar.get()[0])
+        pending = sorted((tuple(r) for r in self.waiting.get()), key=lambda t: (t[0], t[1])) if self.waiting.exists() else []
+        yield self._use(key, open_bar, pending, newest, used, newest, [])
+
+    def _use(self, key, open_bar: OpenBar, pending: list, newest: int, used: int, until: int, out: list) -> pd.DataFrame:
+        """Use the waiting ticks up to ``until`` and keep the rest."""
+        ready = [t for t in pending if t[0] <= until]
         for us, _, mid, spread, volume in ready:
             done = open_bar.push(us, mid, spread, volume)
             if done is not None:
                 out.append(("bar", key[0], None, None, *done))
         if ready:
             used = ready[-1][0]
-        self.bar.update((open_bar.values,))
+        # A whole number in an array of doubles would be read back as NULL.
+        self.bar.update(([float(v) for v in open_bar.values],))
         self.clock.update((int(newest), int(used)))
         rest = pending[len(ready):]
         if rest:
@@ -102,31 +122,39 @@ class BarProcessor(StatefulProcessor):
         frame = pd.DataFrame(out, columns=BAR_SCHEMA.fieldNames())
         for c in ("late_seq", "late_us", *INTEGERS):
             frame[c] = frame[c].astype("float64").astype("Int64")
-        yield frame
+        return frame
 
     def close(self) -> None:
         pass
 
 
-def _tick_rows(stream: DataFrame) -> DataFrame:
+def _tick_rows(stream: DataFrame, clock: str | None = None) -> DataFrame:
     quotes = with_mid_spread(stream.filter((F.col("bid") > 0) & (F.col("ask") > 0)))
     volume = F.col("last_volume") if "last_volume" in stream.columns else F.lit(1.0)
     return quotes.select(
-        "symbol", F.unix_micros("ts").alias("us"), "seq", "mid", "spread", volume.cast("double").alias("volume")
+        "symbol", F.unix_micros("ts").alias("us"), "seq", "mid", "spread", volume.cast("double").alias("volume"),
+        *([F.col(clock).alias("clock")] if clock else []),
     )
 
 
 def stream_bars(
-    stream: DataFrame, n: int = 100, delay_ms: int = 0, history: DataFrame | None = None
+    stream: DataFrame, n: int = 100, delay_ms: int = 0, history: DataFrame | None = None,
+    clock: str | None = None, watermark: str = "0 seconds",
 ) -> DataFrame:
     """Rows of kind ``bar`` as bars close, and of kind ``late`` for ticks that came too late.
 
-    ``history`` (:func:`bar_state`) continues bars from a batch of earlier ticks.
+    ``history`` (:func:`bar_state`) continues bars from a batch of earlier ticks.  ``clock`` names the
+    column whose watermark releases the waiting ticks of a quiet symbol: the time of receipt where the
+    feed has one.  With the tick's own time, Spark drops ticks behind the watermark before they can be put out as
+    late, so ``watermark`` must then be as long as any tick may be late.
     """
     use_rocksdb(stream.sparkSession)
-    return _tick_rows(stream).groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=BarProcessor(n, delay_ms), outputStructType=BAR_SCHEMA,
-        outputMode="Append", timeMode="None",
+    rows = _tick_rows(stream, clock)
+    if clock:
+        rows = rows.withWatermark("clock", watermark)
+    return rows.groupBy("symbol").transformWithStateInPandas(
+        statefulProcessor=BarProcessor(n, delay_ms, clock is not None), outputStructType=BAR_SCHEMA,
+        outputMode="Append", timeMode="EventTime" if clock else "None",
         initialState=history.groupBy("symbol") if history is not None else None,
     )
 

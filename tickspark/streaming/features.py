@@ -1,8 +1,7 @@
-"""Per-bar features, decisions and alerts on streams."""
+"""Decisions and alerts on streams."""
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,144 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from tickspark.operators.price import EPSILON, PHASE_LIMITS, TEMPERATURE_SCALE
 from tickspark.operators.signals import DecisionConfig, GateConfig
-from tickspark.plans.features import INTENSITY_ALPHA, MICRO_VOL_LAMBDA, FeatureConfig
 from tickspark.streaming.run import use_rocksdb
 
-IN_COLUMNS = (
-    "bar_idx", "open_us", "high", "low", "close", "tick_count", "spread_sum", "imbalance", "duration_ms",
-)
-OUT_COLUMNS = (
-    "log_return", "log_return_zscore", "spread_bps", "delta_t_log", "tick_intensity", "ofi_count",
-    "ofi_weighted", "kyle_lambda_pct", "pdi", "micro_volatility_pct", "realized_volatility_pct",
-    "market_temperature", "market_entropy", "ts_phase", "atr_1m", "mid_15m_range", "atr_15m",
-)
-FEATURE_SCHEMA = T.StructType(
-    [
-        T.StructField("symbol", T.StringType()), T.StructField("bar_idx", T.LongType()),
-        *[T.StructField(c, T.DoubleType()) for c in OUT_COLUMNS],
-    ]
-)
-
-
-def _full(series: pd.Series, n: int):
-    return series.rolling(n, min_periods=n)
-
-
-def _std(values: pd.Series, n: int, least: int) -> pd.Series:
-    """Population deviation over up to ``n`` rows, computed per window to avoid drift."""
-    return values.rolling(n, min_periods=least).apply(lambda a: np.std(a), raw=True)
-
-
-def window_features(rows: pd.DataFrame, cfg: FeatureConfig) -> pd.DataFrame:
-    """Features of bounded history for consecutive bars of one series."""
-    close, dt = rows["close"], rows["duration_ms"].clip(lower=1.0)
-    prev = close.shift()
-    ret = np.log(close / prev).fillna(0.0)
-    out = pd.DataFrame(index=rows.index)
-    out["log_return"] = ret
-    std = _std(ret, cfg.zscore_rows, 3)
-    mean = ret.rolling(cfg.zscore_rows, min_periods=3).apply(np.mean, raw=True)
-    out["log_return_zscore"] = ((ret - mean) / std).where(std > EPSILON, 0.0)
-    out["spread_bps"] = rows["spread_sum"] / rows["tick_count"].clip(lower=1) / close * 1e4
-    out["delta_t_log"] = np.log(dt + EPSILON)
-    out["ofi_count"] = rows["imbalance"].rolling(cfg.ofi_rows, min_periods=1).apply(np.sum, raw=True)
-    out["ofi_weighted"] = (rows["imbalance"] / dt).rolling(cfg.ofi_rows, min_periods=1).apply(np.sum, raw=True)
-    before = close.shift(cfg.kyle_rows)
-    ticks = rows["tick_count"].rolling(cfg.kyle_rows, min_periods=1).sum()
-    out["kyle_lambda_pct"] = (close - before).abs() / before * 100 / ticks
-    out["realized_volatility_pct"] = np.sqrt(
-        _full((ret * 100) ** 2, cfg.volatility_rows).apply(np.sum, raw=True)
-    )
-    n = cfg.thermo_rows
-    out["market_temperature"] = _std(ret, n, n) ** 2 / _full(dt, n).apply(np.mean, raw=True) * TEMPERATURE_SCALE
-    up, down = _full((ret > 0).astype(float), n).sum(), _full((ret < 0).astype(float), n).sum()
-    total = (up + down).clip(lower=1.0)
-    shares = [x / total for x in (up, down)]
-    out["market_entropy"] = -sum((p * np.log(p + EPSILON)).where(p != 0, 0.0) for p in shares)
-    out.loc[up.isna(), "market_entropy"] = np.nan
-    t = out["market_temperature"]
-    limits = PHASE_LIMITS if cfg.phase_limits is None else cfg.phase_limits
-    conditions = [t < limits["frozen"], t < limits["laminar"], t < limits["turbulent"], t.notna()]
-    out["ts_phase"] = np.select(conditions, [0.0, 1.0, 3.0, 2.0], default=np.nan)
-    span = rows["high"] - rows["low"]
-    tr = pd.concat([span, (rows["high"] - prev).abs(), (rows["low"] - prev).abs()], axis=1).max(axis=1)
-    out["atr_1m"] = tr.rolling(cfg.atr_rows, min_periods=1).apply(np.mean, raw=True)
-    return out
-
-
-class FeatureProcessor(StatefulProcessor):
-    """Keeps the bars the longest window needs, two averages and the higher-timeframe bar."""
-
-    def __init__(self, cfg: FeatureConfig):
-        self.cfg = cfg
-        self.keep = max(cfg.zscore_rows, cfg.kyle_rows, cfg.thermo_rows, cfg.volatility_rows, cfg.atr_rows) + 1
-
-    def init(self, handle) -> None:
-        columns = ", ".join(f"{c} array<double>" for c in IN_COLUMNS)
-        self.history = handle.getValueState("history", columns)
-        self.scalars = handle.getValueState(
-            "scalars", "intensity double, variance double, h_start long, h_high double, h_low double, mid double, rng double"
-        )
-
-    def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat([r[list(IN_COLUMNS)] for r in rows]).astype("float64").sort_values("bar_idx")
-        if self.history.exists():
-            old = pd.DataFrame(dict(zip(IN_COLUMNS, self.history.get())), dtype="float64")
-        else:
-            old = pd.DataFrame(columns=list(IN_COLUMNS), dtype="float64")
-        both = pd.concat([old, new], ignore_index=True)
-        out = window_features(both, self.cfg).iloc[len(old):].reset_index(drop=True)
-        new = new.reset_index(drop=True)
-        out = out.assign(**self._recursive(new, out))
-        tail = both.iloc[-self.keep:]
-        self.history.update(tuple(tail[c].tolist() for c in IN_COLUMNS))
-        out.insert(0, "bar_idx", new["bar_idx"].astype("int64"))
-        out.insert(0, "symbol", key[0])
-        yield out[["symbol", "bar_idx", *OUT_COLUMNS]]
-
-    def _recursive(self, new: pd.DataFrame, out: pd.DataFrame) -> dict[str, list[float]]:
-        nan = math.nan
-        state = self.scalars.get() if self.scalars.exists() else (nan, nan, -1, nan, nan, nan, nan)
-        intensity, variance, start, high, low, mid, rng = state
-        width = self.cfg.higher_seconds * 1_000_000
-        cols: dict[str, list[float]] = {
-            c: [] for c in ("tick_intensity", "micro_volatility_pct", "pdi", "mid_15m_range", "atr_15m")
-        }
-        for bar, feat in zip(new.itertuples(index=False), out.itertuples(index=False)):
-            inverse, square = 1 / max(feat.delta_t_log, 0.1), (feat.log_return * 100) ** 2
-            intensity = inverse if intensity != intensity else INTENSITY_ALPHA * inverse + (1 - INTENSITY_ALPHA) * intensity
-            variance = square if variance != variance else (1 - MICRO_VOL_LAMBDA) * square + MICRO_VOL_LAMBDA * variance
-            begins = int(bar.open_us // width * width)
-            if begins != start:
-                if start >= 0:
-                    mid, rng = (high + low) / 2, max(high - low, EPSILON)
-                start, high, low = begins, bar.high, bar.low
-            else:
-                high, low = max(high, bar.high), min(low, bar.low)
-            cols["tick_intensity"].append(intensity)
-            cols["micro_volatility_pct"].append(math.sqrt(variance))
-            cols["pdi"].append(float(np.sign(feat.log_return)) * intensity)
-            cols["mid_15m_range"].append(mid)
-            cols["atr_15m"].append(rng)
-        self.scalars.update((intensity, variance, int(start), high, low, mid, rng))
-        return cols
-
-    def close(self) -> None:
-        pass
-
-
-def stream_features(bars: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """Features of each bar as it arrives; bars of a symbol arrive in order of ``bar_idx``."""
-    use_rocksdb(bars.sparkSession)
-    rows = bars.withColumn("open_us", F.unix_micros("open_time")).select("symbol", *IN_COLUMNS)
-    return rows.groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=FeatureProcessor(cfg), outputStructType=FEATURE_SCHEMA,
-        outputMode="Append", timeMode="None",
-    )
-
-
 # ---------------------------------------------------------------- decisions
 
 DECISION_INPUT = (
