@@ -16,6 +16,8 @@ from tickspark.session import configure, materialize
 
 #: Most rows and bytes of one batch that a Python worker is given.
 BATCH_ROWS, BATCH_BYTES = "1000", str(32 << 20)
+#: Places among which the links of one node are dealt.
+SALTS = 16
 #: Words in one shingle.
 SHINGLE = 5
 #: White space between words, as a regular expression class.
@@ -82,6 +84,31 @@ def number_rows(df: DataFrame, *order: str, name: str = "row_no") -> DataFrame:
     )
 
 
+def since_first(df: DataFrame, keys: list[str], value: str, within: str, name: str) -> DataFrame:
+    """Add ``value`` less its least one among the rows with the same ``keys`` (nulls equal).
+
+    ``within`` cuts rows into stretches of bounded size.  The join is on both, so a key of any size
+    spreads over its stretches; a window sees one row per key and stretch.
+    """
+    by = [*keys, within]
+    first = F.min("_lo").over(W.partitionBy(*keys))
+    parts = df.groupBy(*by).agg(F.min(value).alias("_lo")).select(*[F.col(k).alias(f"_{k}") for k in by], first.alias("_first"))
+    same = [df[k].eqNullSafe(parts[f"_{k}"]) for k in by]
+    return df.join(parts, same).select(*[df[c] for c in df.columns], (df[value] - parts["_first"]).alias(name))
+
+
+def first_texts(docs: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
+    """One row of ``columns`` (the least, nulls first) for each ``doc_id`` of the small table ``chosen``, and its columns.
+
+    However often an id occurs among the documents, the result has as many rows as ``chosen`` at most.
+    """
+    small = chosen.withColumnRenamed("doc_id", "_id")
+    rows = docs.select("doc_id", *columns).join(F.broadcast(small), F.col("doc_id") == F.col("_id")).drop("_id")
+    labels = [c for c in chosen.columns if c != "doc_id"]
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("_row"), *[F.max(c).alias(c) for c in labels])
+    return one.select("doc_id", *[F.col("_row")[c].alias(c) for c in columns], *labels)
+
+
 class WordHash(dict):
     """64-bit hash of a word (bytes), remembered up to a bound."""
 
@@ -127,25 +154,25 @@ def components(nodes_links: DataFrame, label: str = "components") -> DataFrame:
     Alternating star contraction: every node points its larger neighbours at its smallest
     neighbour, then its smaller ones, until nothing changes.  Each round is two groupings of the
     links by node and is written to the shared folder; a node with very many links is first reduced
-    by the map-side minimum.  The number of rounds grows with the logarithm of the longest chain.
+    by the map-side minimum, and its links meet that in ``SALTS`` places.  The number of rounds grows with the logarithm of the longest chain.
     """
     links = nodes_links.select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     ).where("u <> v").distinct()
     links = materialize(links, label)
 
-    def least_of(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m"))
+    def with_least(pairs: DataFrame) -> DataFrame:
+        """Each pair (u, v) with the least neighbour ``m`` of u; a node's pairs meet its row in ``SALTS`` places."""
+        low = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return pairs.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low, ["u", "_salt"]).drop("_salt")
 
     while True:
         # Large star: both directions, larger neighbours go to the smallest of neighbours and self.
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = least_of(both).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = large.where("u <> v").distinct()
         # Small star: smaller neighbours and self go to the smallest neighbour.
-        low = least_of(large)
-        joined = large.join(low, "u")
+        joined = with_least(large)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             joined.select("u", F.col("m").alias("v"))
         ).where("u <> v").distinct()

@@ -82,24 +82,42 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataF
     """``doc_id, item_id, n_item, n_common, containment`` of every contained item."""
     known = materialize(items(benchmark), "items")
     parts = known.groupBy("size").agg(F.min("n_item").alias("smallest")).orderBy("size").collect()
-    hashes = docs.select("doc_id", shingles(F.col("text")).alias("h")).where(F.size("h") > 0)
-    found = None
-    for part in parts:
-        size, k = part["size"], bins_for(part["smallest"], part["size"], percent)
-        keys = known.where(F.col("size") == size).select("item_id", F.explode(bin_minima(F.col("item_set"), k)).alias("key"))
-        if keys.count() <= BROADCAST_KEYS:
-            keys = F.broadcast(keys)
-        cut = hashes.select("doc_id", F.explode(segments(F.col("h"), size)).alias("segment"))
-        sketch = cut.select("doc_id", F.explode(bin_minima(F.col("segment"), k)).alias("key"))
-        hits = sketch.join(keys, "key").select("doc_id", "item_id")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = docs.select("doc_id").crossJoin(known.select("item_id").limit(0)).limit(0)
-    candidates = materialize(found.distinct(), "candidates")
-    wanted = candidates.select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = texts.select(F.col("doc_id").alias("_id"), shingles(F.col("text")).alias("h"))
-    pairs = candidates.join(sets, F.col("doc_id").eqNullSafe(F.col("_id"))).join(known, "item_id")
+    # The key of the text tells rows apart whose ids are null or repeated.
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    if not parts:
+        nothing = rows.select("doc_id", F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_common"))
+        return nothing.limit(0).crossJoin(known.select("item_id").limit(0)).select(
+            "doc_id", "item_id", "n_item", "n_common", F.lit(0.0).alias("containment")
+        )
+    bins = {p["size"]: bins_for(p["smallest"], p["size"], percent) for p in parts}
+
+    def marks(size: int, sets: Column) -> Column:
+        """The bin minima of each of several sets, with the size they are for."""
+        found = F.flatten(F.transform(sets, lambda h: bin_minima(h, bins[size])))
+        return F.transform(found, lambda x: F.struct(F.lit(size).alias("size"), x.alias("key")))
+
+    keys = None
+    for size in bins:
+        own = known.where(F.col("size") == size).select("item_id", F.explode(marks(size, F.array("item_set"))).alias("mark"))
+        keys = own if keys is None else keys.unionByName(own)
+    keys = keys.select("item_id", "mark.size", "mark.key")
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    # Shingles are made once for all sizes.
+    all_marks = let(shingles(F.col("text")), lambda h: F.when(
+        F.size(h) > 0, F.concat(*[marks(size, segments(h, size)) for size in bins])
+    ))
+    sketch = rows.select("doc_id", "text_key", F.explode(all_marks).alias("mark")).select("doc_id", "text_key", "mark.size", "mark.key")
+    found = sketch.join(keys, ["size", "key"]).select("doc_id", "text_key", "item_id").distinct()
+    candidates = materialize(found, "candidates")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    wanted = candidates.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    # One row for each id and text, however often both are repeated.
+    texts = rows.join(wanted, same, "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
+        F.first("text").alias("text")
+    )
+    sets = texts.select("_id", "_key", shingles(F.col("text")).alias("h"))
+    pairs = candidates.join(sets, same).join(known, "item_id")
     counted = pairs.select(
         "doc_id", "item_id", "n_item", F.size(F.array_intersect("item_set", "h")).cast("long").alias("n_common")
     ).groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_common").alias("n_common"))

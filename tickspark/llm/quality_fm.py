@@ -6,8 +6,10 @@ scores ``w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)``: e
 interacts through vectors of rank ``RANK``, at a cost linear in the number of features.
 
 ``n_chars`` is the metadata used; null there is a category of its own.  Null and empty texts have no
-words and the lowest class of every statistic.  Null labels are left out; without both classes the
-score is the share of good labels (1 when there are none: nothing is rejected unasked).
+words and the lowest class of every statistic.  Very long texts are read whole.  Repeated rows get equal scores.  Of
+labels that contradict each other for one id the lower one counts; of rows that repeat an id the least (by text,
+nulls first) is learned from.  Null labels are left out; without both classes the
+score is the share of good labels (1 when there are none: nothing is rejected unasked).  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import SHINGLE, WordHash, fold, mix, read
+from tickspark.llm.common import SHINGLE, WordHash, first_texts, fold, mix, read
 
 WORD_BUCKETS = 1 << 15
 RANK = 6
@@ -121,7 +123,7 @@ def train(texts: list[str | None], n_chars: list[float | None], good: np.ndarray
         m.w0, m.v[:] = float(np.log(share / (1 - share))), 0
         return m
     seen_w, seen_v, seen_0 = np.full(size, 1e-6), np.full(m.v.shape, 1e-6), 1e-6
-    # The sampled classes are weighted equally; the prior goes into the constant at the end.
+    # Both classes weigh the same, so the score is the chance of high quality if half of all texts had it.
     weight = np.where(good == 1, 0.5 / good.mean(), 0.5 / (1 - good.mean()))
     for _ in range(epochs):
         order = rng.permutation(len(good))
@@ -147,12 +149,9 @@ def train(texts: list[str | None], n_chars: list[float | None], good: np.ndarray
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS) -> DataFrame:
     """``doc_id, text, n_chars, quality`` of a bounded sample of learnable labelled rows."""
-    known = labels.where(F.col("quality").isNotNull() & (fold("doc_id", 5) != 0)).select(
-        F.col("doc_id").alias("_id"), "quality"
-    ).dropDuplicates(["_id"])
-    part = [known.where(F.col("quality") == k).orderBy(F.xxhash64("_id"), "_id").limit(max_rows[k]) for k in (0, 1)]
-    chosen = part[0].unionByName(part[1])
-    return docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id")
+    known = labels.where(F.col("quality").isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    part = [known.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows[k]) for k in (0, 1)]
+    return first_texts(docs, part[0].unionByName(part[1]), "text", "n_chars")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS) -> Model:
@@ -162,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS
 
 
 def quality_score(model: Model) -> Column:
-    """The chance of high quality of a whole text, from ``text`` and ``n_chars``."""
+    """The score of a whole text, from ``text`` and ``n_chars``."""
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -6,7 +6,9 @@ of the rows (the condition with the best information gain first), pruned on the
 long as it is right in enough of what it covers; rows it covers are set aside and the next rule is
 sought.  The rules in their order become one ``when ... otherwise`` expression.
 
-Null and empty texts have no words and fail the base rule.  Labels that are null are left out of
+Null and empty texts have no words and fail the base rule.  Very long texts are counted whole; repeated rows are
+judged alike, and a text on a threshold counts as above it.  Of labels that contradict each other for one id the lower one
+counts; of texts that repeat an id the least (nulls first) is learned from.  Labels that are null are left out of
 learning; with one class of labels or none the list is empty and every row gets the default verdict.
 """
 
@@ -18,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import SPACE, fold, let, read, window_hashes, words
+from tickspark.llm.common import SPACE, first_texts, fold, let, read, window_hashes, words
 from tickspark.session import materialize
 
 #: Most labelled rows taken for learning.
@@ -202,20 +204,19 @@ def verdict(rules: list[Rule]) -> Column:
 
 def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """A bounded sample of learnable rows with their label: the lowest hashes of the id."""
-    known = labels.where(F.col("quality").isNotNull() & (fold("doc_id", 5) != 0)).select(
-        F.col("doc_id").alias("_id"), "quality"
-    ).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).drop("_id")
+    known = labels.where(F.col("quality").isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(
+        F.min("quality").alias("quality")
+    ).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    return first_texts(docs, known, "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[Rule]:
     """Learn rules on rows that pass the base rule; at most ``max_rows`` rows reach the driver."""
     # The sample is written first, or its texts' statistics would be counted before the join, over all texts.
-    stats = statistics(materialize(labelled(docs, labels, max_rows).select("doc_id", "text"), "labelled"))
-    known = labels.select(F.col("doc_id").alias("_id"), "quality").dropDuplicates(["_id"])
-    rows = stats.where(~base_failed()).join(known, F.col("doc_id") == F.col("_id")).select(
-        *[c.alias(k) for k, c in ratios().items()], "quality"
-    ).collect()
+    chosen = materialize(labelled(docs, labels, max_rows).select("doc_id", "text", "quality"), "labelled")
+    rows = statistics(chosen.select("doc_id", "text")).where(~base_failed()).join(
+        chosen.select(F.col("doc_id").alias("_id"), "quality"), F.col("doc_id") == F.col("_id")
+    ).select(*[c.alias(k) for k, c in ratios().items()], "quality").collect()
     if not rows:
         return []
     x = {k: np.array([r[k] for r in rows], float) for k in RATIOS}

@@ -67,15 +67,19 @@ def permute(number: Column, n: int, key: int, rounds: int = ROUNDS) -> Column:
     )
 
 
+def sized(docs: DataFrame) -> list[Column]:
+    """The size and the checksum of a text, by which rows with one id are ordered."""
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return [(F.octet_length(body) + 1).cast("long"), F.crc32(body)]
+
+
 def place(docs: DataFrame, shards: int = 8, key: int = 20240229) -> DataFrame:
     """``doc_id, size, text_crc32, shuffled, shard, slot`` of every row.
 
     Only these few numbers are shuffled, never texts.
     """
-    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    narrow = docs.select(
-        "doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32")
-    )
+    size, crc = sized(docs)
+    narrow = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"))
     numbered = number_rows(narrow, "doc_id", "text_crc32", "size")
     n = numbered.count()
     return numbered.select(
@@ -86,13 +90,22 @@ def place(docs: DataFrame, shards: int = 8, key: int = 20240229) -> DataFrame:
     )
 
 
-def write_shards(docs: DataFrame, places: DataFrame, path: str, files: int = 1) -> None:
+def write_shards(docs: DataFrame, path: str, shards: int = 8, key: int = 20240229, files: int = 1) -> None:
     """Write whole documents below ``path``, one folder per shard, sorted by slot in each file.
 
-    ``doc_id`` must be unique and not null here, since it joins rows to places.
+    The rows themselves are numbered, in the order of :func:`place`, so each is written exactly once at the place that
+    it has there, also rows without id and repeated ones.  Documents are in a column ``document``, beside ``slot``, so that
+    their columns may have any names.
     """
-    rows = docs.join(places.select("doc_id", "shard", "slot"), "doc_id")
-    spread = rows.withColumn("file", F.pmod(F.xxhash64("slot"), F.lit(files)))
+    size, crc = sized(docs)
+    rows = docs.select("doc_id", crc.alias("text_crc32"), size.alias("size"), F.struct(*docs.columns).alias("document"))
+    numbered = number_rows(rows, "doc_id", "text_crc32", "size")
+    n = numbered.count()
+    placed = numbered.select("document", permute(F.col("row_no"), n, key).alias("at")).select(
+        "document", (F.col("at") % shards).cast("int").alias("shard"),
+        ((F.col("at") - F.col("at") % shards) / shards).cast("long").alias("slot"),
+    )
+    spread = placed.withColumn("file", F.pmod(F.xxhash64("slot"), F.lit(files)))
     spread.repartition("shard", "file").sortWithinPartitions("shard", "file", "slot").drop("file").write.partitionBy(
         "shard"
     ).parquet(path)

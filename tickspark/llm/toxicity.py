@@ -1,16 +1,20 @@
 """Toxicity by subword embeddings averaged into a linear softmax.
 
-A word is the bag of its character n-grams (3 to 5, with word marks) and itself, hashed into a table
-of embeddings.  A word's vector is the mean of these, a passage of up to ``PASSAGE`` words the mean of its
+A word is the bag of its character n-grams (3 to 5, with word marks) and itself (several times, so that
+it also counts beside many n-grams), hashed into a table of embeddings.  A word's vector is the mean of these, a passage of up to ``PASSAGE`` words the mean of its
 words, and a linear softmax over two classes reads the passage; all are trained together in numpy.
 A text scores as its most toxic passage, so that a long text does not thin out a short insult: in
 training, each toxic text teaches through its highest passages, each clean one through its highest
 and some random ones.  Misspelled words share n-grams with those that were seen.
 
 Since averages and the softmax are linear, a trained model reduces to one number per n-gram; words
-are scored once per worker and looked up from then on.  Null and empty texts get the score of an empty
-passage, which is that of a clean text.  Null labels are left out; without both classes the score is
-the share of toxic labels (0 when there are none).
+are scored once per worker and looked up from then on.  Where the scores of the two classes part is read from texts
+that a first model has not seen, since those learned from look too certain.
+
+Null and empty texts get the score of an empty passage, which is that of a clean text.  Very long texts are
+scored in all their passages.  Repeated rows get equal scores.  Of labels that contradict each other for one id the
+toxic one counts; of texts that repeat an id the first (nulls first) is learned from.  Null labels are left out; without both
+classes the score is the share of toxic labels (0 when there are none).  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,13 +28,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import fold, mix, read
+from tickspark.llm.common import first_texts, fold, mix, read
 
 BUCKETS = 1 << 16
 DIM = 8
-PASSAGE = 16
+PASSAGE = 6
 NGRAMS = (3, 4, 5)
-#: Most labelled rows taken for learning: clean, toxic.
+#: Buckets of the whole word, in the same table.
+WORD_COPIES = 3
+#: False alarms that a missed toxic text weighs as much as, where the half point is set.
+MISS = 3.0
+#: Most labelled rows taken for learning: clean, toxic.  With more, learning needs more than 1.5 GB on the driver.
 MAX_ROWS = (5000, 1500)
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’¡¿…"
 
@@ -58,9 +66,10 @@ def _subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inside = owner[:m] == owner[n - 1 : n - 1 + m]
         ids.append(mix(h[inside]) % np.uint64(BUCKETS))
         owners.append(owner[:m][inside])
-    whole = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in bare), np.uint64, len(bare))
-    ids.append(whole % np.uint64(BUCKETS))
-    owners.append(np.arange(len(bare), dtype=np.int32))
+    for seed in range(WORD_COPIES):
+        whole = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in bare), np.uint64, len(bare))
+        ids.append(whole % np.uint64(BUCKETS))
+        owners.append(np.arange(len(bare), dtype=np.int32))
     own = np.concatenate(owners)
     order = np.argsort(own, kind="stable")
     return np.concatenate(ids).astype(np.int32)[order], np.bincount(own, minlength=len(bare)).astype(np.int32)
@@ -126,6 +135,34 @@ def _softmax_step(m: Model, memory: list[np.ndarray], words: np.ndarray, lengths
 
 
 def train(texts: list[str], toxic: np.ndarray, epochs: int = 12, rate: float = 0.3, seed: int = 11) -> Model:
+    """A model of all labelled texts; its half point is set on the fifth of them that a first model has not seen."""
+    seen = np.random.default_rng(seed).random(len(texts)) >= 0.2
+    unseen = toxic[~seen]
+    first = None
+    if min((unseen == 1).sum(), (unseen == 0).sum()) >= 10 and len(set(toxic[seen].tolist())) == 2:
+        first = learn([t for t, k in zip(texts, seen, strict=True) if k], toxic[seen], epochs, rate, seed)
+        z = Scorer(first).raw([t for t, k in zip(texts, seen, strict=True) if not k])
+        first = half_point(z, unseen)
+    model = learn(texts, toxic, epochs, rate, seed)
+    if first and model.embedding.any():
+        model.slope, model.shift = first
+    return model
+
+
+def half_point(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from raw scores to the odds of class 1, by Newton's method."""
+    rows, weight = np.stack([x, np.ones(len(x))], 1), np.where(y == 1, MISS, 1.0)
+    at = np.array([1.0, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(rows @ at, -30, 30)))
+        # A weak pull towards slope 1 keeps the step finite where the classes part completely.
+        gradient = rows.T @ (weight * (p - y)) + 0.1 * (at - [1.0, 0.0])
+        at = at - np.linalg.solve((rows * (weight * p * (1 - p))[:, None]).T @ rows + 0.1 * np.eye(2), gradient)
+        at[0] = np.clip(at[0], 0.1, 10.0)
+    return float(at[0]), float(at[1])
+
+
+def learn(texts: list[str], toxic: np.ndarray, epochs: int, rate: float, seed: int) -> Model:
     """Fit embeddings and softmax together on labelled texts."""
     rng = np.random.default_rng(seed)
     m = Model(rng.normal(0, 0.01, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2))
@@ -180,16 +217,8 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 12, rate: float = 0
             inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
             words = every[np.repeat(begins[c], length) + inner]
             _softmax_step(m, memory, words, length, label[c], start, sizes, flat, rate)
-    # Put the half point of the text score between the classes.
-    z = scores()
-    top = highest(z)
-    x, y = z[top], label[top]
-    a, b = 1.0, 0.0
-    for _ in range(300):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        a -= 0.05 * float(((p - y) * x).mean())
-        b -= 0.5 * float((p - y).mean())
-    m.slope, m.shift = max(a, 0.1), b
+    top = highest(z := scores())
+    m.slope, m.shift = half_point(z[top], label[top])
     return m
 
 
@@ -203,7 +232,8 @@ class Scorer:
         self.offset, self.slope, self.shift = model.offset, model.slope, model.shift
         self.known: dict[str, float] = {}
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def raw(self, texts: list[str | None]) -> np.ndarray:
+        """The log odds of the most toxic passage of each text."""
         out = np.empty(len(texts))
         for k, text in enumerate(texts):
             words = tokens(text) if text else []
@@ -219,21 +249,21 @@ class Scorer:
             w = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
             starts = passages(len(words))
             out[k] = (np.add.reduceat(w, starts) / np.diff(np.append(starts, len(words)))).max() + self.offset
-        return 1 / (1 + np.exp(-np.clip(self.slope * out + self.shift, -30, 30)))
+        return out
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(texts) + self.shift, -30, 30)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS) -> tuple[DataFrame, dict[int, int]]:
     """``doc_id, text, toxic`` of a bounded sample of learnable labelled rows, those of lowest id hash,
     and the number of all learnable rows of each class."""
-    known = labels.where(F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0)).select(
-        F.col("doc_id").alias("_id"), "toxic"
-    ).dropDuplicates(["_id"])
+    known = labels.where(F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     number = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     part = [
-        known.where(F.col("toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(max_rows[k]) for k in (0, 1)
+        known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows[k]) for k in (0, 1)
     ]
-    chosen = part[0].unionByName(part[1])
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id"), number
+    return first_texts(docs, part[0].unionByName(part[1]), "text"), number
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS) -> Model:

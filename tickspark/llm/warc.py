@@ -1,15 +1,20 @@
 """Fixity audit of web archives with hash trees.
 
 Every record of an archive is a leaf: its digest (SHA-256 of its bytes, with the page id among them), the
-number of its copy among equal records, and its offset in a fixed range of page ids.  Digest and copy are keys
-that do not depend on which other records a replica holds; their hash gives the leaf a bucket of about sixteen,
-and sixteen neighbouring nodes are hashed into one of the next level, up to one root.  Two replicas with
-the same root are equal; otherwise only the children of nodes that differ are compared, level by level.  A record
-that is lost or put in shows in its own bucket and, as moved, in those of the records behind it in its range.
+number of its copy among equal records, and its offset in its range of page ids.  A range is sixteen
+consecutive ids, the same for all replicas; a lowest node of the tree hashes the leaves of a range in order, and
+sixteen neighbouring nodes are hashed into one of the next level, up to one root.  Two replicas with
+the same root are equal; otherwise only the children of nodes that differ are compared, level by level, so a
+damaged stretch opens the branches above it and no others.  A record that is lost or put in shows in its own range and,
+as moved, in the records behind it there.
+
+A range with very many records (one id, or none, may hold a third of all) is split by hash into lowest nodes of
+bounded size, in the same way for all replicas, and these are hashed together sixteen at a time as well.
 
 What is left over on both sides is paired by page id, in order.  Null url or html counts as empty; a
 null page id sorts first and has a range of its own.  A record without a partner is ``missing`` or ``extra``.  An
-empty replica has no leaves.  Repeated pages are separate records.
+empty replica has no leaves.  Repeated pages are separate records.  Very long pages enter by digest and size; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -18,14 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tickspark.llm.common import number_rows, read
+from tickspark.llm.common import number_rows, read, since_first
 from tickspark.session import materialize
 
 FANOUT = 16
 #: Records in one archive file.
 PER_ARCHIVE = 1000
-#: Page ids in one range, inside which offsets are compared.
-PER_RANGE = 1000
+#: Archives whose sizes one window sums.
+PER_GROUP = 1000
 
 
 def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
@@ -59,57 +64,76 @@ def leaves(pages: DataFrame) -> DataFrame:
     )
 
 
-def keyed(leaf_rows: DataFrame) -> DataFrame:
-    """Leaves with ``copy``, their number among equal records, and ``offset``, their place in their range."""
-    upto = W.orderBy("archive").rowsBetween(W.unboundedPreceding, -1)
-    base = leaf_rows.groupBy("archive").agg(F.max("stop").alias("_bytes")).select(
-        "archive", F.coalesce(F.sum("_bytes").over(upto), F.lit(0)).alias("_base")
+def keyed(leaf_rows: DataFrame, origin: int, fanout: int = FANOUT) -> DataFrame:
+    """Leaves with their ``range`` of ids from ``origin`` on (0: no id), ``copy`` among equal records and ``offset`` in the range."""
+    group = F.expr(f"archive div {PER_GROUP}").alias("_group")
+    archives = leaf_rows.groupBy("archive").agg(F.max("stop").alias("_bytes")).select("archive", "_bytes", group)
+    before = W.rowsBetween(W.unboundedPreceding, -1)
+    groups = archives.groupBy("_group").agg(F.sum("_bytes").alias("_all"))
+    groups = groups.select("_group", F.coalesce(F.sum("_all").over(before.orderBy("_group")), F.lit(0)).alias("_first"))
+    inside = F.coalesce(F.sum("_bytes").over(before.partitionBy("_group").orderBy("archive")), F.lit(0))
+    base = archives.select("archive", "_group", inside.alias("_inside")).join(groups, "_group").select(
+        "archive", (F.col("_first") + F.col("_inside")).alias("_base")
     )
+    number = F.floor((F.col("page_id") - F.lit(origin)) / fanout) + 1
     rows = leaf_rows.join(base, "archive").select(
-        *leaf_rows.columns, (F.col("start") + F.col("_base")).alias("_at"), F.expr(f"page_id div {PER_RANGE}").alias("_range")
-    )
-    first = rows.groupBy("digest").agg(F.min("ordinal").alias("_first"))
-    ranges = rows.groupBy(F.col("_range").alias("_of")).agg(F.min("_at").alias("_from"))
-    return rows.join(first, "digest").join(ranges, F.col("_range").eqNullSafe(F.col("_of"))).select(
-        *leaf_rows.columns, (F.col("ordinal") - F.col("_first")).alias("copy"), (F.col("_at") - F.col("_from")).alias("offset")
+        *leaf_rows.columns, (F.col("start") + F.col("_base")).alias("_at"), F.coalesce(number, F.lit(0)).cast("long").alias("range")
     )
+    rows = since_first(since_first(rows, ["digest"], "ordinal", "archive", "copy"), ["range"], "_at", "archive", "offset")
+    return rows.drop("_at")
 
 
-def depth_for(n: int, fanout: int = FANOUT) -> int:
-    """Levels of nodes above the buckets, so that a bucket has about ``fanout`` of ``n`` records."""
+def levels_for(n: int, fanout: int = FANOUT) -> int:
+    """Levels until one node is above ``n`` of them."""
     depth = 0
-    while fanout ** (depth + 1) < n:
+    while fanout**depth < n:
         depth += 1
     return depth
 
 
-def tree(leaf_rows: DataFrame, depth: int, fanout: int = FANOUT) -> list[DataFrame]:
-    """The leaves (as from :func:`keyed`) with the ``node`` of their bucket, then levels of ``node, digest``
-    from the buckets to the root."""
-    bucket = F.pmod(F.xxhash64("digest", "copy"), F.lit(fanout**depth).cast("long"))
-    levels = [materialize(leaf_rows.withColumn("node", bucket), "replica")]
-
-    def above(rows: DataFrame, node: Column, *parts: str) -> DataFrame:
-        text = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", *parts))), "\n")
-        return materialize(rows.groupBy(node.alias("node")).agg(F.sha2(text.cast("binary"), 256).alias("digest")), "tree")
+def tree(leaf_rows: DataFrame, slots: DataFrame, depths: tuple[int, int], fanout: int = FANOUT) -> list[DataFrame]:
+    """The leaves (as from :func:`keyed`) with the ``range`` and ``slot`` of their lowest node, then levels of
+    ``range, slot, digest`` from the lowest nodes to the root.
 
-    levels.append(above(levels[0], F.col("node"), "digest", "copy", "offset"))
-    for _ in range(depth):
-        levels.append(above(levels[-1], F.expr(f"node div {fanout}"), "node", "digest"))
+    ``slots`` has the number of lowest nodes of each range that needs more than one; ``depths`` are the levels over
+    slots and over ranges.
+    """
+    leaf_rows = leaf_rows.join(slots, "range", "left")
+    slot = F.when(F.col("slots").isNotNull(), F.pmod(F.xxhash64("digest", "copy"), F.col("slots"))).otherwise(0)
+    levels = [materialize(leaf_rows.withColumn("slot", slot.cast("long")).drop("slots"), "replica")]
+
+    def above(rows: DataFrame, place: Column, order: list[str], *parts: str) -> DataFrame:
+        leaf = F.struct(*order, F.concat_ws(":", *parts).alias("_text"))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(leaf)), lambda x: x["_text"]), "\n")
+        return materialize(
+            rows.groupBy(place.alias("_node")).agg(F.sha2(text.cast("binary"), 256).alias("digest")).select("_node.*", "digest"), "tree"
+        )
+
+    def node(by_range: int, by_slot: int) -> Column:
+        return F.struct(F.expr(f"range div {by_range}").alias("range"), F.expr(f"slot div {by_slot}").alias("slot"))
+
+    levels.append(above(levels[0], node(1, 1), ["offset", "digest", "copy"], "page_id", "digest", "copy", "offset"))
+    for k in range(sum(depths)):
+        up = node(1, fanout) if k < depths[0] else node(fanout, 1)
+        levels.append(above(levels[-1], up, ["range", "slot"], "range", "slot", "digest"))
     return levels
 
 
-def compare(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """``node`` of the buckets that differ; descends from the roots."""
-    bad = None
-    for a, b in zip(reversed(ours[1:]), reversed(theirs[1:]), strict=True):
+def compare(ours: list[DataFrame], theirs: list[DataFrame], depths: tuple[int, int], fanout: int = FANOUT) -> tuple[DataFrame, list[int]]:
+    """``range, slot`` of the lowest nodes that differ, and how many differ on each level from the root down."""
+    bad, opened = None, []
+    name = ["range", "slot"]
+    for k in range(sum(depths), -1, -1):
+        a, b = ours[k + 1], theirs[k + 1]
         if bad is not None:
-            parents = bad.select(F.col("node").alias("parent"))
-            up = F.expr(f"node div {fanout}") == F.col("parent")
+            by = (1, fanout) if k < depths[0] else (fanout, 1)
+            up = (F.expr(f"range div {by[0]}") == F.col("_range")) & (F.expr(f"slot div {by[1]}") == F.col("_slot"))
+            parents = bad.select(F.col("range").alias("_range"), F.col("slot").alias("_slot"))
             a, b = a.join(parents, up, "left_semi"), b.join(parents, up, "left_semi")
-        both = a.withColumnRenamed("digest", "a").join(b.withColumnRenamed("digest", "b"), "node", "full_outer")
-        bad = materialize(both.where(~F.col("a").eqNullSafe(F.col("b"))).select("node"), "damage")
-    return bad
+        both = a.withColumnRenamed("digest", "a").join(b.withColumnRenamed("digest", "b"), name, "full_outer")
+        bad = materialize(both.where(~F.col("a").eqNullSafe(F.col("b"))).select(*name), "damage")
+        opened.append(bad.count())
+    return bad, opened
 
 
 #: What is known of a record on one side.
@@ -121,6 +145,23 @@ def pair(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(*[F.max(F.when(F.col("side") == s, F.struct(*SIDE))).alias(s) for s in "ab"])
 
 
+def differing(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> tuple[tuple[DataFrame, DataFrame], list[int]]:
+    """The leaves of both replicas below lowest nodes that differ, and the numbers of nodes opened from the root down."""
+    ours, theirs = materialize(ours, "leaves"), materialize(theirs, "leaves")
+    ends = ours.unionByName(theirs).agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
+    origin = ends["low"] or 0
+    a, b = (materialize(keyed(rows, origin, fanout), "keyed") for rows in (ours, theirs))
+    counts = [rows.groupBy("range").agg(F.count(F.lit(1)).alias("n")) for rows in (a, b)]
+    size = counts[0].unionByName(counts[1]).groupBy("range").agg(F.max("n").alias("n"))
+    slots = size.where(F.col("n") > 4 * fanout).select("range", F.ceil(F.col("n") / fanout).alias("slots"))
+    slots = materialize(slots, "slots")
+    most = slots.agg(F.max("slots")).first()[0] or 1
+    depths = levels_for(most, fanout), levels_for(((ends["high"] or 0) - origin) // fanout + 2, fanout)
+    trees = [tree(rows, slots, depths, fanout) for rows in (a, b)]
+    bad, opened = compare(*trees, depths, fanout)
+    return tuple(t[0].join(bad, ["range", "slot"], "left_semi") for t in trees), opened
+
+
 def audit(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Records of ``ours`` and ``theirs`` (as from :func:`leaves`) that differ, with what differs.
 
@@ -128,19 +169,17 @@ def audit(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame
     in the range of page ids), ``missing`` (only in ours), ``extra`` (only in theirs).  Ordinal, archive, start
     and stop are those of ours, and of theirs for ``extra``.
     """
-    ours, theirs = materialize(ours, "leaves"), materialize(theirs, "leaves")
-    depth = depth_for(max(ours.count(), theirs.count()), fanout)
-    trees = [tree(keyed(rows), depth, fanout) for rows in (ours, theirs)]
-    bad = compare(*trees, fanout)
-    a, b = (t[0].join(bad, "node", "left_semi").withColumn("side", F.lit(s)) for t, s in zip(trees, "ab", strict=True))
+    (a, b), _ = differing(ours, theirs, fanout)
+    a, b = a.withColumn("side", F.lit("a")), b.withColumn("side", F.lit("b"))
     same = materialize(pair(a.unionByName(b), "page_id", "digest", "copy"), "pairs")
     moved = same.where(F.col("a.offset") != F.col("b.offset")).select("page_id", "a", "b", F.lit("moved").alias("damage"))
     alone = same.where("a is null or b is null").select(
         "page_id", F.when(F.col("b").isNull(), "a").otherwise("b").alias("side"), F.coalesce("a", "b").alias("r")
     ).select("page_id", "side", "r.*")
-    turn = F.row_number().over(W.partitionBy("page_id", "side").orderBy("ordinal"))
+    numbered = number_rows(alone, "page_id", "side", "ordinal", name="_no")
+    turns = since_first(numbered.withColumn("_part", F.expr(f"_no div {PER_ARCHIVE}")), ["page_id", "side"], "_no", "_part", "turn")
     kind = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("content")
-    rest = pair(alone.withColumn("turn", turn), "page_id", "turn").select("page_id", "a", "b", kind.alias("damage"))
+    rest = pair(turns, "page_id", "turn").select("page_id", "a", "b", kind.alias("damage"))
     return moved.unionByName(rest).withColumn("r", F.coalesce("a", "b")).select(
         "r.ordinal", "page_id", "r.archive", "r.start", "r.stop",
         F.col("a.digest").alias("digest"), F.col("b.digest").alias("other_digest"), "damage",
@@ -148,45 +187,67 @@ def audit(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame
 
 
 def damaged_copy(pages: DataFrame) -> DataFrame:
-    """A replica in which the first character of one page in 50 was overwritten."""
-    hit = (F.col("page_id") % 50 == 7) & F.ascii(F.col("html")).between(1, 127)
-    changed = F.concat(
-        F.when(F.ascii("html") == 35, F.lit("%")).otherwise(F.lit("#")), F.expr("substring(html, 2)")
-    )
-    return pages.withColumn("html", F.when(hit, changed).otherwise(F.col("html")))
+    """A replica with pages overwritten at the first character, lost, lengthened and put in, each at a rule of the page id."""
+    k, html = F.col("page_id"), F.col("html")
+    overwritten = F.concat(F.when(F.ascii("html") == 35, F.lit("%")).otherwise(F.lit("#")), F.expr("substring(html, 2)"))
+    changed = F.when((k % 50 == 7) & F.ascii("html").between(1, 127), overwritten).when(
+        k % 401 == 11, F.concat(F.coalesce(html, F.lit("")), F.lit("<!-- -->"))
+    ).otherwise(html)
+    kept = pages.select("page_id", "url", changed.alias("html")).where(F.coalesce(k % 211 != 3, F.lit(True)))
+    added = pages.where(k % 307 == 5).select("page_id", F.concat(F.coalesce("url", F.lit("")), F.lit("#again")).alias("url"), "html")
+    return kept.unionByName(added)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of the archives made from all pages against a replica with overwritten bytes."""
+    """Audit of the archives made from all pages against a replica with four kinds of damage."""
     pages = read(spark, sf_dir, "pages")
     return audit(leaves(pages), leaves(damaged_copy(pages))).select(
         "ordinal", "page_id", "archive", "start", "stop", "digest", "other_digest", "damage"
     )
 
 
-#: The same audit without trees: both replicas in full, joined on the ordinal.
-OP2_SQL = """
-with pair as (
-  select page_id,
-         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+_RECORD = """'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
          || coalesce(cast(page_id as varchar), '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
-         || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' as head,
-         coalesce(html, '') as html,
-         case when page_id % 50 = 7 and ascii(html) between 1 and 127
+         || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+         || cast(strlen(coalesce(html, '')) as varchar) || repeat(chr(13) || chr(10), 2) || coalesce(html, '') || repeat(chr(13) || chr(10), 2)"""
+
+#: The same audit without trees: both replicas in full, joined on page id, digest and copy.
+OP2_SQL = f"""
+with copy as (
+  select page_id, url, case when page_id % 50 = 7 and ascii(html) between 1 and 127
               then (case when ascii(html) = 35 then '%' else '#' end) || substr(html, 2)
-              else coalesce(html, '') end as copy
-  from pages
+              when page_id % 401 = 11 then coalesce(html, '') || '<!-- -->' else html end as html
+  from pages where coalesce(page_id % 211 <> 3, true)
+  union all select page_id, coalesce(url, '') || '#again', html from pages where page_id % 307 = 5
 ), records as (
-  select row_number() over (order by page_id nulls first) - 1 as ordinal, page_id,
-         head || cast(strlen(html) as varchar) || repeat(chr(13) || chr(10), 2) || html || repeat(chr(13) || chr(10), 2) as a,
-         head || cast(strlen(copy) as varchar) || repeat(chr(13) || chr(10), 2) || copy || repeat(chr(13) || chr(10), 2) as b
-  from pair
+  select 'a' as side, page_id, {_RECORD} as r from pages union all select 'b', page_id, {_RECORD} from copy
+), sized as (
+  select side, page_id, strlen(r) as bytes, sha256(r) as digest,
+         coalesce((page_id - (select min(page_id) from pages)) // 16, -1) as rng from records
+), numbered as (
+  select *, row_number() over (partition by side order by page_id nulls first, bytes, digest) - 1 as ordinal from sized
 ), placed as (
-  select *, ordinal // 1000 as archive,
-         cast(sum(strlen(a)) over (partition by ordinal // 1000 order by ordinal) as bigint) as stop
-  from records
+  select *, ordinal // 1000 as archive, row_number() over (partition by side, digest order by ordinal) as copy_no,
+         sum(bytes) over (partition by side, ordinal // 1000 order by ordinal) as stop,
+         sum(bytes) over (partition by side, rng order by ordinal) - bytes as ofs
+  from numbered
+), same as (
+  select coalesce(a.page_id, b.page_id) as page_id, a.ordinal as ao, a.archive as aa, a.stop - a.bytes as ast, a.stop as asp, a.digest as ad, a.ofs as aof,
+         b.ordinal as bo, b.archive as ba, b.stop - b.bytes as bst, b.stop as bsp, b.digest as bd, b.ofs as bof
+  from (select * from placed where side = 'a') a full join (select * from placed where side = 'b') b
+    on a.page_id is not distinct from b.page_id and a.digest = b.digest and a.copy_no = b.copy_no
+), la as (
+  select *, row_number() over (partition by page_id order by ao) as turn from same where bo is null
+), lb as (
+  select *, row_number() over (partition by page_id order by bo) as turn from same where ao is null
+), found as (
+  select page_id, ao, aa, ast, asp, ad, bo, ba, bst, bsp, bd, 'moved' as damage from same where aof <> bof
+  union all
+  select coalesce(la.page_id, lb.page_id), la.ao, la.aa, la.ast, la.asp, la.ad, lb.bo, lb.ba, lb.bst, lb.bsp, lb.bd,
+         case when lb.bo is null then 'missing' when la.ao is null then 'extra' else 'content' end
+  from la full join lb on la.page_id is not distinct from lb.page_id and la.turn = lb.turn
 )
-select ordinal, page_id, archive, stop - strlen(a) as start, stop, sha256(a) as digest, sha256(b) as other_digest,
-       'content' as damage
-from placed where a <> b
+select coalesce(ao, bo) as ordinal, page_id, coalesce(aa, ba) as archive, cast(coalesce(ast, bst) as bigint) as start,
+       cast(coalesce(asp, bsp) as bigint) as stop, ad as digest, bd as other_digest, damage
+from found
 """
