@@ -366,11 +366,14 @@ def open_positions(spark, sf, stop_distance: float = 5.0):
     )
 
 
-def position_ticks(spark, sf):
-    quotes = indexed_ticks(ticks(spark, sf)).drop(SLICE).withColumns(
+def position_quotes(spark, sf):
+    return indexed_ticks(ticks(spark, sf)).drop(SLICE).withColumns(
         {"bid": F.col("mid") - F.col("spread") / 2, "ask": F.col("mid") + F.col("spread") / 2}
     )
-    return joins.positions_on_ticks(open_positions(spark, sf), quotes)
+
+
+def position_ticks(spark, sf):
+    return joins.positions_on_ticks(open_positions(spark, sf), position_quotes(spark, sf))
 
 
 MARK = """select symbol, ticket, row_idx, exit_price, gross, gross - (7.0 * lots + 2.0 * lots + 1.0) as net_pnl_usd,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import BARS, bars, gap_bars, query, table
 from catalog.features import ID, INV, RET, THERMO, VPIN, ewma_sql, st_features_sql, supertrend_sql, w, zscore_sql
-from catalog.gaps import ACTIVE, AGE, CAL, DAILY, DET, EVENT, MIN_BPS, POSITIONS, position_ticks
+from catalog.gaps import ACTIVE, AGE, CAL, DAILY, DET, EVENT, MIN_BPS, POSITIONS, open_positions, position_quotes
 from catalog.indicators import HAAR, KAL
 from catalog.labels import labelled
 from tickspark import schema
@@ -197,10 +197,14 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- staged exits
 
-def exit_ticks(spark, sf):
+def exit_positions(spark, sf):
     kind = F.col("ticket") % 3
     alignment = F.when(kind == 0, "ALIGNED").when(kind == 1, "COUNTER").otherwise("UNKNOWN")
-    return position_ticks(spark, sf).withColumn("trend_alignment", alignment)
+    return open_positions(spark, sf).withColumn("trend_alignment", alignment)
+
+
+#: Ticks of a block here: the series of these tables are short.
+EXIT_BLOCK = 512
 
 
 EXIT_SPEC = "symbol:s ticket:i row_idx:i action:s stage:s price:f new_sl:f close_lots:f pnl_usd:f"
@@ -237,7 +241,7 @@ MID_SQL = f"""with recursive {PT},
 
 @query("R15_staged_exits_mid", EXIT_SPEC, MID_SQL)
 def _(spark, sf):
-    return exits.staged_exits_mid(exit_ticks(spark, sf), exits.MidExitRules(value_per_lot=10.0))
+    return exits.staged_exits_mid(exit_positions(spark, sf), position_quotes(spark, sf), exits.MidExitRules(value_per_lot=10.0), EXIT_BLOCK)
 
 
 NET_SQL = f"""with recursive {PT}, pf as (select *, case ticket % 3 when 0 then 1.3 when 1 then 0.7 else 1.0 end as pm,
@@ -275,4 +279,5 @@ NET_SQL = f"""with recursive {PT}, pf as (select *, case ticket % 3 when 0 then
 
 @query("R14_staged_exits", EXIT_SPEC, NET_SQL)
 def _(spark, sf):
-    return exits.staged_exits(exit_ticks(spark, sf), exits.ExitRules(costs=Costs(value_per_lot=10.0), digits=4))
+    rules = exits.ExitRules(costs=Costs(value_per_lot=10.0), digits=4)
+    return exits.staged_exits(exit_positions(spark, sf), position_quotes(spark, sf), rules, EXIT_BLOCK)
