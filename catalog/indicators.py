@@ -51,6 +51,28 @@ def _(spark, sf):
 
 
 @query("B4_imbalance_bars",
+       "symbol:s bar_in_session:i open:f high:f low:f close:f tick_count:i imbalance:i is_complete:b",
+       f"""with recursive {TICKS}, sq as (select symbol, ts, (bid + ask) / 2 as mid from ticks),
+       sn as (select *, row_number() over (partition by symbol order by ts) - 1 as rn,
+         coalesce(sign(mid - lag(mid) over (partition by symbol order by ts)), 0) as step from sq),
+       r as (select symbol, rn, 0 as bar, 0.0::double as total, 1 as cnt, 0 >= 4 * 0.5 as done,
+           4.0::double as et, 0.5::double as ei, 0.0::double as eff from sn where rn = 0
+         union all select symbol, rn, nbar, ntot, ncnt, abs(ntot) >= net * nei, net, nei, neff from (
+           select s.symbol, s.rn, case when r.done then r.bar + 1 else r.bar end as nbar,
+             case when r.done then 0.0 else r.total + s.step end as ntot, case when r.done then 1 else r.cnt + 1 end as ncnt,
+             case when r.done then 0.1 * r.cnt + 0.9 * r.et else r.et end as net,
+             case when r.done then 0.1 * abs(r.total) / r.cnt + 0.9 * r.ei else r.ei end as nei,
+             case when r.done then 0.0 else s.step end as neff
+           from r join sn s on s.symbol = r.symbol and s.rn = r.rn + 1))
+       select s.symbol, r.bar as bar_in_session, arg_min(mid, rn) as open, max(mid) as high,
+         min(mid) as low, arg_max(mid, rn) as close, count(*) as tick_count, sum(r.eff) as imbalance,
+         bool_or(r.done) as is_complete from r join sn s using (symbol, rn) group by s.symbol, r.bar""")
+def _(spark, sf):
+    # these ticks are hours apart: 4 expected ticks per bar instead of 50
+    return fold.imbalance_bars(ticks(spark, sf), expected_ticks=4.0)
+
+
+@query("B4_imbalance_bars_sessions",
        "symbol:s session_start:t bar_in_session:i open:f high:f low:f close:f tick_count:i imbalance:i is_complete:b",
        f"""with recursive {TICKS}, sq as (select symbol, ts, (bid + ask) / 2 as mid, date_trunc('day', ts)::timestamp as d from ticks),
        sn as (select *, row_number() over (partition by symbol, d order by ts) - 1 as rn,
@@ -90,6 +112,25 @@ def _(spark, sf):
 
 
 @query("N2_adaptive_kalman", ID + "kalman:f kalman_residual:f kalman_gain:f",
+       f"""with recursive {BARS}, ss as (select symbol, bar_idx, close as z, 0 as sn from bars),
+       rn as (select *, row_number() over (partition by symbol, sn order by bar_idx) as k from ss),
+       ak as (select symbol, sn, bar_idx, k, z as x, 100.0::double as p, 0.1::double as q, 1.0::double as r, [0.0::double] as rec,
+           0.0::double as res, 1.0::double as gain from rn where k = 1
+         union all select symbol, sn, bar_idx, k, nx, np,
+           case when len(nrec) < 10 then q when list_min(nrec[-3:]) > 0 or list_max(nrec[-3:]) < 0 then q * 1.1 else q * 0.99 + 0.001 end,
+           case when len(nrec) < 10 then r when ratio > 1.5 then r * 1.05 when ratio < 0.5 then greatest(r * 0.95, 0.01) else r end,
+           nrec, nres, g from (
+           select *, list_aggregate(nrec, 'var_pop') / (q + r + 1e-10) as ratio from (
+             select *, x + g * nres as nx, (1 - g) * ahead as np, list_append(rec, nres)[-20:] as nrec from (
+               select n.symbol, n.sn, n.bar_idx, n.k, a.x, a.q, a.r, a.rec, a.p + a.q as ahead,
+                 (a.p + a.q) / (a.p + a.q + a.r) as g, n.z - a.x as nres
+               from ak a join rn n on n.symbol = a.symbol and n.sn = a.sn and n.k = a.k + 1))))
+       select symbol, bar_idx, x as kalman, res as kalman_residual, gain as kalman_gain from ak""")
+def _(spark, sf):
+    return fold.adaptive_kalman(bars(spark, sf))
+
+
+@query("N2_adaptive_kalman_sessions", ID + "kalman:f kalman_residual:f kalman_gain:f",
        f"""with recursive {BARS}, ss as (select symbol, bar_idx, close as z, epoch_us(open_time) // 864000000000 as sn from bars),
        rn as (select *, row_number() over (partition by symbol, sn order by bar_idx) as k from ss),
        ak as (select symbol, sn, bar_idx, k, z as x, 100.0::double as p, 0.1::double as q, 1.0::double as r, [0.0::double] as rec,

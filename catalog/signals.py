@@ -241,6 +241,19 @@ def _(spark, sf):
 
 
 @query("P13_counter_cap", ID + "accepted:b",
+       f"""with recursive {SCORED}, ss as (select symbol, bar_idx, trend_alignment = 'COUNTER' as c, 0 as sn from scored),
+       rn as (select *, row_number() over (partition by symbol, sn order by bar_idx) as k from ss),
+       rr as (select symbol, sn, bar_idx, k, true as accepted, [c::int] as past from rn where k = 1
+         union all select symbol, sn, bar_idx, k, ok, case when ok then list_append(past, c::int)[-20:] else past end from (
+           select n.symbol, n.sn, n.bar_idx, n.k, n.c, r.past, not (n.c and len(r.past) >= 5 and list_sum(r.past) / len(r.past) >= 0.3) as ok
+           from rr r join rn n on n.symbol = r.symbol and n.sn = r.sn and n.k = r.k + 1))
+       select symbol, bar_idx, accepted from rr""")
+def _(spark, sf):
+    rows = scored(spark, sf).withColumn("ts", F.col("open_time"))
+    return fold.counter_cap(rows, order=("bar_idx",))
+
+
+@query("P13_counter_cap_sessions", ID + "accepted:b",
        f"""with recursive {SCORED}, ss as (select symbol, bar_idx, trend_alignment = 'COUNTER' as c, epoch_us(open_time) // 864000000000 as sn from scored),
        rn as (select *, row_number() over (partition by symbol, sn order by bar_idx) as k from ss),
        rr as (select symbol, sn, bar_idx, k, true as accepted, [c::int] as past from rn where k = 1
