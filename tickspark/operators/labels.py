@@ -29,7 +29,8 @@ class Barriers:
 @windowed(lookback=lambda n=20, **_: n, lookahead=lambda n=20, **_: n)
 def _realized(df: DataFrame, w, n: int, log_returns: bool) -> DataFrame:
     prev = F.lag("close").over(w)
-    ratio = F.col("close") / prev
+    # NULL next to a close of 0, which counts as no return.
+    ratio = F.try_divide(F.col("close"), prev)
     r = F.log(ratio) if log_returns else ratio - 1
     out = df.withColumn("_r", F.coalesce(r, F.lit(0.0)))
     frame = w.rowsBetween(1 - n, 0)
