@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import BARS, TICKS, bars, gap_bars, query, ticks
+from catalog.base import BARS, TICKS, bars, gap_bars, query, table, ticks
 from catalog.bars import BAR_SPEC, time_bars_sql
 from catalog.features import (
     ID, INV, RET, ST, THERMO, VPIN, ewma_sql, st_features_sql, supertrend_sql, w, zscore_sql,
@@ -19,15 +19,16 @@ from tickspark.session import materialize, scratch_path
 from tickspark.sources.ticks import stream_ticks
 from tickspark.streaming import bars as sbars
 from tickspark.streaming import features as sfeat
+from tickspark.streaming.guard import GuardConfig, stream_guard
 from tickspark.streaming.online import stream_features
 from tickspark.streaming.run import run_to_table
 
 
-def write_parts(df, path: str, part) -> None:
-    """Append the rows of part 0, 1, ... one part after the other; a symbol's rows of a part share a file."""
+def write_parts(df, path: str, part, by: tuple = ("symbol",)) -> None:
+    """Append the rows of part 0, 1, ... one part after the other, in two files; rows equal in ``by`` share a file."""
     rows = materialize(df.withColumn("_part", part), "arriving")
     for (k,) in sorted(rows.select("_part").distinct().collect()):
-        rows.filter(F.col("_part") == k).drop("_part").repartition(2, "symbol").write.mode("append").parquet(path)
+        rows.filter(F.col("_part") == k).drop("_part").repartition(2, *by).write.mode("append").parquet(path)
 
 
 def write_in_order(df, path: str, order: str, parts: int = 4) -> None:
@@ -360,3 +361,65 @@ def _(spark, sf):
 def _(spark, sf):
     stream = as_stream(scored_ticks(spark, sf), "halt-stream", "seq")
     return run_to_table(sfeat.stream_halts(stream, 4, 0.3), "x8-halts")
+
+
+GUARD = GuardConfig(low_run=3, loss_limit=300.0, max_losses=8, cutoff_hours=17, tz="America/New_York", wait_ms=600_000)
+
+GUARD_EVENTS = """ev0 as (select cast(user_id % 3 as varchar) as account, epoch_us(ts) as us, event_id as seq, event_id % 10 as k, value,
+    epoch_ms(ts + to_minutes(cast(event_id % 5 as bigint))) as received,
+    ((ts at time zone 'UTC') at time zone 'America/New_York' - interval 17 hour)::date as trading_day from events),
+  ev1 as (select *, case when k < 5 then 3 when k < 9 then 2 else 1 end as rank from ev0 where k < 5 or k = 9 or seq % 7 > 0),
+  due as (select (max(received) - 600000) * 1000 as due from ev1),
+  ev2 as (select account, us, rank, seq, case when rank = 3 and seq % 400 = 3 then 'NAN_INF' end as alert,
+      ((seq * 7919) % 1000) / 1000.0 < 0.3 as low, value > 200 as slow, value - 60 as p,
+      case when k = 9 then case when seq % 20 = 9 then 'unlock' else 'resume' end end as command from ev1
+    union all
+    select distinct account, epoch_us(((trading_day + 1)::timestamp + interval 17 hour) at time zone 'America/New_York' at time zone 'UTC'),
+      0, null::bigint, null, null, null, null::double, null from ev1 where rank = 2),
+  ev as (select ev2.*, row_number() over (partition by account order by us, rank, seq) as n from ev2, due where us < due.due)"""
+
+GUARD_STATES = """gr as (select distinct account, 0::bigint as n, null::bigint as us, 0 as rank, null::bigint as seq, 0 as low_run,
+    null::varchar as model_halt, 0::double as daily_pnl, 0 as losses, 0 as trades, 0 as wins, null::varchar as risk_halt from ev
+  union all
+  select e.account, e.n, e.us, e.rank, e.seq,
+    case when e.rank = 3 and model_halt is null and e.alert is null then case when e.low then low_run + 1 else 0 end
+      when e.command = 'unlock' and model_halt is not null then 0 else low_run end,
+    case when e.rank = 3 then coalesce(model_halt, e.alert, case when e.low and low_run >= 2 then 'CONFIDENCE_COLLAPSE'
+        when e.slow then 'LATENCY_EXCEEDED' end)
+      when e.command = 'unlock' then null else model_halt end,
+    case when e.rank = 0 then 0 when e.rank = 2 then daily_pnl + e.p else daily_pnl end,
+    case when e.rank = 2 then case when e.p >= 0 then 0 else losses + 1 end
+      when e.command = 'resume' and risk_halt is not null then 0 else losses end,
+    trades + (e.rank = 2)::int, wins + (e.rank = 2 and e.p >= 0)::int,
+    case when e.rank = 2 then case when e.p < 0 and losses >= 7 then 'CONSECUTIVE_LOSSES'
+        when daily_pnl + e.p < -300 then 'DAILY_LOSS_LIMIT' else risk_halt end
+      when e.command = 'resume' or (e.rank = 0 and risk_halt = 'DAILY_LOSS_LIMIT') then null else risk_halt end
+  from gr join ev e on e.account = gr.account and e.n = gr.n + 1)"""
+
+
+@query("X8_stream_guard", "account:s us:i kind:s seq:i is_late:b low_run:i model_halt:s daily_pnl:f consecutive_losses:i "
+       "total_trades:i winning_trades:i risk_halt:s may_trade:b",
+       f"""with recursive {GUARD_EVENTS}, {GUARD_STATES}
+       select *, case rank when 0 then 'rollover' when 1 then 'command' when 2 then 'fill' else 'score' end as kind, false as is_late,
+         losses as consecutive_losses, trades as total_trades, wins as winning_trades,
+         model_halt is null and risk_halt is null as may_trade from gr where n > 0""")
+def _(spark, sf):
+    """Events as scores, fills and commands of three accounts, received up to four minutes after their time, five days at a time."""
+    e, seq = table(spark, sf, "events"), F.col("seq")
+    rows = e.select(
+        (F.col("user_id") % 3).alias("account"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "value",
+    ).withColumn("clock", F.col("ts") + F.make_dt_interval(mins=(seq % 5).cast("int")))
+    path = scratch_path(spark, "guard-events")
+    write_parts(rows, path, F.floor(F.unix_micros("clock") / (5 * DAY * 1_000_000)), by=())
+
+    def arriving():
+        return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+    k = seq % 10
+    score = F.when(seq % 400 == 3, F.lit(float("nan"))).otherwise(((seq * 7919) % 1000) / 1000.0)
+    scores = arriving().filter(k < 5).withColumns({"score": score, "latency_ms": F.col("value")})
+    fills = arriving().filter((k >= 5) & (k < 9)).withColumns(
+        {"status": F.when(seq % 7 > 0, F.lit("FILLED")).otherwise(F.lit("REJECTED")), "pnl": F.col("value") - 60}
+    )
+    commands = arriving().filter(k == 9).withColumn("command", F.when(seq % 20 == 9, F.lit("unlock")).otherwise(F.lit("resume")))
+    return run_to_table(stream_guard(scores, fills, commands, GUARD), "x8-guard")
