@@ -128,6 +128,18 @@ def _(spark, sf):
     return sig.event_gate(with_up_trend(rows), 3, decay_bars=8, align="up_trend")
 
 
+@query("V15_primary_levels", ID + "event_direction:i entry_price:f stop_loss:f from_primary:b",
+       f"""with recursive {SIGNALS}{GATE[len(DET):]}
+       select g.symbol, g.bar_idx, g.event_direction, coalesce(s.entry_price, g.close) as entry_price,
+         coalesce(s.stop_loss, case when g.event_direction = 1 then g.close - 3 * g.atr else g.close + 3 * g.atr end) as stop_loss,
+         s.bar_idx is not null as from_primary
+       from gate g left join sg s on s.symbol = g.symbol and s.bar_idx = g.bar_idx where g.event_present""")
+def _(spark, sf):
+    """Levels of the replay: the primary signal's where there is one, else close and ATR."""
+    rows = sig.fallback_stop(gated(spark, sf)).filter("event_present")
+    return sig.primary_levels(rows, sig.primary_signals(trended(detected(spark, sf))))
+
+
 @query("P7_fallback_stop", ID + "stop_loss:f",
        f"with recursive {GATE} select *, case when event_direction = 1 then close - 3 * atr else close + 3 * atr end as stop_loss from gate")
 def _(spark, sf):

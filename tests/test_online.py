@@ -12,6 +12,7 @@ from tickspark.operators import gaps, signals
 from tickspark.operators.index import with_row_index
 from tickspark.layout import Layout
 from tickspark.plans.features import FeatureConfig, feature_table
+from tickspark.plans.replay import ReplayConfig, run_signals
 from tickspark.plans.training import ModelConfig, assemble, fit_meta, labelled_events, score
 from tickspark.operators.labels import Barriers
 from tickspark.schema import FEATURE_NAMES
@@ -79,6 +80,25 @@ def test_decisions_from_ticks_with_a_fitted_model_equal_the_batch(spark, gap_row
     assert np.allclose(want.threshold.astype(float), got.threshold.astype(float), equal_nan=True)
 
 
+def test_the_replay_takes_entry_and_stop_of_primary_signals(spark, batch):
+    """They replace close and ATR stop at their bars, and change neither direction nor any other bar."""
+    cfg = ReplayConfig(gate=signals.GateConfig(mode="fixed", fixed_threshold=0.4), decision=signals.DecisionConfig(warmup_bars=50, require_structure=False))
+    plain = by_key(run_signals(batch, cfg=cfg))
+    assert not plain.from_primary.any() and len(plain) > 20
+    picked = plain.iloc[::3]
+    rows = [(r.symbol, int(r.bar_idx), r.entry_price + 1.0, r.stop_loss - 2.0) for r in picked.itertuples()]
+    rows[0] = (*rows[0][:3], None)                      # without a stop the fallback stays
+    rows[1] = (*rows[1][:3], 0.0)                       # a stop of 0 is none
+    primary = spark.createDataFrame([*rows, (None, None, 1.0, 1.0)], "symbol string, bar_idx long, entry_price double, stop_loss double")
+    got = by_key(run_signals(batch, cfg=cfg, primary=primary))
+    assert len(got) == len(plain) - 1 and got.from_primary.sum() == len(rows) - 1
+    both = plain.merge(got, on=["symbol", "bar_idx"], suffixes=("", "_new"))
+    assert (both.direction == both.direction_new).all()
+    assert np.allclose(both.entry_price_new - both.entry_price, both.from_primary_new * 1.0)
+    moved = both.from_primary_new & ~((both.symbol == rows[0][0]) & (both.bar_idx == rows[0][1]))
+    assert np.allclose(both.stop_loss - both.stop_loss_new, moved * 2.0)
+
+
 def test_a_quiet_symbol_gives_its_last_ticks(spark):
     """Symbol a stops; its waiting ticks come out once the watermark, moved on by b, has passed their wait."""
     def rows(symbol, minutes):

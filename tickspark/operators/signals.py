@@ -144,6 +144,22 @@ def fallback_stop(df: DataFrame, factor: float = 3.0, atr: str = "atr") -> DataF
     return df.withColumn("stop_loss", F.col("close") + side * factor * F.col(atr))
 
 
+def primary_levels(df: DataFrame, primary: DataFrame, keys: Sequence[str] = ("symbol", "bar_idx")) -> DataFrame:
+    """Entry and stop of the primary signal at its bar; elsewhere the close and the stop that ``df`` has.
+
+    ``primary`` has at most one signal per bar, as :func:`primary_signals` gives them.  The direction stays that
+    of the event.  A signal without a stop leaves the fallback, one without an entry the close.
+    """
+    found = primary.select(*keys, F.col("entry_price").alias("_entry"), F.col("stop_loss").alias("_stop"), F.lit(True).alias("_found"))
+    rows = df.drop("entry_price", "from_primary").join(found, list(keys), "left")
+    return rows.withColumns(
+        {
+            "entry_price": F.coalesce("_entry", "close"), "stop_loss": F.coalesce("_stop", "stop_loss"),
+            "from_primary": F.col("_found").isNotNull(),
+        }
+    ).drop("_entry", "_stop", "_found")
+
+
 def trend_alignment(df: DataFrame, trend: str = "st_trend_15m", direction: str = "event_direction") -> DataFrame:
     unknown = (F.coalesce(F.col(trend), F.lit(0)) == 0) | (F.coalesce(F.col(direction), F.lit(0)) == 0)
     value = (

@@ -25,11 +25,15 @@ class ReplayConfig:
     decision: signals.DecisionConfig = signals.DecisionConfig()
 
 
-def decisions(features: DataFrame, model=None, cfg: ReplayConfig = ReplayConfig(), model_cfg: ModelConfig = ModelConfig()) -> DataFrame:
+def decisions(
+    features: DataFrame, model=None, cfg: ReplayConfig = ReplayConfig(), model_cfg: ModelConfig = ModelConfig(),
+    primary: DataFrame | None = None,
+) -> DataFrame:
     """One decision row per bar of a feature table.
 
     Only bars inside an event window are scored, and only their scores enter the rolling
-    threshold.
+    threshold.  ``primary`` (:func:`signals.primary_signals` on the same bars) gives entry and stop of its bars;
+    all others enter at the close with a stop a multiple of ATR away.
     """
     rows = signals.event_gate(features, cfg.window_bars)
     rows = signals.fallback_stop(rows, cfg.stop_factor, "atr_1m")
@@ -47,12 +51,20 @@ def decisions(features: DataFrame, model=None, cfg: ReplayConfig = ReplayConfig(
         "symbol", "bar_idx", "score", "threshold", "gate_stage"
     )
     joined = rows.join(gated, ["symbol", "bar_idx"], "left")
+    if primary is None:
+        joined = joined.withColumns({"entry_price": F.col("close"), "from_primary": F.lit(False)})
+    else:
+        # On the exchange of the join before.
+        joined = signals.primary_levels(joined, primary)
     return signals.decide(joined, cfg.decision, cfg.gate.mode).withColumn("direction", F.col("event_direction"))
 
 
-def run_signals(features: DataFrame, model=None, cfg: ReplayConfig = ReplayConfig(), model_cfg: ModelConfig = ModelConfig()) -> DataFrame:
+def run_signals(
+    features: DataFrame, model=None, cfg: ReplayConfig = ReplayConfig(), model_cfg: ModelConfig = ModelConfig(),
+    primary: DataFrame | None = None,
+) -> DataFrame:
     """The passing decisions in time order within each symbol."""
-    return decisions(features, model, cfg, model_cfg).filter("should_trade").select(
-        "symbol", "bar_idx", "open_time", "direction", F.col("close").alias("entry_price"), "stop_loss",
-        "score", "threshold", "trend_alignment", "market_phase",
+    return decisions(features, model, cfg, model_cfg, primary).filter("should_trade").select(
+        "symbol", "bar_idx", "open_time", "direction", "entry_price", "stop_loss",
+        "score", "threshold", "trend_alignment", "market_phase", "from_primary",
     )
