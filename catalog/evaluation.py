@@ -47,6 +47,16 @@ FOLDS = f"""{SAMPLE}, bd as (select symbol, fold_of as fold, min(pos) as a, max(
     from fd f join bd b on b.symbol = f.symbol)"""
 
 
+@query("V5_validation_tail", ID + "pos:i role:s",
+       f"""with {SAMPLE}, ct as (select symbol, max(pos) - greatest((max(pos) - min(pos) + 1) // 5, 1) + 1 as cut from fd group by symbol),
+       tl as (select fd.symbol, any_value(cut) as cut, min(bar_idx) as first from fd join ct using (symbol) where pos >= cut group by fd.symbol)
+       select symbol, bar_idx, pos, case when pos >= cut then 'validation' else 'train' end as role from fd join tl using (symbol)
+       where pos >= cut or bar_idx + holding_bars < first""")
+def _(spark, sf):
+    """What a model is trained on and what stops its training."""
+    return cv.purged_tail(samples(spark, sf), 5)
+
+
 @query("V3_purged_kfold", ID + "fold:i role:s", f"with {FOLDS} select * from pr where role is not null")
 def _(spark, sf):
     return cv.purged_kfold(samples(spark, sf), 5)

@@ -250,3 +250,19 @@ def test_adaptive_filter_tracks(spark):
     out = [flt.step(5.0)[0] for _ in range(50)]
     assert out[-1] == pytest.approx(5.0)
     assert pd.Series(out).nunique() == 1
+
+
+def test_the_validation_tail_meets_no_label_of_training(spark):
+    """Positions with gaps, labels that reach the tail, a key of one row, a label of unknown length."""
+    rows = [("a", p, 2 * p, 1) for p in (0, 1, 2, 3, 30, 31)] + [("a", 40, 80, 0), ("a", 49, 98, 0), ("a", 10, 20, 60), ("a", 11, 22, 58)]
+    rows += [("a", 12, 24, 57 - 2), ("a", 13, 26, None), ("b", 7, 3, 9), ("a", 39, 78, 2)]
+    df = spark.createDataFrame(rows, "symbol string, pos long, bar_idx long, holding_bars long")
+    got = {(r.symbol, r.pos): r.role for r in cv.purged_tail(df, 5).collect()}
+    tail = {("a", 40), ("a", 49), ("b", 7)}
+    assert {k for k, v in got.items() if v == "validation"} == tail
+    # The tail of a starts at bar 80: labels that end at 80 are left out.
+    gone = {("a", 10), ("a", 11), ("a", 39)}
+    assert set(got) == {(r[0], r[1]) for r in rows} - gone
+    assert cv.purged_tail(df.limit(0)).count() == 0
+    one = {r.pos: r.role for r in cv.purged_tail(df.filter("symbol = 'a' and pos < 4"), 2, by=()).collect()}
+    assert one == {0: "train", 1: "train", 2: "validation", 3: "validation"}  # 2 + 1 < 4

@@ -65,6 +65,28 @@ def purged_kfold(
     return joined.withColumn("role", role).filter(F.col("role").isNotNull()).drop("_from", "_to")
 
 
+def purged_tail(
+    samples: DataFrame, parts: int = 5, by: Sequence[str] = ("symbol",), pos: str = "pos",
+    start: str = "bar_idx", holding: str = "holding_bars",
+) -> DataFrame:
+    """Role ``validation`` for the last of ``parts`` stretches of positions of each key, ``train`` for rows before it.
+
+    A row whose label (``start`` .. ``start + holding``) reaches the first start of the tail is left out.  A key's last row
+    is always validation; positions may have gaps; a null holding counts as 0.
+    """
+    keys = list(by)
+    span = F.max(pos) - F.min(pos) + 1
+    cut = (F.max(pos) - F.greatest(F.floor(span / parts).cast("long"), F.lit(1)) + 1).alias("_cut")
+    cuts = samples.groupBy(*keys).agg(cut)
+    rows = samples.join(cuts, keys) if keys else samples.crossJoin(F.broadcast(cuts))
+    in_tail = F.col(pos) >= F.col("_cut")
+    firsts = rows.filter(in_tail).groupBy(*keys).agg(F.min(start).alias("_first"))
+    rows = rows.join(firsts, keys) if keys else rows.crossJoin(F.broadcast(firsts))
+    before = F.col(start) + F.coalesce(F.col(holding), F.lit(0)) < F.col("_first")
+    role = F.when(in_tail, F.lit("validation")).when(before, F.lit("train"))
+    return rows.withColumn("role", role).filter(F.col("role").isNotNull()).drop("_cut", "_first")
+
+
 def cpcv(
     samples: DataFrame, k: int = 6, n_test: int = 2, by: Sequence[str] = ("symbol",), pos: str = "pos",
     embargo_pct: float = 0.01, start: str | None = None, holding: str | None = None,

@@ -28,7 +28,7 @@ class ModelConfig:
     rounds: int = 20
     step: float = 0.1
     seed: int = 42
-    validation_every: int = 5
+    validation_parts: int = 5
 
 
 def labelled_events(
@@ -55,15 +55,16 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def fit_meta(train: DataFrame, cfg: ModelConfig = ModelConfig()):
     """Weighted boosted trees that stop early on a held-out part.
 
-    Every ``validation_every``-th position is held out.  Returns None when only one class is left.
+    The last of ``validation_parts`` stretches of each symbol is held out, and what its labels overlap is left
+    out (:func:`cv.purged_tail`).  Returns None when the rows to train on hold only one class.
     """
-    classes = train.agg(F.min("meta_label"), F.max("meta_label")).first()
+    parted = materialize(cv.purged_tail(train, cfg.validation_parts), "fit")
+    classes = parted.filter("role = 'train'").agg(F.min("meta_label"), F.max("meta_label")).first()
     if classes[0] is None or classes[0] == classes[1]:
         return None
-    held_out = F.col("pos") % cfg.validation_every == cfg.validation_every - 1
-    rows = assemble(train, cfg.features).select(
+    rows = assemble(parted, cfg.features).select(
         "features", F.col("meta_label").cast("double").alias("label"), "sample_weight",
-        held_out.alias("is_validation"),
+        (F.col("role") == "validation").alias("is_validation"),
     )
     booster = GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="sample_weight",
