@@ -73,6 +73,19 @@ def _(spark, sf):
     )
 
 
+EVER = f""", ev as (select z.symbol, z.gap_idx, z.fvg_type,
+    min(case when (fvg_type = 1 and low <= gap_mid) or (fvg_type = -1 and high >= gap_mid) then b.bar_idx end) as partial_idx,
+    min(case when (fvg_type = 1 and low <= gap_bottom) or (fvg_type = -1 and high >= gap_top) then b.bar_idx end) as fill_idx
+    from zn z left join bars b on b.symbol = z.symbol and b.bar_idx > z.gap_idx group by all)"""
+
+
+@query("G2_fvg_fill_any_age", "symbol:s gap_idx:i fvg_type:i partial_idx:i fill_idx:i end_idx:i end_reason:s",
+       f"""with {DET}{EVER} select *, fill_idx as end_idx,
+       case when fill_idx is null then 'OPEN' else 'FILLED' end as end_reason from ev""")
+def _(spark, sf):
+    return gaps.fvg_fill(detected(spark, sf), None)
+
+
 ACTIVE = f""", pr as (select z.*, b.bar_idx, b.close, b.atr,
       b.bar_idx > z.gap_idx and ((fvgt = 1 and low <= z.gap_bottom) or (fvgt = -1 and high >= z.gap_top)) as fills,
       case when b.bar_idx > z.gap_idx and fvgt = 1 and low <= z.gap_mid then least(1.0, (z.gap_top - low) / z.gap_size)

@@ -191,7 +191,7 @@ SHRINK = f"""{HAAR}, pe as (select *, epoch_us(open_time) // 864000000000 as pd
        select symbol, bar_idx, wavelet_trend + sign(detail_1) * greatest(abs(detail_1) - lim, 0)
          + sign(detail_2) * greatest(abs(detail_2) - lim, 0) as denoised from pe join th using (symbol, pd)""")
 def _(spark, sf):
-    return denoise.wavelet_denoise(bars(spark, sf), level=2, period_seconds=10 * 86_400)
+    return denoise.wavelet_denoise(bars(spark, sf), level=2, period_seconds=10 * 86_400, causal=False)
 
 
 @query("N3_wavelet_denoise_hard_minimax", ID + "denoised:f",
@@ -199,6 +199,32 @@ def _(spark, sf):
          sigma * (0.3936 + 0.1829 * ln(n) / ln(2)) end as lim from sg)
        select symbol, bar_idx, wavelet_trend + case when abs(detail_1) > lim then detail_1 else 0 end
          + case when abs(detail_2) > lim then detail_2 else 0 end as denoised from pe join th using (symbol, pd)""")
+def _(spark, sf):
+    return denoise.wavelet_denoise(
+        bars(spark, sf), level=2, mode="hard", rule="minimax", period_seconds=10 * 86_400, causal=False
+    )
+
+
+SO_FAR = f"""{HAAR}, pe as (select *, epoch_us(open_time) // 864000000000 as pd from haar),
+  md as (select *, quantile_cont(detail_1, 0.5) over r as med, row_number() over r as n from pe
+    window r as (partition by symbol, pd order by bar_idx)),
+  sg as (select a.symbol, a.bar_idx, quantile_cont(abs(b.detail_1 - a.med), 0.5) / 0.6745 as sigma
+    from md a join md b on b.symbol = a.symbol and b.pd = a.pd and b.bar_idx <= a.bar_idx group by all)"""
+
+
+@query("N3_wavelet_denoise_causal", ID + "denoised:f",
+       f"""with {BARS}, {SO_FAR}, th as (select *, sigma * sqrt(2 * ln(n)) as lim from md join sg using (symbol, bar_idx))
+       select symbol, bar_idx, wavelet_trend + sign(detail_1) * greatest(abs(detail_1) - lim, 0)
+         + sign(detail_2) * greatest(abs(detail_2) - lim, 0) as denoised from th""")
+def _(spark, sf):
+    return denoise.wavelet_denoise(bars(spark, sf), level=2, period_seconds=10 * 86_400)
+
+
+@query("N3_wavelet_denoise_causal_hard_minimax", ID + "denoised:f",
+       f"""with {BARS}, {SO_FAR}, th as (select *, case when n <= 32 then 0 else
+         sigma * (0.3936 + 0.1829 * ln(n) / ln(2)) end as lim from md join sg using (symbol, bar_idx))
+       select symbol, bar_idx, wavelet_trend + case when abs(detail_1) > lim then detail_1 else 0 end
+         + case when abs(detail_2) > lim then detail_2 else 0 end as denoised from th""")
 def _(spark, sf):
     return denoise.wavelet_denoise(
         bars(spark, sf), level=2, mode="hard", rule="minimax", period_seconds=10 * 86_400
@@ -237,7 +263,7 @@ def _(spark, sf):
        select symbol, bar_idx, x as denoised from kr""")
 def _(spark, sf):
     rows = bars(spark, sf)
-    smooth = denoise.wavelet_denoise(rows, level=2, period_seconds=10 * 86_400)
+    smooth = denoise.wavelet_denoise(rows, level=2, period_seconds=10 * 86_400, causal=False)
     return denoise.kalman(smooth, "denoised").withColumn("denoised", F.col("kalman"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickspark.layout import BARS, Layout, windowed
-from tickspark.operators.fold import adaptive_kalman
+from tickspark.operators.fold import adaptive_kalman, keyed_fold
 from tickspark.operators.index import time_slice
 from tickspark.operators.scan import Walk, memory_rows, walk_blocks
 
@@ -109,25 +110,86 @@ def wavelet_decompose(df: DataFrame, w, col: str = "close", level: int = 2, wave
     return out.withColumnRenamed("_a", "wavelet_trend").drop("_s")
 
 
+class RunningDeviation:
+    """Scaled median deviation of the values so far, kept as one sorted list."""
+
+    def __init__(self):
+        self.values: list[float] = []
+        self.rows = 0
+
+    def step(self, value: float | None) -> float:
+        self.rows += 1
+        if value is not None and value == value:
+            insort(self.values, value)
+        n = len(self.values)
+        if n == 0:
+            return np.nan
+        low, high = self.values[(n - 1) // 2], self.values[n // 2]
+        centre = low + 0.5 * (high - low)
+        split = bisect_left(self.values, centre)
+        near = self._nearest((n - 1) // 2, centre, split)
+        far = near if n % 2 else self._nearest(n // 2, centre, split)
+        return (near + 0.5 * (far - near)) / MAD_UNIT
+
+    def _nearest(self, k: int, centre: float, split: int) -> float:
+        """The k-th smallest distance to ``centre``; the values before ``split`` lie below it.
+
+        The k + 1 nearest values are ``i`` of those below and the rest of those above; ``i`` is found by halving.
+        """
+        v, n = self.values, len(self.values)
+        lo, hi = max(0, k + 1 - (n - split)), min(k + 1, split)
+        while lo < hi:
+            i = (lo + hi) // 2
+            if abs(v[split - 1 - i] - centre) < abs(v[split + k - i] - centre):
+                lo = i + 1
+            else:
+                hi = i
+        below = abs(v[split - lo] - centre) if lo else 0.0
+        above = abs(v[split + k - lo] - centre) if lo <= k else 0.0
+        return max(below, above)
+
+
+def _noise_so_far(rows: DataFrame, keys: Sequence[str], idx: str) -> DataFrame:
+    """Add ``_sigma`` and ``_n`` of the rows of the period up to each row."""
+
+    def fn(state: RunningDeviation, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = state.rows
+        sigma = [state.step(x) for x in pdf["detail_1"].tolist()]
+        return pdf.assign(_sigma=sigma, _n=np.arange(first + 1, first + 1 + len(pdf), dtype="int64"))
+
+    added = [T.StructField("_sigma", T.DoubleType()), T.StructField("_n", T.LongType())]
+    return keyed_fold(rows, keys, [idx], RunningDeviation, fn, added)
+
+
+def _noise_of_period(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_sigma`` and ``_n`` of the whole period, later rows included."""
+    centre = rows.groupBy(*keys).agg(
+        F.percentile("detail_1", 0.5).alias("_med"), F.count(F.lit(1)).alias("_n")
+    )
+    spread = (
+        rows.join(centre, keys).groupBy(*keys)
+        .agg((F.percentile(F.abs(F.col("detail_1") - F.col("_med")), 0.5) / MAD_UNIT).alias("_sigma"),
+             F.max("_n").alias("_n"))
+    )
+    return rows.join(spread, keys)
+
+
 def wavelet_denoise(
     df: DataFrame, col: str = "close", level: int = 2, wavelet: str = "haar", mode: str = "soft",
     rule: str = "universal", period_seconds: int = 86_400, ts: str = "open_time", layout: Layout = BARS,
+    causal: bool = True,
 ) -> DataFrame:
     """Shrink the details by a threshold per series and period, then add everything up.
 
-    The noise level is the scaled median deviation of the finest detail in the period.
+    The noise level is the scaled median deviation of the finest detail of the rows of the period up to this one
+    (null and NaN details left out), so later rows change nothing; the first row of a period is not shrunk.  One
+    period of a series is walked in one task, whose memory is eight bytes and a list slot per row of the period.
+    ``causal=False`` takes the level of the whole period, for tables that are read as a whole.
     """
     parts = wavelet_decompose(df, col, level, wavelet, layout=layout)
     keys = [*layout.by, "_period"]
     rows = parts.withColumn("_period", time_slice(ts, period_seconds))
-    centre = rows.groupBy(*keys).agg(
-        F.percentile("detail_1", 0.5).alias("_med"), F.count(F.lit(1)).alias("_n")
-    )
-    spread = (
-        rows.join(centre, keys).groupBy(*keys)
-        .agg((F.percentile(F.abs(F.col("detail_1") - F.col("_med")), 0.5) / MAD_UNIT).alias("_sigma"),
-             F.max("_n").alias("_n"))
-    )
+    noisy = _noise_so_far(rows, keys, layout.idx) if causal else _noise_of_period(rows, keys)
     n = F.col("_n").cast("double")
     if rule == "minimax":
         factor = F.when(n <= 32, F.lit(0.0)).otherwise(0.3936 + 0.1829 * F.log2(n))
@@ -135,7 +197,7 @@ def wavelet_denoise(
         factor = F.sqrt(2 * F.log(n))
     else:
         raise ValueError(f"unknown threshold rule {rule}")
-    limits = spread.select(*keys, (F.col("_sigma") * factor).alias("_limit"))
+    limited = noisy.withColumn("_limit", F.col("_sigma") * factor)
     total = F.col("wavelet_trend")
     for j in range(1, level + 1):
         d = F.col(f"detail_{j}")
@@ -144,7 +206,7 @@ def wavelet_denoise(
         else:
             kept = F.when(F.abs(d) > F.col("_limit"), d).otherwise(F.lit(0.0))
         total = total + kept
-    return rows.join(limits, keys).withColumn("denoised", total).drop("_period", "_limit")
+    return limited.withColumn("denoised", total).drop("_period", "_limit", "_sigma", "_n")
 
 
 @windowed(lookback=lambda level=2, n=20, trend_rows=100, col="close": max(n, trend_rows - 1))
@@ -173,7 +235,7 @@ def as_signals(bars: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def denoise(
     df: DataFrame, mode: str = "kalman", col: str = "close", wavelet: str = "haar", level: int = 2,
-    layout: Layout = BARS, **kalman_params: float,
+    layout: Layout = BARS, causal: bool = True, **kalman_params: float,
 ) -> DataFrame:
     """``none``, ``wavelet``, ``kalman``, ``adaptive`` or ``combined``; keeps the original column."""
     if mode == "none":
@@ -182,7 +244,7 @@ def denoise(
         return kalman(df, col, layout=layout, **kalman_params).withColumn("denoised", F.col("kalman"))
     if mode == "adaptive":
         return adaptive_kalman(df, col).withColumn("denoised", F.col("kalman"))
-    smooth = wavelet_denoise(df, col, level, wavelet, layout=layout)
+    smooth = wavelet_denoise(df, col, level, wavelet, layout=layout, causal=causal)
     if mode == "wavelet":
         return smooth
     if mode == "combined":

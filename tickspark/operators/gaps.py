@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickspark.layout import BARS, Layout, windowed
-from tickspark.operators.joins import event_window
 from tickspark.operators.scan import (
     Cooldown, FollowThrough, LastKnown, Walk, block_scan, walk_blocks,
 )
+from tickspark.operators.touch import first_touch
 
 EPSILON = 1e-10
 
@@ -58,33 +58,39 @@ def gap_zones(detected: DataFrame) -> DataFrame:
     )
 
 
-def fills_gap() -> Column:
-    """The bar reaches the far edge of the gap."""
-    return F.when(F.col("fvg_type") == 1, F.col("low") <= F.col("gap_bottom")).otherwise(
-        F.col("high") >= F.col("gap_top")
-    )
-
-
-def fvg_fill(detected: DataFrame, max_age: int = 100) -> DataFrame:
+def fvg_fill(detected: DataFrame, max_age: int | None = 100) -> DataFrame:
     """Per gap the first bar that passes its midpoint, the first that fills it, and its end.
 
-    Gaps meet the following ``max_age - 1`` bars by an equi-join on the bar index.
+    Only the ``max_age - 1`` bars after a gap count.  With None they all do; a gap that is never filled is then
+    ``OPEN`` and has no end.  Gaps find their bars over a tree of block extremes (:func:`first_touch`).
     """
-    zones = gap_zones(detected).withColumn("bar_idx", F.col("gap_idx"))
-    prices = detected.select("symbol", "bar_idx", "high", "low")
-    pairs = event_window(zones, prices, 1, max_age - 1, left=True)
-    past_mid = F.when(F.col("fvg_type") == 1, F.col("low") <= F.col("gap_mid")).otherwise(
-        F.col("high") >= F.col("gap_mid")
+    if max_age is not None and max_age < 1:
+        raise ValueError("max_age must be at least 1")
+    zones = gap_zones(detected)
+    far = F.when(F.col("fvg_type") == 1, F.col("gap_bottom")).otherwise(F.col("gap_top"))
+    goals = zones.withColumn(
+        "_goal",
+        F.explode(F.array(
+            F.struct(F.lit("mid").alias("kind"), F.col("gap_mid").alias("level")),
+            F.struct(F.lit("far").alias("kind"), far.alias("level")),
+        )),
+    ).select("*", F.col("_goal.kind").alias("_kind"), F.col("_goal.level").alias("_level")).drop("_goal")
+    touched = first_touch(
+        goals, detected, side="fvg_type", level="_level", name="_touch",
+        max_age=None if max_age is None else max_age - 1,
     )
     keys = ["symbol", "gap_idx", "fvg_type", "gap_top", "gap_bottom", "gap_mid", "gap_size_bps"]
-    out = pairs.groupBy(*keys).agg(
-        F.min(F.when(past_mid, F.col("other_idx"))).alias("partial_idx"),
-        F.min(F.when(fills_gap(), F.col("other_idx"))).alias("fill_idx"),
+    out = touched.groupBy(*keys).agg(
+        F.min(F.when(F.col("_kind") == "mid", F.col("_touch"))).alias("partial_idx"),
+        F.min(F.when(F.col("_kind") == "far", F.col("_touch"))).alias("fill_idx"),
     )
+    last = F.lit(None).cast("long") if max_age is None else F.col("gap_idx") + max_age
     return out.withColumns(
         {
-            "end_idx": F.coalesce("fill_idx", F.col("gap_idx") + max_age),
-            "end_reason": F.when(F.col("fill_idx").isNotNull(), F.lit("FILLED")).otherwise(F.lit("EXPIRED")),
+            "end_idx": F.coalesce(F.col("fill_idx"), last),
+            "end_reason": F.when(F.col("fill_idx").isNotNull(), F.lit("FILLED")).otherwise(
+                F.lit("OPEN" if max_age is None else "EXPIRED")
+            ),
         }
     )
 
