@@ -92,6 +92,15 @@ def _(spark, sf):
     return cv.cpcv(samples(spark, sf), 6, 2, start="bar_idx", holding="holding_bars")
 
 
+@query("V4_cpcv_roles", ID + "test_bits:i train_bits:i",
+       f"""with {CP} select symbol, bar_idx, sum(case when is_test then 1 << combo else 0 end) as test_bits,
+       sum(case when not is_test and not near_t then 1 << combo else 0 end) as train_bits
+       from (select * replace (cast(combo as bigint) as combo) from cr) group by symbol, bar_idx""")
+def _(spark, sf):
+    roles = cv.cpcv_roles(samples(spark, sf), 6, 2, start="bar_idx", holding="holding_bars")
+    return roles.withColumns({c: F.element_at(c, 1) for c in ("test_bits", "train_bits")})
+
+
 @query("J6_folds_disjoint", "n_shared:i",
        f"""with {FOLDS} select count(*) as n_shared from pr a join pr b on a.symbol = b.symbol and a.bar_idx = b.bar_idx
        and a.fold = b.fold where a.role = 'train' and b.role = 'test'""")

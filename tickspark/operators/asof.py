@@ -17,8 +17,8 @@ def asof_join(
     """For each left row the ``columns`` of the latest right row with time <= its own.
 
     Both sides are stacked and ordered inside (key, time slice).  The last right row of a slice
-    is put in front of the following slices up to the next one that has right rows of its own,
-    and left rows after the last such slice take the last right row of the key.  So the left
+    is put in front of the following slices up to the next one that has right rows of its own;
+    the last right row of the key is put in front of every later slice that has left rows.  So the left
     side is shuffled once, by (key, slice), and no task holds a whole series.  ``strict`` asks
     for an earlier time instead of an equal one.
     """
@@ -44,23 +44,20 @@ def asof_join(
     carried = ends.withColumn("_next", later).filter(F.col("_next").isNotNull()).select(
         *by, "_right", F.explode(F.sequence(F.col(SLICE) + 1, F.col("_next"))).alias(SLICE)
     ).withColumn("_t", F.timestamp_micros(F.col(SLICE) * (slice_seconds * 1_000_000)))
-    stacked = (
-        l_rows.unionByName(as_rows(r_slim, 1 if strict else 0)).unionByName(as_rows(carried, -1))
-    )
-    final = ends.groupBy(*by).agg(
-        F.max_by("_right", "_t").alias("_last"), F.max("_t").alias("_last_t")
+    final = ends.groupBy(*by).agg(F.max_by("_right", "_t").alias("_right"), F.max(SLICE).alias("_last"))
+    tail = l_rows.select(*keys).distinct().join(final, list(by)).filter(F.col(SLICE) > F.col("_last")).withColumn(
+        "_t", F.timestamp_micros(F.col(SLICE) * (slice_seconds * 1_000_000))
     )
+    stacked = l_rows.unionByName(as_rows(r_slim, 1 if strict else 0))
+    for carry in (carried, tail):
+        stacked = stacked.unionByName(as_rows(carry, -1))
     in_slice = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     found = stacked.withColumn("_hit", F.last("_right", ignorenulls=True).over(in_slice)).filter(
         F.col("_left").isNotNull()
     )
-    after = F.col("_t") > F.col("_last_t") if strict else F.col("_t") >= F.col("_last_t")
-    joined = found.join(final, list(by), "left").withColumn(
-        "_hit", F.coalesce(F.col("_hit"), F.when(after, F.col("_last")))
-    )
-    return joined.select("_left.*", *[F.col(f"_hit.{c}").alias(c) for c in columns])
+    return found.select("_left.*", *[F.col(f"_hit.{c}").alias(c) for c in columns])
 
 
 def align_features(

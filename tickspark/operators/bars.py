@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickspark.layout import TICKS, Layout, windowed
 from tickspark.operators.index import SLICE, with_row_index
+from tickspark.operators.joins import with_key_row
 from tickspark.operators.scan import volume_resets
 
 # Timeframe names and their seconds.
@@ -253,7 +254,8 @@ def fill_gaps(df: DataFrame, w, interval_seconds: int) -> DataFrame:
 def recent_bars(bars: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` bars per symbol: dense indices make this one small join."""
     last = bars.groupBy("symbol").agg(F.max("bar_idx").alias("_last"))
-    return bars.join(last, "symbol").filter(F.col("bar_idx") > F.col("_last") - n).drop("_last")
+    rows = with_key_row(bars, last, ["symbol"], ["bar_idx"])
+    return rows.filter(F.col("bar_idx") > F.col("_last") - n).drop("_last")
 
 
 def bar_stats(bars: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickspark.operators.bars import with_mid_spread
 from tickspark.operators.index import with_row_index
+from tickspark.operators.joins import with_key_row
 
 
 def valid_quotes(ticks: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def drop_outliers(ticks: DataFrame, k: float = 10.0, slice_seconds: int = 900) -
     moved = tick_returns(ticks, slice_seconds)
     limits = moved.groupBy("symbol").agg((F.stddev_samp("tick_return") * k).alias("_limit"))
     keep = F.col("tick_return").isNull() | (F.abs("tick_return") <= F.col("_limit"))
-    return moved.join(limits, "symbol").filter(keep).drop("_limit", "prev_mid", "row_idx")
+    return with_key_row(moved, limits, ["symbol"], ["row_idx"]).filter(keep).drop("_limit", "prev_mid", "row_idx")
 
 
 def sample(df: DataFrame, n: int, seed: int = 42, total: int | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickspark.operators.joins import with_key_row
+
 SLICE = "_slice"
 
 
@@ -128,9 +130,26 @@ def running(
     return out.drop(*[f"_c_{o}" for o in values])
 
 
-def exact_quantiles(
-    df: DataFrame, by: Sequence[str], col: str, qs: Sequence[float], points: int = 64
-) -> DataFrame:
+def mass_slices(df: DataFrame, by: Sequence[str], col: str, width: int = 64) -> DataFrame:
+    """Add ``SLICE``, rising with ``col``: up to ``width ** 2`` parts per key with about equally many rows each.
+
+    The cuts are sketched percentiles, so values crowded together are still spread over all parts; equal values
+    share one.  A row's part is found in two steps of ``width`` comparisons.  NULL has no part.
+    """
+    points = width * width
+    cuts = F.percentile_approx(col, [(k + 1) / points for k in range(points)], 10 * points).alias("_cuts")
+    per_key = df.groupBy(*by).agg(cuts).withColumn(
+        "_coarse", F.transform(F.sequence(F.lit(1), F.lit(width)), lambda k: F.element_at("_cuts", k * width))
+    )
+    rows = with_key_row(df, per_key, by, [col])
+    v = F.col(col)
+    rows = rows.withColumn("_at", F.least(F.size(F.filter("_coarse", lambda b: b < v)), F.lit(width - 1)))
+    inside = F.slice("_cuts", F.col("_at") * width + 1, width)
+    part = (F.col("_at") * width + F.size(F.filter(inside, lambda b: b < v))).cast("long")
+    return rows.withColumn(SLICE, F.when(v.isNotNull(), part)).drop("_cuts", "_coarse", "_at")
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: Sequence[float]) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per (key, q).
 
     Equal values are counted first.  The distinct values are cut into parts of similar size at
@@ -140,14 +159,9 @@ def exact_quantiles(
     counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    cuts = [(k + 1) / points for k in range(points - 1)]
-    bounds = counts.groupBy(*by).agg(
-        F.percentile_approx("_v", cuts).alias("_cuts"), F.sum("_n").alias("_total")
-    )
-    part = F.size(F.filter(F.array_distinct("_cuts"), lambda b: b < F.col("_v"))).cast("long")
-    joined = counts.join(bounds, list(by)) if by else counts.crossJoin(F.broadcast(bounds))
-    parts = joined.withColumn(SLICE, part).drop("_cuts")
-    ranked = running(parts, by, [SLICE], ["_v"], {"_upto": ("sum", "_n")})
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    parts = mass_slices(counts, by, "_v")
+    ranked = with_key_row(running(parts, by, [SLICE], ["_v"], {"_upto": ("sum", "_n")}), totals, by, ["_v"])
     wanted = ranked.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
     pos = (F.col("_total") - 1) * F.col("q")
     low, start = F.floor(pos), F.col("_upto") - F.col("_n")

@@ -36,6 +36,21 @@ def event_window(
     return wide.join(other, [*by, "other_idx"], "left" if left else "inner")
 
 
+def with_key_row(
+    df: DataFrame, per_key: DataFrame, by: Sequence[str], deal: Sequence[str], how: str = "inner", places: int = 64,
+) -> DataFrame:
+    """Join a table of one row per key (its statistics) so that a key with most of the rows uses many tasks.
+
+    The small table is repeated for ``places`` places, to which rows are dealt by the hash of the ``deal`` columns.
+    Without ``by`` it is one row.  Rows whose key is null or has no partner go, unless ``how`` is ``left``.
+    """
+    if not by:
+        return df.crossJoin(F.broadcast(per_key))
+    copies = per_key.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+    dealt = df.withColumn("_place", F.pmod(F.xxhash64(*deal), F.lit(places)).cast("int"))
+    return dealt.join(copies, [*by, "_place"], how).drop("_place")
+
+
 def missing_keys(part: DataFrame, whole: DataFrame, on: Sequence[str] = KEY) -> DataFrame:
     """Rows of ``part`` without a partner in ``whole``."""
     return part.join(whole.select(*on).distinct(), list(on), "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickspark.layout import BARS, Layout, run_blocked, windowed
 from tickspark.operators import price
 from tickspark.operators.index import with_row_index
-from tickspark.operators.joins import event_window
+from tickspark.operators.joins import event_window, with_key_row
 from tickspark.operators.scan import Decay, decaying_scan
 
 
@@ -175,14 +175,14 @@ def sample_weights(
         size = F.abs("return_pct")
         scale = labels.groupBy("symbol").agg(F.avg(size).alias("_m"), F.max(size).alias("_x"))
         raw = F.when(F.col("_x") > 0, size / (F.col("_m") + 1e-6)).otherwise(F.lit(1.0))
-        weighted = labels.join(scale, "symbol").withColumn(
+        weighted = with_key_row(labels, scale, ["symbol"], ["bar_idx"]).withColumn(
             "_w", F.least(F.greatest(raw, F.lit(0.1)), F.lit(10.0))
         ).drop("_m", "_x")
     elif method == "time_decay":
         if last_idx is None:
             last_idx = labels.groupBy("symbol").agg(F.max("bar_idx").alias("last_idx"))
         age = F.col("last_idx") - F.col("bar_idx")
-        weighted = labels.join(last_idx, "symbol").withColumn(
+        weighted = with_key_row(labels, last_idx, ["symbol"], ["bar_idx"]).withColumn(
             "_w", F.exp(-F.log(F.lit(2.0)) / half_life * age)
         ).drop("last_idx")
     elif method == "uniform":
@@ -190,7 +190,7 @@ def sample_weights(
     else:
         raise ValueError(f"unknown weight method {method}")
     totals = weighted.groupBy("symbol").agg(F.sum("_w").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    return weighted.join(totals, "symbol").withColumn(
+    return with_key_row(weighted, totals, ["symbol"], ["bar_idx"]).withColumn(
         "sample_weight", F.col("_w") / (F.col("_s") + 1e-6) * F.col("_n")
     ).drop("_w", "_s", "_n")
 
@@ -253,7 +253,8 @@ def funnel_counts(signals: DataFrame, labels: DataFrame, bars: DataFrame) -> Dat
     size = bars.groupBy("symbol").agg((F.max("bar_idx") + 1).alias("n_bars"))
     per_bar = signals.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_k"), F.count_if(~F.col("direction").isin(1, -1)).alias("_bad")
-    ).join(size, "symbol")
+    )
+    per_bar = with_key_row(per_bar, size, ["symbol"], ["bar_idx"])
     outside = (F.col("bar_idx") < 0) | (F.col("bar_idx") >= F.col("n_bars"))
     totals = per_bar.groupBy("symbol").agg(
         F.max("n_bars").alias("n_bars"), F.sum("_k").alias("n_signals"),

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickspark.layout import BARS, Layout, windowed
-from tickspark.operators.index import SLICE, exact_quantiles, running
+from tickspark.operators.index import SLICE, exact_quantiles, mass_slices, running
+from tickspark.operators.joins import with_key_row
 
 
 def _div(a: Column, b: Column, default: float | Column = 0.0) -> Column:
@@ -18,12 +19,11 @@ def _div(a: Column, b: Column, default: float | Column = 0.0) -> Column:
 
 def ranking_metrics(
     scored: DataFrame, by: Sequence[str], score: str = "score", label: str = "y", weight: str = "weight",
-    parts: int = 1024,
 ) -> DataFrame:
     """ROC-AUC and average precision, plain and weighted.
 
     Rows with equal scores are merged, and the running counts from the highest score down are
-    taken over score slices, so a key with most of the rows is spread over many tasks.  With one
+    taken over score slices with about equally many scores, so a key with most of the rows is spread over many tasks.  With one
     class only the results are 0.5 and the base rate.
     """
     y, wt = F.col(label), F.col(weight).cast("double")
@@ -32,9 +32,7 @@ def ranking_metrics(
         F.sum(y * wt).alias("wpos"), F.sum((1 - y) * wt).alias("wneg"),
     )
     sides = ("pos", "neg", "wpos", "wneg")
-    sliced = merged.withColumns(
-        {SLICE: -F.floor(F.col("_s") * parts).cast("long"), "_d": -F.col("_s")}
-    )
+    sliced = mass_slices(merged.withColumn("_d", -F.col("_s")), by, "_d")
     ranked = running(sliced, by, [SLICE], ["_d"], {f"c_{c}": ("sum", c) for c in sides})
 
     def area(p: str, n: str) -> Column:
@@ -89,7 +87,7 @@ def metrics_at_quantile(
     )
     limits = limits.withColumn("quantile", F.round(F.col("q") * 100, 6)).drop("q")
     per_key = limits.groupBy(*by).agg(F.collect_list(F.struct("quantile", "threshold")).alias("_t"))
-    rows = scored.join(per_key, list(by)) if by else scored.crossJoin(F.broadcast(per_key))
+    rows = with_key_row(scored, per_key, by, [score, label, weight])
     wide = rows.withColumn("_q", F.explode("_t")).select("*", "_q.quantile", "_q.threshold")
     return _confusion(wide, [*by, "quantile", "threshold"], F.col(score) >= F.col("threshold"), label, weight)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickspark.operators.bars import with_mid_spread
 from tickspark.operators.clean import tick_returns
 from tickspark.operators.index import with_row_index
+from tickspark.operators.joins import with_key_row
 
 
 def _pct(part: Column, whole: Column) -> Column:
@@ -45,7 +46,7 @@ def price_profile(ticks: DataFrame) -> DataFrame:
 
 
 def spread_profile(ticks: DataFrame, pip: float = 0.01, wide_sigma: float = 5.0) -> DataFrame:
-    """Spread statistics; the second pass counts spreads wider than mean + 5 deviations."""
+    """Spread statistics; the second pass counts spreads wider than mean + 5 deviations, over distinct spreads."""
     rows = with_mid_spread(ticks)
     stats = rows.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"), F.min("spread").alias("spread_min"),
@@ -56,9 +57,10 @@ def spread_profile(ticks: DataFrame, pip: float = 0.01, wide_sigma: float = 5.0)
     limits = stats.select(
         "symbol", (F.col("spread_mean") + wide_sigma * F.col("spread_std")).alias("_limit")
     )
-    wide = (
-        rows.select("symbol", "spread").join(limits, "symbol")
-        .groupBy("symbol").agg(F.count_if(F.col("spread") > F.col("_limit")).alias("wide_count"))
+    distinct = rows.groupBy("symbol", "spread").agg(F.count(F.lit(1)).alias("_n"))
+    is_wide = F.col("spread") > F.col("_limit")
+    wide = with_key_row(distinct, limits, ["symbol"], ["spread"]).groupBy("symbol").agg(
+        F.sum(F.when(is_wide, F.col("_n")).otherwise(F.lit(0))).alias("wide_count")
     )
     return stats.join(wide, "symbol").withColumns(
         {
@@ -87,14 +89,15 @@ def return_profile(ticks: DataFrame, sigma: float = 10.0) -> DataFrame:
         F.min(r).alias("return_min"), F.max(r).alias("return_max"),
         F.sum(F.when(r == 0, n).otherwise(F.lit(0))).alias("zero_count"),
     )
-    centred = distinct.join(stats.select("symbol", "return_mean", "n_returns"), "symbol")
+    centre = stats.select("symbol", "return_mean", "n_returns")
+    centred = with_key_row(distinct, centre, ["symbol"], ["tick_return"])
     spread = centred.groupBy("symbol").agg(
         F.sqrt(F.try_divide(
             F.sum(n * (r - F.col("return_mean")) * (r - F.col("return_mean"))), F.max("n_returns") - 1
         )).alias("return_std")
     )
     large = (
-        distinct.join(spread, "symbol").groupBy("symbol").agg(
+        with_key_row(distinct, spread, ["symbol"], ["tick_return"]).groupBy("symbol").agg(
             F.sum(F.when(F.abs(r) > sigma * F.col("return_std"), n).otherwise(F.lit(0)))
             .alias("large_moves"))
     )
@@ -176,7 +179,7 @@ def feed_integrity(
         F.max(F.when(F.col("error") == "NON_MONOTONIC", F.col("seq"))).alias("_last_step"),
     )
     until = (
-        errors.join(totals.select("symbol", "_last_step"), "symbol")
+        with_key_row(errors, totals.select("symbol", "_last_step"), ["symbol"], ["seq"])
         .groupBy("symbol").agg(F.count_if(F.col("seq") <= F.col("_last_step")).alias("_upto"))
     )
     return totals.join(until, "symbol").withColumn(
