@@ -410,9 +410,12 @@ def _(spark, sf):
     return profile.quality_report(dirty_ticks(spark, sf))
 
 
-@query("C15_sample", "symbol:s seq:i")
+@query("C15_sample", "symbol:s seq:i",
+       f"""with {TICKS}, f as (select least(1.0, 1000.0::double / count(*)) as share from ticks)
+       select symbol, seq from ticks, f where share = 1 or
+         substr(md5('42|' || symbol || '|' || seq), 1, 13) < printf('%013x', cast(floor(share * 4503599627370496) as bigint))""")
 def _(spark, sf):
-    return clean.sample(ticks(spark, sf), 1000, seed=42)
+    return clean.sample(ticks(spark, sf), 1000, seed=42, on=("symbol", "seq"))
 
 
 @query("C16_is_valid", "symbol:s bar_idx:i is_valid:b",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import BARS, bars, query, ticks
+from catalog.base import BARS, TICKS, bars, query, ticks
 from catalog.features import ID, ewma_sql, w
 from tickspark.operators import labels as lab
 from tickspark.operators.bars import indexed_ticks
@@ -196,6 +196,13 @@ def _(spark, sf):
     )
 
 
-@query("L13_balance_segments", "symbol:s segment:i trend:s n_ticks:i")
+@query("L13_balance_segments", "symbol:s segment:i trend:s n_ticks:i",
+       f"""with {TICKS}, r as (select symbol, (bid + ask) / 2 as mid, row_number() over (partition by symbol order by ts, seq) - 1 as i from ticks),
+       s as (select symbol, i // 50 as segment, (arg_max(mid, i) / arg_min(mid, i) - 1) * 100 as ret, count(*) as n_ticks
+         from r group by symbol, i // 50),
+       c as (select *, case when ret > 1 then 'up' when ret < -1 then 'down' else 'flat' end as trend from s),
+       k as (select *, row_number() over (partition by trend order by substr(md5('42|' || symbol || '|' || segment), 1, 13), symbol, segment) as k from c),
+       m as (select min(n) as m from (select count(*) as n from c group by trend))
+       select symbol, segment, trend, n_ticks from k, m where k <= m""")
 def _(spark, sf):
     return lab.balance_segments(indexed_ticks(ticks(spark, sf)).drop(SLICE), 50, 1.0)

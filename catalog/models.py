@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from catalog.base import BARS, bars, gap_bars, query, table
+from catalog.base import BARS, GAP_BARS, bars, gap_bars, query, table
 from catalog.features import ID, INV, RET, THERMO, VPIN, ewma_sql, st_features_sql, supertrend_sql, w, zscore_sql
 from catalog.gaps import ACTIVE, AGE, CAL, DAILY, DET, EVENT, MIN_BPS, POSITIONS, open_positions, position_quotes
 from catalog.indicators import HAAR, KAL
@@ -61,12 +61,19 @@ def _(spark, sf):
     return rows.withColumn("spread_bps", F.nanvl("spread_bps", F.lit(-1.0)))
 
 
-@query("C20_schema_hash", "hash:s same:b n_rows:i")
+HELD = ", ".join(f"({i}, '{s.name}')" for i, s in enumerate(schema.FEATURES))
+
+
+@query("C20_schema_hash", "hash:s same:b n_rows:i",
+       f"""with {GAP_BARS}, f(idx, name) as (values {HELD})
+       select substr(md5(string_agg(name || ':double', ',' order by idx)), 1, 16) as hash, true as same,
+         (select count(*) from bars) as n_rows from f""")
 def _(spark, sf):
+    """Fingerprint of the feature table as built and put in order, and whether the written schema reads back as the same."""
+    rows = schema.select_features(feature_table(gap_bars(spark, sf), SHORT), [s.name for s in schema.FEATURES])
     back = schema.from_json(schema.to_json())
-    rows = raw_features(spark, sf)
     return rows.agg(F.count(F.lit(1)).alias("n_rows")).withColumns(
-        {"hash": F.lit(schema.schema_hash()), "same": F.lit(schema.is_compatible(schema.FEATURES, back))}
+        {"hash": F.lit(schema.table_hash(rows)), "same": F.lit(schema.is_compatible(schema.FEATURES, back))}
     )
 
 

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tickspark import schema
 from tickspark.operators import clean, cv, metrics
 from tickspark.operators.asof import asof_join
 from tickspark.operators.index import SLICE, exact_quantiles, mass_slices
@@ -112,3 +113,25 @@ def test_role_bitmaps(spark):
     roles.unpersist()
     few = samples.limit(2)
     assert cv.cpcv(few, 6, 2, start="t", holding="hold").filter("role = 'test'").count() == 10
+
+
+def test_sample_does_not_depend_on_the_layout(spark):
+    df = spark.range(5000).select(F.col("id").alias("a"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("b"))
+    picked = [
+        sorted(r["a"] for r in clean.sample(d, 500, seed=7, on=("a", "b")).collect())
+        for d in (df, df.repartition(13, "b"))
+    ]
+    assert picked[0] == picked[1] and 400 < len(picked[0]) < 600
+    other = {r["a"] for r in clean.sample(df, 500, seed=8, on=("a", "b")).collect()}
+    assert other != set(picked[0])
+    assert clean.sample(df, 9000, on=("a",)).count() == 5000 and clean.sample(df.limit(0), 5, on=("a",)).count() == 0
+
+
+def test_table_hash_sees_names_types_and_order(spark):
+    base = spark.sql("select 1.0d as log_return, 2.0d as vpin, 'x' as symbol")
+    same = base.withColumn("note", F.lit(1))
+    assert schema.table_hash(base) == schema.table_hash(same)
+    others = [
+        base.select("vpin", "log_return"), base.drop("vpin"), base.withColumn("vpin", F.col("vpin").cast("float")),
+    ]
+    assert len({schema.table_hash(d) for d in [base, *others]}) == 4

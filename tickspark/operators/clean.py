@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickspark.functions.hashing import BITS, portable_hash
 from tickspark.operators.bars import with_mid_spread
 from tickspark.operators.index import with_row_index
 from tickspark.operators.joins import with_key_row
@@ -39,10 +40,19 @@ def drop_outliers(ticks: DataFrame, k: float = 10.0, slice_seconds: int = 900) -
     return with_key_row(moved, limits, ["symbol"], ["row_idx"]).filter(keep).drop("_limit", "prev_mid", "row_idx")
 
 
-def sample(df: DataFrame, n: int, seed: int = 42, total: int | None = None) -> DataFrame:
-    """About ``n`` rows, repeatable for the same input and seed."""
+def sample(
+    df: DataFrame, n: int, seed: int = 42, total: int | None = None, on: Sequence[str] = (),
+) -> DataFrame:
+    """About ``n`` rows, repeatable for the same input and seed.
+
+    With ``on`` a row is chosen by the hash of these columns alone, so the same rows are chosen however the
+    table is stored or split; rows equal in them go together.
+    """
     rows = total if total is not None else df.count()
-    return df.sample(fraction=min(1.0, n / rows) if rows else 1.0, seed=seed)
+    fraction = min(1.0, n / rows) if rows else 1.0
+    if not on:
+        return df.sample(fraction=fraction, seed=seed)
+    return df.filter(portable_hash(on, seed) < F.lit(int(fraction * 2 ** BITS)))
 
 
 def with_is_valid(df: DataFrame, columns: Sequence[str]) -> DataFrame:

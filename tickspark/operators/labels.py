@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickspark.functions.hashing import BITS, portable_hash
 from tickspark.layout import BARS, Layout, run_blocked, windowed
 from tickspark.operators import price
 from tickspark.operators.index import with_row_index
@@ -325,12 +326,12 @@ def balance_segments(
         {
             "trend": F.when(ret > threshold_pct, F.lit("up")).when(ret < -threshold_pct, F.lit("down"))
             .otherwise(F.lit("flat")),
-            "_h": F.xxhash64("symbol", "segment", F.lit(seed)),
+            "_h": portable_hash(["symbol", "segment"], seed),
         }
     )
     numbered = with_row_index(
         classed, by=["trend"], order=["_h", "symbol", "segment"], name="_rank",
-        slices=F.shiftright("_h", 48),
+        slices=F.shiftright("_h", BITS - 16),
     )
     sizes = classed.groupBy("trend").agg(F.count(F.lit(1)).alias("_c")).agg(F.min("_c").alias("_keep"))
     kept = numbered.crossJoin(F.broadcast(sizes)).filter(F.col("_rank") < F.col("_keep"))

@@ -130,6 +130,13 @@ def schema_hash(specs: Sequence[FeatureSpec] = FEATURES) -> str:
     return hashlib.md5(json.dumps(content, sort_keys=True).encode()).hexdigest()[:16]
 
 
+def table_hash(df: DataFrame, specs: Sequence[FeatureSpec] = FEATURES) -> str:
+    """Short fingerprint of the feature columns a table holds: names, stored types and order in the table."""
+    names = {s.name for s in specs}
+    held = [f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields if f.name in names]
+    return hashlib.md5(",".join(held).encode()).hexdigest()[:16]
+
+
 def list_hash(names: Iterable[str]) -> str:
     """Fingerprint of an ordered list of names."""
     return hashlib.md5(json.dumps(list(names)).encode()).hexdigest()[:16]
