@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickspark import schema
+from tickspark.layout import Layout
 from tickspark.operators import clean, cv, metrics
 from tickspark.operators.asof import asof_join
 from tickspark.operators.index import SLICE, exact_quantiles, mass_slices
 from tickspark.operators.joins import with_key_row
+from tickspark.operators.scan import last_known
 
 
 @pytest.fixture
@@ -135,3 +137,22 @@ def test_table_hash_sees_names_types_and_order(spark):
         base.select("vpin", "log_return"), base.drop("vpin"), base.withColumn("vpin", F.col("vpin").cast("float")),
     ]
     assert len({schema.table_hash(d) for d in [base, *others]}) == 4
+
+
+@pytest.mark.parametrize("before", [False, True])
+def test_last_known_across_blocks(spark, before):
+    rng = np.random.default_rng(6)
+    pdf = pd.concat([
+        pd.DataFrame({"symbol": k, "bar_idx": np.arange(n), "x": np.where(rng.random(n) < 0.1, rng.random(n), np.nan)})
+        for k, n in (("A", 300), ("B", 7), ("C", 40))
+    ])
+    pdf.loc[pdf.symbol == "C", "x"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    out = last_known(df, {"x": "y"}, Layout(block_rows=16), before)
+    assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.toPandas().sort_values(["symbol", "bar_idx"]).reset_index(drop=True)
+    want = pdf.sort_values(["symbol", "bar_idx"]).reset_index(drop=True)
+    filled = want.groupby("symbol").x.transform(lambda s: s.ffill().shift() if before else s.ffill())
+    assert list(got.columns) == ["symbol", "bar_idx", "x", "y"]
+    assert np.array_equal(got.y.astype(float), filled.astype(float), equal_nan=True)
+    assert last_known(df.limit(0), {"x": "y"}).count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickspark.layout import BARS, Layout, windowed
-from tickspark.operators.scan import LastKnown, block_scan
+from tickspark.operators.scan import LastKnown, last_known
 
 # Sessions by code, and the hours (UTC) of the three markets.
 SESSIONS = ("Asia", "London", "NewYork", "Overlap", "Closed")
@@ -89,7 +89,7 @@ def session_age(df: DataFrame, idx: str = "bar_idx") -> DataFrame:
 def bars_from_session_open(df: DataFrame, layout: Layout = BARS) -> DataFrame:
     """Needs the ``session`` column."""
     marked = session_starts(df, idx=layout.idx, layout=layout)
-    return session_age(block_scan(marked, session_stage(), layout=layout), layout.idx)
+    return session_age(last_known(marked, {"_session_start": "_since"}, layout), layout.idx)
 
 
 def interactions(df: DataFrame, suffix: str = "_15m", vol: str = "micro_volatility_pct") -> DataFrame:

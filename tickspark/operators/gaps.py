@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tickspark.layout import BARS, Layout, windowed
 from tickspark.operators.scan import (
-    Cooldown, FollowThrough, LastKnown, Walk, block_scan, walk_blocks,
+    Cooldown, FollowThrough, LastKnown, Walk, block_scan, last_known, walk_blocks,
 )
 from tickspark.operators.touch import first_touch
 
@@ -298,4 +298,4 @@ def structure_stage() -> LastKnown:
 def structure_breaks(df: DataFrame, n: int = 20, layout: Layout = BARS) -> DataFrame:
     """Structure breaks of bars that carry the SuperTrend columns."""
     broken = range_breaks(df, n, layout=layout)
-    return structure_columns(block_scan(broken, structure_stage(), layout=layout))
+    return structure_columns(last_known(broken, {"range_break": "_break_before"}, layout, before=True))

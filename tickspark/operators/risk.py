@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickspark.layout import BARS, Layout
 from tickspark.operators.index import running, time_slice
-from tickspark.operators.scan import LastKnown, block_scan
+from tickspark.operators.scan import last_known
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ def low_confidence_runs(
     """Length of the current run of scores below ``limit``, and whether it reached ``n``."""
     idx = layout.idx
     marked = df.withColumn("_ok", F.when(F.col(score) >= limit, F.col(idx).cast("double")))
-    carried = block_scan(marked, LastKnown({"_ok": "_last_ok"}), layout=layout)
+    carried = last_known(marked, {"_ok": "_last_ok"}, layout)
     run = (F.col(idx) - F.coalesce("_last_ok", F.lit(-1.0))).cast("long")
     return carried.withColumns({"low_run": run, "collapsed": run >= n}).drop("_ok", "_last_ok")
 
@@ -89,9 +89,7 @@ def halt_state(
 ) -> DataFrame:
     """Halted from an alert on until the next unlock."""
     event = F.when(F.col(unlock), 0.0).when(F.col(alert), 1.0)
-    carried = block_scan(
-        df.withColumn("_event", event), LastKnown({"_event": "_state"}), layout=layout
-    )
+    carried = last_known(df.withColumn("_event", event), {"_event": "_state"}, layout)
     return carried.withColumn("is_halted", F.coalesce(F.col("_state") == 1.0, F.lit(False))).drop("_event", "_state")
 
 

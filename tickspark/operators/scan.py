@@ -19,7 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -573,9 +573,29 @@ class LastKnown(Kernel):
         return out
 
 
-def last_known(df: DataFrame, pairs: dict[str, str], layout: Layout = BARS) -> DataFrame:
-    """For each ``source: out`` add the last non-null value so far (numeric columns)."""
-    return block_scan(df, LastKnown(pairs), layout=layout)
+def last_known(df: DataFrame, pairs: dict[str, str], layout: Layout = BARS, before: bool = False) -> DataFrame:
+    """For each ``source: out`` add the last non-null value so far; with ``before`` the own row does not count.
+
+    Built-in functions only: the last value of each block is carried over the blocks of a series, a table of one
+    row per block, and met again in the block.  NaN is a value here; a row whose series is null sees its block.
+    """
+    idx = layout.idx
+    rows = df.withColumn(BLOCK, F.floor(F.col(idx) / layout.block_rows).cast("long"))
+    ends = rows.groupBy(*layout.keys).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(idx))).alias(f"_end_{out}") for c, out in pairs.items()]
+    )
+    earlier = Window.partitionBy(*layout.by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        *layout.keys,
+        *[F.last(f"_end_{out}", ignorenulls=True).over(earlier).alias(f"_carried_{out}") for out in pairs.values()],
+    )
+    inside = layout.window.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    return rows.join(carried, layout.keys, "left").withColumns(
+        {
+            out: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_carried_{out}"))
+            for c, out in pairs.items()
+        }
+    ).drop(BLOCK, *[f"_carried_{out}" for out in pairs.values()])
 
 
 class PivotCenter(Kernel):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickspark.layout import BARS, Layout, windowed
-from tickspark.operators.scan import LastKnown, Walk, block_scan, cooldown, walk_blocks
+from tickspark.operators.scan import Walk, cooldown, last_known, walk_blocks
 
 
 # ---------------------------------------------------------------- primary signals
@@ -114,9 +114,7 @@ def event_gate(
     """
     idx = layout.idx
     edged = _edges(df, event, align, idx, layout=layout)
-    carried = block_scan(
-        edged, LastKnown({"_edge": "_last_edge", "_edge_dir": "_last_dir"}), layout=layout
-    )
+    carried = last_known(edged, {"_edge": "_last_edge", "_edge_dir": "_last_dir"}, layout)
     inside = F.col(idx) - F.col("_last_edge") < n
     present, side = F.coalesce(inside, F.lit(False)), F.col("_last_dir")
     source = F.when(F.col("_edge").isNotNull(), F.lit("rising_edge")).when(present, F.lit("window"))
@@ -181,7 +179,7 @@ def structure_confirm(
             "_sig_idx": F.when(signal != 0, F.col(idx).cast("double")),
         }
     )
-    carried = block_scan(marked, LastKnown({"_sig": "_last_sig", "_sig_idx": "_last_idx"}), layout=layout)
+    carried = last_known(marked, {"_sig": "_last_sig", "_sig_idx": "_last_idx"}, layout)
     fresh = F.lit(True) if n == 0 else F.col(idx) - F.col("_last_idx") <= n
     ok = (F.col("_last_sig") == F.col(direction)) & (F.col(direction) != 0) & fresh
     return carried.withColumn("structure_ok", F.coalesce(ok, F.lit(False))).drop(
