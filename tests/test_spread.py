@@ -156,3 +156,31 @@ def test_last_known_across_blocks(spark, before):
     assert list(got.columns) == ["symbol", "bar_idx", "x", "y"]
     assert np.array_equal(got.y.astype(float), filled.astype(float), equal_nan=True)
     assert last_known(df.limit(0), {"x": "y"}).count() == 0
+
+
+def test_best_price_of_positions_over_blocks(spark, monkeypatch):
+    """The best price along lives over many blocks equals the window per position, and joined rows are not shuffled again."""
+    from pyspark.sql import functions as F
+
+    from tickspark.operators import joins, risk
+
+    monkeypatch.setattr(joins, "LIFE_BLOCK", 8)
+    monkeypatch.setattr(joins, "LIFE_TASKS", 4)
+    i = F.col("id")
+    ticks = spark.range(100).select(
+        F.lit("A").alias("symbol"), i.alias("row_idx"), F.timestamp_seconds(i).alias("ts"),
+        (100 + (i * 37) % 23).cast("double").alias("bid"), (101 + (i * 53) % 29).cast("double").alias("ask"),
+    )
+    held = spark.range(60).select(
+        F.lit("A").alias("symbol"), i.alias("ticket"), F.when(i % 2 == 0, 1).otherwise(-1).alias("direction"),
+        F.lit(100.0).alias("entry_price"), F.lit(0.1).alias("lots"), (i * 2 - 1).alias("start_row"),
+        F.when(i % 5 > 0, i * 2 + i % 5 * 9).alias("close_row"),
+    )
+    marked = risk.mark_positions(joins.positions_on_ticks(held, ticks, best=True))
+    plain = risk.mark_positions(joins.positions_on_ticks(held, ticks))
+    keys = ["ticket", "row_idx", "best_price", "net_pnl_usd"]
+    got, want = (sorted(map(tuple, df.select(*keys).collect())) for df in (marked, plain))
+    assert got == want and len(got) > 1000
+    # Above the joins stand no exchange: the last operators of both branches are the join and, for the first block, its window.
+    plan = marked.select(*keys)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("SortMergeJoin")]
