@@ -24,18 +24,23 @@ from tickspark.streaming.online import stream_features
 from tickspark.streaming.run import run_to_table
 
 
+#: Rows of a part, about: what one trigger reads does not grow with the table.
+PART_ROWS = 1_000_000
+
+
 def write_parts(df, path: str, part, by: tuple = ("symbol",)) -> None:
     """Append the rows of part 0, 1, ... one part after the other, in two files; rows equal in ``by`` share a file."""
-    rows = materialize(df.withColumn("_part", part), "arriving")
+    rows = materialize(df.withColumn("_part", part), "arriving", ("_part",))
     for (k,) in sorted(rows.select("_part").distinct().collect()):
         rows.filter(F.col("_part") == k).drop("_part").repartition(2, *by).write.mode("append").parquet(path)
 
 
-def write_in_order(df, path: str, order: str, parts: int = 4) -> None:
-    """Append ``parts`` parts of similar size, so that they arrive in order of ``order``."""
-    key = F.col(order).cast("double")
-    cuts = df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)])).first()[0]
-    write_parts(df, path, sum((F.when(key > c, 1).otherwise(0) for c in cuts), F.lit(0)))
+def write_in_order(df, path: str, order: str, parts: int = 4, by: tuple = ("symbol",)) -> None:
+    """Append ``parts`` parts of similar size, more of a large table, so that they arrive in order of ``order``."""
+    rows = materialize(df, "in-order")
+    key, parts = F.col(order).cast("double"), max(parts, -(-rows.count() // PART_ROWS))
+    cuts = rows.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)])).first()[0]
+    write_parts(rows, path, F.size(F.filter(F.lit(cuts), lambda c: key > c)), by)
 
 
 def as_stream(df, label: str, order: str, per_trigger: int = 2, parts: int = 4):
@@ -404,13 +409,13 @@ GUARD_STATES = """gr as (select distinct account, 0::bigint as n, null::bigint a
          losses as consecutive_losses, trades as total_trades, wins as winning_trades,
          model_halt is null and risk_halt is null as may_trade from gr where n > 0""")
 def _(spark, sf):
-    """Events as scores, fills and commands of three accounts, received up to four minutes after their time, five days at a time."""
+    """Events as scores, fills and commands of three accounts, received up to four minutes after their time."""
     e, seq = table(spark, sf, "events"), F.col("seq")
     rows = e.select(
         (F.col("user_id") % 3).alias("account"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "value",
     ).withColumn("clock", F.col("ts") + F.make_dt_interval(mins=(seq % 5).cast("int")))
     path = scratch_path(spark, "guard-events")
-    write_parts(rows, path, F.floor(F.unix_micros("clock") / (5 * DAY * 1_000_000)), by=())
+    write_in_order(rows, path, "clock", 6, by=())
 
     def arriving():
         return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)

@@ -116,3 +116,75 @@ def test_a_quiet_symbol_gives_its_last_ticks(spark):
         out = run_to_table(sbars.stream_bars(stream, 5, delay_ms=300_000, clock=clock), "t-quiet-out")
         counts[clock] = {r["symbol"]: r["count"] for r in out.where("kind = 'bar'").groupBy("symbol").count().collect()}
     assert counts == {"received": {"a": 2, "b": 7}, None: {"a": 1, "b": 7}}
+
+
+class _Value:
+    """A state value as a processor sees it."""
+
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, held):
+        self.held = held
+
+
+class _Handle:
+    def getValueState(self, name, schema):
+        return _Value()
+
+
+def test_a_large_trigger_is_worked_on_in_stretches(monkeypatch):
+    """The rows of one symbol in a trigger give the same features a stretch at a time."""
+    import numpy as np
+    import pandas as pd
+
+    from tickspark.plans.features import FeatureConfig
+    from tickspark.streaming import online
+
+    n = 300
+    walk = 1000 + np.random.default_rng(5).normal(0, 1, n).cumsum()
+    bars = pd.DataFrame({
+        "bar_idx": range(n), "open_us": np.arange(n) * 7_000_000_000, "open": walk, "high": walk + 1.5, "low": walk - 1.5,
+        "close": walk + 0.5, "tick_count": 20, "spread_sum": 0.2, "imbalance": np.arange(n) % 7 - 3, "duration_ms": 900.0,
+    })
+
+    def run(chunk):
+        monkeypatch.setattr(online, "CHUNK", chunk)
+        processor = online.FeatureProcessor(FeatureConfig(higher_seconds=86_400, bucket_volume=100.0, n_buckets=5))
+        processor.init(_Handle())
+        found = list(processor.handleInputRows(("A",), iter([bars.iloc[150:], bars.iloc[:150]]), None))
+        assert max(map(len, found)) <= chunk
+        return pd.concat(found, ignore_index=True)
+
+    whole, parts = run(1000), run(64)
+    pd.testing.assert_frame_equal(whole, parts, rtol=1e-9, atol=1e-9)
+
+
+def test_a_large_table_arrives_in_more_parts(spark, monkeypatch):
+    """What a trigger reads is bounded, the parts are in order and no row is lost."""
+    from pyspark.sql import functions as F
+
+    from catalog import streams
+    from tickspark.session import scratch_path
+
+    monkeypatch.setattr(streams, "PART_ROWS", 100)
+    rows = spark.range(1000).select(F.lit("A").alias("symbol"), F.when(F.col("id") > 4, F.col("id")).alias("at"))
+    written = []
+    whole = streams.write_parts
+
+    def noted(df, path, part, by):
+        written.extend(df.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).orderBy("p").collect())
+        whole(df, path, part, by)
+
+    monkeypatch.setattr(streams, "write_parts", noted)
+    path = scratch_path(spark, "test-parts")
+    streams.write_in_order(rows, path, "at", 4)
+    assert len(written) == 10 and max(r["n"] for r in written) <= 120
+    assert all(a["hi"] < b["lo"] for a, b in zip(written, written[1:]))
+    assert spark.read.parquet(path).count() == 1000

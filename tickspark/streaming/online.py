@@ -373,6 +373,10 @@ class Online:
 
 # ---------------------------------------------------------------- streams
 
+#: Bars worked on at once: the windows of one bar hold some hundred values.
+CHUNK = 4096
+
+
 class FeatureProcessor(StatefulProcessor):
     """The state of one symbol's features."""
 
@@ -387,10 +391,11 @@ class FeatureProcessor(StatefulProcessor):
         new = pd.concat([r[list(IN_COLUMNS)] for r in rows]).astype("float64").sort_values("bar_idx", ignore_index=True)
         seen = self.state.exists()
         online = Online(self.cfg, self.past.get()[0] if seen else None, self.state.get() if seen else None)
-        out = online.add(new)
+        for at in range(0, len(new), CHUNK):
+            part = new.iloc[at:at + CHUNK].reset_index(drop=True)
+            yield pd.concat([pd.DataFrame({"symbol": key[0]}, index=part.index), part, online.add(part)], axis=1)
         self.past.update(([online.past[c].tolist() for c in online.names],))
         self.state.update(online.state())
-        yield pd.concat([pd.DataFrame({"symbol": key[0]}, index=new.index), new, out], axis=1)
 
     def close(self) -> None:
         pass
