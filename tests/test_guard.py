@@ -113,3 +113,15 @@ def test_vectors_are_checked_before_they_reach_the_state(spark):
     commands = scores.selectExpr("account", "ts", "seq", "clock", "'unlock' as command").limit(0)
     got = {r.seq: r.alert for r in guard_events(scores, fills, commands, CFG).collect()}
     assert got == {1: None, 2: "NAN_INF", 3: "STATE_SATURATION", 4: "NAN_INF", 5: None}
+
+
+def test_waiting_events_are_kept_in_stretches(monkeypatch):
+    """The state holds many events in a row of its list, and gives them back as they were."""
+    from tickspark.streaming import guard
+
+    monkeypatch.setattr(guard, "STRETCH", 4)
+    events = [event(k, "fill", pnl=float(k)) if k % 3 else event(k, "score", alert=None, low=k % 2 == 0, slow=False) for k in range(10)]
+    rows = guard.in_stretches(events)
+    assert [len(r[0]) for r in rows] == [4, 4, 2]
+    assert guard.from_stretches(rows) == events
+    assert guard.in_stretches([]) == [] and guard.from_stretches([]) == []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -28,9 +28,25 @@ GUARD_SCHEMA = T.StructType(
     ]
 )
 EVENT_COLUMNS = ("us", "rank", "seq", "alert", "low", "slow", "pnl", "day_end_us", "command")
+#: Waiting events, a stretch of them in each row of the state: a call per event costs more than its use.
 EVENT_STATE = (
-    "us long, rank int, seq long, alert string, low boolean, slow boolean, pnl double, day_end_us long, command string"
+    "us array<long>, rank array<int>, seq array<long>, alert array<string>, low array<boolean>, slow array<boolean>, "
+    "pnl array<double>, day_end_us array<long>, command array<string>"
 )
+STRETCH = 1000
+
+
+def in_stretches(events: list[tuple]) -> list[tuple]:
+    """Rows of :data:`EVENT_STATE` for sorted events; :func:`from_stretches` gives the events back."""
+    rows = [
+        (int(us), int(rank), int(seq), alert, low, slow, pnl, None if end is None else int(end), command)
+        for us, rank, seq, alert, low, slow, pnl, end, command in events
+    ]
+    return [tuple(map(list, zip(*rows[at:at + STRETCH]))) for at in range(0, len(rows), STRETCH)]
+
+
+def from_stretches(rows: Iterable[tuple]) -> list[tuple]:
+    return [event for row in rows for event in zip(*row)]
 
 
 @dataclass(frozen=True)
@@ -161,11 +177,10 @@ class GuardProcessor(StatefulProcessor):
         self.waiting = handle.getListState("waiting", EVENT_STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        fresh = [
-            tuple(None if pd.isna(v) else v for v in event)
-            for pdf in rows
-            for event in pdf[list(EVENT_COLUMNS)].astype(object).itertuples(index=False, name=None)
-        ]
+        fresh = []
+        for pdf in rows:
+            events = pdf[list(EVENT_COLUMNS)]
+            fresh += events.astype(object).where(events.notna(), None).itertuples(index=False, name=None)
         yield self._use(key, fresh, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -174,7 +189,7 @@ class GuardProcessor(StatefulProcessor):
     def _use(self, key, fresh: list[tuple], timerValues) -> pd.DataFrame:
         # What is due has waited: its millisecond, with the wait, lies before the watermark.
         due = (timerValues.getCurrentWatermarkInMs() - self.cfg.wait_ms) * 1000
-        pending = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        pending = from_stretches(self.waiting.get()) if self.waiting.exists() else []
         pending = sorted([*pending, *fresh], key=lambda e: e[:3])
         ready = [e for e in pending if e[0] < due]
         rest = pending[len(ready):]
@@ -182,10 +197,7 @@ class GuardProcessor(StatefulProcessor):
         out = list(step(guard, key[0], ready, due - 1))
         self.guard.update(guard.state())
         if rest:
-            self.waiting.put([
-                (int(us), int(rank), int(seq), alert, low, slow, pnl, None if end is None else int(end), command)
-                for us, rank, seq, alert, low, slow, pnl, end, command in rest
-            ])
+            self.waiting.put(in_stretches(rest))
         elif self.waiting.exists():
             self.waiting.clear()
         for at in list(self.handle.listTimers()):
