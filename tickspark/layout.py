@@ -40,8 +40,9 @@ class Layout:
 
 BARS = Layout()
 #: Ticks are a hundred times as many as bars, so their blocks are larger: the chain over the blocks
-#: of one series stays a table of some hundred thousand short rows even for 10**11 ticks.
-TICKS = Layout(idx="row_idx", block_rows=1 << 22)
+#: of one series stays a table of some ten thousand short rows for 10**9 ticks.  A worker holds a block a
+#: few times over, which sets the other bound.
+TICKS = Layout(idx="row_idx", block_rows=1 << 16)
 
 
 def with_blocks(df: DataFrame, lookback: int, lookahead: int, layout: Layout) -> DataFrame:
