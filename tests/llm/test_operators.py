@@ -579,3 +579,20 @@ def test_pipeline_stages(spark):
             check_places(after.collect())
             assert {r[0] for r in after.select("doc_id").collect()} == {r[0] for r in before.select("doc_id").collect()}
         before = after
+
+
+def test_word_effects_need_little_memory():
+    """The mean effect of each word's n-grams is made a stretch of words at a time, with the values of one pass."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    effect = rng.normal(size=toxicity.BUCKETS).astype(np.float32)
+    for n in (1, 19_999, 20_000, 20_001, 200_000):
+        sizes = rng.integers(1, 30, n).astype(np.int32)
+        flat = rng.integers(0, toxicity.BUCKETS, sizes.sum()).astype(np.int32)
+        tracemalloc.start()
+        got = toxicity._word_effects(effect, flat, sizes)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        np.testing.assert_array_equal(got, np.add.reduceat(effect[flat], np.cumsum(sizes) - sizes) / sizes)
+    assert peak < flat.nbytes

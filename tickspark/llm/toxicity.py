@@ -108,8 +108,13 @@ class Model:
 
 def _word_effects(effect: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Mean effect of each word's n-grams; every word has one at least."""
-    starts = np.cumsum(sizes, dtype=np.int64) - sizes
-    return np.add.reduceat(effect[flat], starts) / sizes
+    starts = np.append(np.cumsum(sizes, dtype=np.int64) - sizes, len(flat))
+    out = np.empty(len(sizes), effect.dtype)
+    for k in range(0, len(sizes), 20_000):
+        at = starts[k : k + 20_001]
+        at = at if k + 20_000 < len(sizes) else at[: len(sizes) - k + 1]
+        out[k : k + 20_000] = np.add.reduceat(effect[flat[at[0] : at[-1]]], at[:-1] - at[0])
+    return out / sizes
 
 
 def _softmax_step(m: Model, memory: list[np.ndarray], words: np.ndarray, lengths: np.ndarray, y: np.ndarray,
@@ -175,6 +180,8 @@ def learn(texts: list[str], toxic: np.ndarray, epochs: int, rate: float, seed: i
         m.shift = float(np.log(rate_toxic / (1 - rate_toxic)))
         return m
     flat, sizes = subwords(list(number))
+    # The words are long strings beside their numbers; learning needs the numbers.
+    number.clear()
     start = np.cumsum(sizes, dtype=np.int64) - sizes
     edges = [passages(len(d)) for d in docs]
     begins = np.concatenate([e + o for e, o in zip(edges, np.concatenate(([0], np.cumsum([len(d) for d in docs])[:-1])), strict=True) if len(e)])
