@@ -184,3 +184,14 @@ def test_best_price_of_positions_over_blocks(spark, monkeypatch):
     # Above the joins stand no exchange: the last operators of both branches are the join and, for the first block, its window.
     plan = marked.select(*keys)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[:plan.index("SortMergeJoin")]
+
+
+def test_blocks_of_ticks_are_small(spark):
+    """A worker holds a block of a tick scan several times over, so a long series must make many blocks."""
+    from pyspark.sql import functions as F
+
+    from tickspark.layout import BLOCK, TICKS, with_blocks
+
+    rows = spark.range(200_000).select(F.lit("A").alias("symbol"), F.col("id").alias("row_idx"))
+    sizes = [r["count"] for r in with_blocks(rows, 0, 0, TICKS).groupBy("symbol", BLOCK).count().collect()]
+    assert sum(sizes) == 200_000 and max(sizes) <= 65_536
