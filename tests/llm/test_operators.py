@@ -406,6 +406,26 @@ def test_special_strings_as_in_the_plain_call_or_as_text():
             assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_keeps_words_in_use_and_few_others(monkeypatch):
+    from tickspark.llm.tokens import POINTS, Encoder
+
+    monkeypatch.setattr(Encoder, "LIMIT", 50)
+    rng = np.random.default_rng(3)
+    marks = ["'s", "'ll", ".\n", "&&&", ",", "\n\n", "\t", "12", "½", "é", "ß", "--", "'", "²x"]
+    odd = [chr(k) for k in POINTS]
+    texts = ["often ", " often", "a\n", "\n\na b\t", "often  b"]
+    for k in range(200):
+        words = ["", "often", *(f"w{k}x{j}" + marks[rng.integers(len(marks))] + "Zo" * (j % 2) for j in range(20)), "".join(rng.choice(odd, 6))]
+        texts.append("The" + " ".join(words))
+    for path, lower in ((packing.tokenizer_path(), False), (tokenids.tokenizer_path(), True)):
+        library, encode = Tokenizer.from_file(path), Encoder(path, lower)
+        got = [np.frombuffer(raw, "<u2").tolist() for raw in encode.all(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        # Before, all words were forgotten at once, or up to a million kept.
+        assert "often" in {*encode.known, *encode.known.before}
+        assert len(encode.known) + len(encode.known.before) <= 2 * 50
+
+
 def test_codes_round_trip():
     rng = np.random.default_rng(2)
     for n in (0, 1, 3, 4, 5, 1000):

@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, a distinct word at a time.
 
-Both vocabularies split a text at white space, and what lies between is encoded alone, so each distinct
-word goes through the tokenizers library once per worker and is looked up afterwards.  The texts are cut here
+Both vocabularies split a text at white space, and what lies between is encoded alone, so a
+word goes through the tokenizers library when a worker meets it first and is looked up while it stays in use.
+Words are cut to pieces by the pattern of the vocabulary, which the merge model of the library encodes.  The texts are cut here
 only where that is sure to agree with the library: Latin letters (code points up to U+024F), which
 every Unicode version treats alike, and, for the byte vocabulary, single spaces.  Any other text goes to
 the library whole, and so does one that may hold the string of a special token.  Such strings give the special
@@ -11,8 +12,9 @@ id, as in the library's plain call; ``special_as_text`` treats them as ordinary
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 from tokenizers import Tokenizer, pre_tokenizers
@@ -21,100 +23,98 @@ from tokenizers import Tokenizer, pre_tokenizers
 OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]")
 #: Control characters other than tab and line ends.
 CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
-#: Single marks that are pieces of their own after a letter.
-STOPS = ".,;:!?"
 #: How the strings of special tokens begin in these vocabularies.
 SPECIAL = "<|"
 #: White space before a space, which the byte vocabulary may join to one piece.
-GAP = re.compile("[\t\n\r ] ")
+GAPS = ("  ", "\n ", "\t ", "\r ")
+#: Code points of texts that are cut here, and of these in lower case, which some have beyond the range.
+POINTS = [9, 10, 13, *range(0x20, 0x250)]
+LOWERED = sorted({*POINTS, *(ord(c) for k in POINTS for c in chr(k).lower())})
+LETTERS, NUMBERS = ("".join(chr(k) for k in LOWERED if unicodedata.category(chr(k))[0] == kind) for kind in "LN")
+#: What the vocabularies make of a text, by whether they lower it.
+PIECES = {
+    False: re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"),
+    True: re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+"),
+}
+
+
+class Remembered(dict):
+    """Values by key, made where they are missing.  Of more than ``limit`` keys, those stay that were asked for
+    among the last ``limit`` to twice as many different ones.  Very long keys are not kept."""
+
+    #: Characters of the longest key kept.
+    LONGEST = 100
+
+    def __init__(self, make: Callable[[str], bytes], limit: int) -> None:
+        self.make, self.limit = make, limit
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) > self.LONGEST:
+            return value
+        if len(self) >= self.limit:
+            self.before = self.copy()
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned integers of ``width`` bytes."""
 
-    #: Most words remembered.
-    LIMIT = 1_000_000
-    #: Characters of texts whose new words are encoded together.
-    GROUP = 300_000
+    #: Words remembered as in use; as many that were so before.
+    LIMIT = 250_000
 
     def __init__(self, path: str, lower: bool, width: int = 2, special_as_text: bool = False) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.special = None if special_as_text else SPECIAL
         self.lower, self.kind = lower, {2: "H", 4: "I"}[width]
-        self.known: dict[str, bytes] = {}
+        self.cut = PIECES[lower].findall
         mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.bytes = {k: mapped(chr(k))[0][0] for k in range(32, 0x250)}
-        self.stops = dict(zip(STOPS, self._encode(list(STOPS)), strict=True))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array(self.kind, e.ids).tobytes() for e in found]
-
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of Latin letters: each is one piece, so the library's merge model alone does."""
-        merge, table, space = self.tokenizer.model.tokenize, self.bytes, "" if self.lower else self.bytes[32]
-        return [array(self.kind, [t.id for t in merge(space + w.translate(table))]).tobytes() for w in words]
-
-    def _learn(self, new: set[str]) -> None:
-        """Encode words not known yet; a letter and one stop after it are two pieces."""
-        known, stops = self.known, self.stops
-        ended = {w for w in new if w[-1:] in stops and w[-2:-1].isalpha()}
-        bare = (new - ended) | {w[:-1] for w in ended if w[:-1] not in known}
-        letters = [w for w in bare if w.isalpha()]
-        others = [w for w in bare if not w.isalpha()]
-        known.update(zip(letters, self._encode_letters(letters), strict=True))
-        known.update(zip(others, self._encode(others if self.lower else [" " + w for w in others]), strict=True))
-        for w in ended:
-            known[w] = known[w[:-1]] + stops[w[-1]]
-
-    def _group(self, texts: list[str | None]) -> list[bytes]:
-        get = self.known.get
-        out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, bytes, list[str], list[bytes | None]]] = []
-        new: set[str] = set()
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            if (
-                (not text.isascii() or CONTROL.search(text)) and OTHER.search(text)
-                or (not self.lower and GAP.search(text)) or (self.special and self.special in text)
-            ):
-                out[k] = self._encode([text])[0]
-                continue
-            if self.lower:
-                head, words = b"", text.lower().split()
-            else:
-                # Every word but the first has its space before it.
-                first, *words = text.split(" ")
-                head = self._encode([first])[0] if first else b""
-            parts = list(map(get, words))
-            if None in parts:
-                new.update(w for w, p in zip(words, parts, strict=True) if p is None)
-                cut.append((k, head, words, parts))
-            else:
-                out[k] = head + b"".join(parts)
-        self._learn(new)
-        for k, head, words, parts in cut:
-            out[k] = head + b"".join([get(w) if p is None else p for w, p in zip(words, parts, strict=True)])
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        return out
+        self.bytes = {k: mapped(chr(k))[0][0] for k in LOWERED}
+        self.merge, self.space = self.tokenizer.model.tokenize, "" if lower else self.bytes[32]
+        self.known = Remembered(self._word, self.LIMIT)
+        self.pieces = Remembered(self._piece, self.LIMIT // 4)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what the vocabulary takes as one piece: the library's merge model alone does."""
+        return array(self.kind, [t.id for t in self.merge(piece.translate(self.bytes))]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word, with the space before it where the vocabulary has one."""
+        if word.isalpha():
+            return array(self.kind, [t.id for t in self.merge(self.space + word.translate(self.bytes))]).tobytes()
+        first, *rest = self.cut(word if self.lower else " " + word)
+        bare = first if self.lower else first[1:]
+        head = self.known[bare] if bare.isalpha() else self.pieces[first]
+        return b"".join([head, *map(self.pieces.__getitem__, rest)])
+
+    def _whole(self, text: str) -> bytes:
+        """Ids of a text by the library itself."""
+        return array(self.kind, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each whole text, in order; empty for null."""
-        held, size = [], 0
-        for text in texts:
-            held.append(text)
-            size += len(text or "")
-            if size > self.GROUP:
-                yield from self._group(held)
-                held, size = [], 0
-        yield from self._group(held)
+        return map(self, texts)
 
     def __call__(self, text: str | None) -> bytes:
         """Ids of one whole text; empty for null."""
-        return self._group([text])[0]
+        if not text:
+            return b""
+        if (
+            (not text.isascii() or CONTROL.search(text)) and OTHER.search(text)
+            or (not self.lower and any(gap in text for gap in GAPS)) or (self.special and self.special in text)
+        ):
+            return self._whole(text)
+        if self.lower:
+            return b"".join(map(self.known.__getitem__, text.lower().split()))
+        # Every word but the first has its space before it.
+        first, *words = text.split(" ")
+        return b"".join([*map(self.pieces.__getitem__, self.cut(first)), *map(self.known.__getitem__, words)])
 
 
 @cache
