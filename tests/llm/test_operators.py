@@ -240,6 +240,18 @@ def test_near_duplicates(spark, odd_docs, which):
     assert Counter(map(tuple, neardup.near_duplicates(docs).collect())) == expected
 
 
+def test_bitmaps_are_compared_by_a_short_expression(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    x, y = (rng.integers(-(1 << 63), 1 << 63, neardup.MARK_WORDS, np.int64).tolist() for _ in range(2))
+    both = neardup.bits(F.col("x"), F.col("y"), lambda a, b: a.bitwiseAND(b))
+    got = spark.createDataFrame([(x, y)], "x array<long>, y array<long>").select(both.alias("n")).first()["n"]
+    assert got == sum(((a & b) % (1 << 64)).bit_count() for a, b in zip(x, y, strict=True))
+    # Before, the driver planned a term for each word of the bitmaps, several times a join.
+    assert len(str(neardup.estimate(F.col("x"), F.col("y")))) + len(str(neardup.most_common("x", "y"))) < 2000
+
+
 def test_near_duplicates_of_nothing(spark, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
 

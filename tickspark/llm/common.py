@@ -6,6 +6,9 @@ shingles are five words; the whole word sequence stands in when there are fewer.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +36,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_memory() -> None:
+    """Give the system back what this process no longer uses, after learning on the driver; without glibc nothing happens."""
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -161,12 +171,19 @@ def components(nodes_links: DataFrame, label: str = "components") -> DataFrame:
     ).where("u <> v").distinct()
     links = materialize(links, label)
 
+    def state(pairs: DataFrame) -> tuple[int, int | None, int | None]:
+        """Number and 128-bit digest of distinct pairs: one grouping, where a comparison of tables takes several."""
+        return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+    before = state(links)
+
     def with_least(pairs: DataFrame) -> DataFrame:
         """Each pair (u, v) with the least neighbour ``m`` of u; a node's pairs meet its row in ``SALTS`` places."""
         low = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         return pairs.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low, ["u", "_salt"]).drop("_salt")
 
-    while True:
+    changed = before[0] > 0
+    while changed:
         # Large star: both directions, larger neighbours go to the smallest of neighbours and self.
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
@@ -176,10 +193,8 @@ def components(nodes_links: DataFrame, label: str = "components") -> DataFrame:
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             joined.select("u", F.col("m").alias("v"))
         ).where("u <> v").distinct()
-        done = materialize(small, label)
-        changed = done.exceptAll(links).limit(1).count() or links.exceptAll(done).limit(1).count()
-        links = done
-        if not changed:
-            break
+        links = materialize(small, label)
+        now = state(links)
+        changed, before = now != before, now
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -24,7 +24,7 @@ Shingles are compared by 64-bit hashes, sets and texts by 128-bit digests.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -142,9 +142,14 @@ def common_marks(chosen: DataFrame, docs: DataFrame) -> DataFrame:
     return kept.select("digest", "shared", "bits", marks.alias("marks"))
 
 
+def bits(a: Column, b: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """Set bits of two bitmaps combined; one short expression, since the driver plans each join several times."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(use(x, y))), F.lit(0), lambda n, k: n + k)
+
+
 def most_common(x: str, y: str) -> Column:
     """The most shingles that two chosen classes can share: common bits, and what one bit may stand for."""
-    both = sum((F.bit_count(F.col(f"{x}_marks")[k].bitwiseAND(F.col(f"{y}_marks")[k])) for k in range(MARK_WORDS)), F.lit(0))
+    both = bits(F.col(f"{x}_marks"), F.col(f"{y}_marks"), lambda x, y: x.bitwiseAND(y))
     return both + F.least(F.col(f"{x}_shared") - F.col(f"{x}_bits"), F.col(f"{y}_shared") - F.col(f"{y}_bits"))
 
 
@@ -155,7 +160,7 @@ def similar_size(a: Column, b: Column) -> Column:
 
 def estimate(a: Column, b: Column) -> Column:
     """Similarity estimated from two odd sketches."""
-    differ = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(SKETCH // 64)), F.lit(0))
+    differ = bits(a, b, lambda x, y: x.bitwiseXOR(y))
     rest = F.greatest(1 - 2 * differ / SKETCH, F.lit(1e-9))
     return 1 + F.log(rest) * SKETCH / (4 * BANDS * ROWS)
 

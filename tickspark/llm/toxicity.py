@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import first_texts, fold, mix, read
+from tickspark.llm.common import first_texts, fold, free_memory, mix, read
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -283,6 +283,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS
     texts, toxic = [r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows], np.int64)
     del rows
     model = train(texts, toxic)
+    del texts
+    free_memory()
     have = np.bincount(toxic, minlength=2)
     if have.all() and number.get(0) and number.get(1):
         model.shift += float(np.log(number[1] / number[0]) - np.log(have[1] / have[0]))
