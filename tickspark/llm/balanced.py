@@ -24,6 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,19 +43,19 @@ LINEAR = 6 * 1024
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``part, seq, doc_id, n, ids`` (16-bit ids with the end id) of every document, written once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        to_ids, end = encoder(path, True), END.to_bytes(2, "little")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_ids = encoder(path, True).column
         part, seen = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids = [raw + end for raw in to_ids.all(b["text"])]
-            yield pd.DataFrame({
-                "part": part, "seq": np.arange(seen, seen + len(ids)), "doc_id": b["doc_id"].astype("Int64"),
-                "n": [len(raw) // 2 for raw in ids], "ids": ids,
+            ids = to_ids(b.column("text"), END)
+            yield pa.RecordBatch.from_pydict({
+                "part": np.full(len(ids), part, np.int64), "seq": np.arange(seen, seen + len(ids)), "doc_id": b.column("doc_id"),
+                "n": pc.binary_length(ids).to_numpy().astype(np.int64) // 2, "ids": ids,
             })
             seen += len(ids)
 
     kind = "part long, seq long, doc_id long, n long, ids binary"
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, kind)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kind)
     place = scratch_path(docs.sparkSession, "balanced-ids")
     rows.write.option("compression", "zstd").parquet(place)
     return docs.sparkSession.read.schema(rows.schema).parquet(place)

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ END = 2
 FRAME_TOKENS = 1 << 18
 #: Frames in one file.
 FRAMES_PER_FILE = 32
+#: Ids counted at once.
+TALLY = 1 << 20
 HEAD = struct.Struct("<4sIIIQQ")
 MAGIC = b"FRQ1"
 #: Lengths of the four numbers of every control byte.
@@ -103,12 +106,12 @@ def write_blobs(blobs: DataFrame, path: str, per_file: int = 0) -> None:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids`` (16-bit ids with the end id) of every document, written once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        to_ids, end = encoder(path, True), END.to_bytes(2, "little")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_ids = encoder(path, True).column
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": [ids + end for ids in to_ids.all(b["text"])]})
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), to_ids(b.column("text"), END)], ["doc_id", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
     place = scratch_path(docs.sparkSession, "ids")
     rows.write.option("compression", "zstd").parquet(place)
     return docs.sparkSession.read.schema(rows.schema).parquet(place)
@@ -117,17 +120,21 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def ranked_ids(ids: DataFrame) -> np.ndarray:
     """All ids that occur, most frequent first; equal counts by id.  Bounded by the vocabulary."""
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for raw in b["ids"]:
-                n += np.bincount(np.frombuffer(raw, "<u2"), minlength=1 << 16) if len(raw) > 1 << 16 else 0
-            short = b"".join(r for r in b["ids"] if len(r) <= 1 << 16)
-            n += np.bincount(np.frombuffer(short, "<u2"), minlength=1 << 16)
+            column = b.column("ids").cast(pa.binary())
+            if not len(column):
+                continue
+            _, place, data = column.buffers()
+            first, *_, end = (np.frombuffer(place, np.int32)[column.offset :][: len(column) + 1] // 2).tolist()
+            every = np.frombuffer(data or b"", "<u2")
+            for at in range(first, end, TALLY):
+                n += np.bincount(every[at : min(at + TALLY, end)], minlength=1 << 16)
         used = np.flatnonzero(n)
-        yield pd.DataFrame({"id": used, "n": n[used]})
+        yield pa.RecordBatch.from_pydict({"id": used, "n": n[used]})
 
-    total = ids.select("ids").mapInPandas(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    total = ids.select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = total.collect()
     return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], "<u4")
 

@@ -1,8 +1,9 @@
-"""Token ids of whole texts by a public tokenizer file, a distinct word at a time.
+"""Token ids of whole texts by a public tokenizer file, a distinct word or piece at a time.
 
 Both vocabularies split a text at white space, and what lies between is encoded alone, so a
 word goes through the tokenizers library when a worker meets it first and is looked up while it stays in use.
-Words are cut to pieces by the pattern of the vocabulary, which the merge model of the library encodes.  The texts are cut here
+Words are cut to pieces by the pattern of the vocabulary, which the merge model of the library encodes.  The vocabulary that lowers has no pieces with white space,
+so :meth:`Encoder.column` cuts a whole column of texts to pieces in Arrow and looks up each distinct piece once.  The texts are cut here
 only where that is sure to agree with the library: Latin letters (code points up to U+024F), which
 every Unicode version treats alike, and, for the byte vocabulary, single spaces.  Any other text goes to
 the library whole, and so does one that may hold the string of a special token.  Such strings give the special
@@ -17,6 +18,9 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Anything that is not plain Latin text.
@@ -36,6 +40,10 @@ PIECES = {
     False: re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"),
     True: re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+"),
 }
+#: :data:`OTHER` and control characters, for Arrow's expressions.
+ARROW_OTHER = r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}]"
+#: All pieces of the vocabulary that lowers but letters, which end where one of these or white space begins.
+ARROW_MARKS = rf"('s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+)"
 
 
 class Remembered(dict):
@@ -67,6 +75,8 @@ class Encoder:
 
     #: Words remembered as in use; as many that were so before.
     LIMIT = 250_000
+    #: Bytes of text of a column that are cut to pieces at once; a longer text alone.
+    LOT = 4 << 20
 
     def __init__(self, path: str, lower: bool, width: int = 2, special_as_text: bool = False) -> None:
         self.tokenizer = Tokenizer.from_file(path)
@@ -87,7 +97,9 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """Ids of a word, with the space before it where the vocabulary has one."""
         if word.isalpha():
-            return array(self.kind, [t.id for t in self.merge(self.space + word.translate(self.bytes))]).tobytes()
+            # ASCII letters stand for themselves.
+            mapped = word if word.isascii() else word.translate(self.bytes)
+            return array(self.kind, [t.id for t in self.merge(self.space + mapped)]).tobytes()
         first, *rest = self.cut(word if self.lower else " " + word)
         bare = first if self.lower else first[1:]
         head = self.known[bare] if bare.isalpha() else self.pieces[first]
@@ -101,6 +113,32 @@ class Encoder:
         """Ids of each whole text, in order; empty for null."""
         return map(self, texts)
 
+    def column(self, texts: pa.Array, end: int) -> pa.Array:
+        """Ids of each whole text with ``end`` behind, as an Arrow column; for a vocabulary that lowers.  Null texts are empty."""
+        texts, last = pc.fill_null(texts, ""), array(self.kind, [end]).tobytes()
+        lot = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // self.LOT
+        cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(texts)]
+        return pa.concat_arrays([self._lot(texts[a:b], last) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+    def _lot(self, texts: pa.Array, last: bytes) -> pa.Array:
+        """Part of a column: the distinct pieces are looked up, and their ids dealt out to where the pieces stand."""
+        odd = pc.match_substring_regex(texts, ARROW_OTHER + (f"|{re.escape(self.special)}" if self.special else ""))
+        plain = pc.utf8_lower(pc.if_else(odd, "", texts))
+        pieces = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, ARROW_MARKS, r" \1 "))
+        found = pieces.flatten().dictionary_encode()
+        # White space at the ends of a text leaves empty pieces.
+        known = [self.known[p] if p else b"" for p in found.dictionary.to_numpy(zero_copy_only=False)]
+        # Behind the pieces of a text stands its end; texts that the library encodes are one piece with it.
+        whole = [self._whole(t) + last for t in texts.filter(odd).to_pylist()]
+        behind, is_odd = np.full(len(texts), len(known)), odd.to_numpy(zero_copy_only=False)
+        behind[is_odd] += 1 + np.arange(len(whole))
+        ends = pieces.offsets.to_numpy()[1:]
+        order = np.insert(found.indices.to_numpy(), ends, behind)
+        ids = pa.array([*known, last, *whole], pa.binary()).take(pa.array(order))
+        _, place, data = ids.buffers()
+        ends = np.frombuffer(place, np.int32)[np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), data])
+
     def __call__(self, text: str | None) -> bytes:
         """Ids of one whole text; empty for null."""
         if not text:
