@@ -2,12 +2,16 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from catalog.all import REGISTRY
 from catalog.base import ticks
 from tests.conftest import SF
 from tickspark.operators import asof, clean, price
 from tickspark.operators.bars import tick_bars, time_bars
 from tickspark.layout import run_blocked
+from tickspark.plans import training
+from tickspark.plans.replay import run_signals
 
 
 def plan_of(df) -> str:
@@ -51,6 +55,33 @@ def test_bars_never_group_ticks_by_symbol_alone(spark):
     assert "SinglePartition" not in plan
 
 
+def wide_rows(spark, n=300):
+    """Feature rows with a column that neither model nor decision uses."""
+    i = F.col("id")
+    return spark.range(n).select(
+        F.lit("A").alias("symbol"), i.alias("bar_idx"), i.alias("pos"), F.timestamp_seconds(i * 60).alias("open_time"),
+        *[(100 + i % 7).cast("double").alias(c) for c in ("close", "high", "low", "st_line", "atr_1m")],
+        F.when(i % 5 == 0, 1).otherwise(0).alias("fvg_event"), F.lit(1).alias("st_dir"), F.lit(1).alias("st_trend_15m"),
+        F.lit("LAMINAR").alias("market_phase"), F.lit(1).alias("meta_label"), F.lit(1.0).alias("sample_weight"),
+        F.lit(1).alias("holding_bars"), F.repeat(i.cast("string"), 50).alias("ballast"),
+    )
+
+
+def test_replay_moves_only_what_it_uses(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    wide_rows(spark).write.parquet(path)
+    assert "ballast" not in plan_of(run_signals(spark.read.parquet(path)))
+
+
+def test_fit_writes_only_what_the_model_uses(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(training, "materialize", lambda df, label: written.append(df.columns) or df)
+    assert training.fit_meta(wide_rows(spark), training.ModelConfig(features=("close", "st_dir"))) is None
+    assert set(written[0]) == {
+        "symbol", "pos", "bar_idx", "holding_bars", "meta_label", "sample_weight", "close", "st_dir", "role",
+    }
+
+
 def test_every_query_has_typed_columns():
     for name, q in REGISTRY.items():
         assert q.columns and len({c for c, _ in q.columns}) == len(q.columns), name

@@ -13,6 +13,10 @@ from tickspark.operators.index import with_row_index
 from tickspark.plans.training import ModelConfig, score
 
 
+#: What the gate needs of a scored row.
+GATE_COLUMNS = ("symbol", "bar_idx", "open_time", "score", "trend_alignment", "market_phase")
+
+
 @dataclass(frozen=True)
 class ReplayConfig:
     """Parameters of the decision path."""
@@ -44,6 +48,8 @@ def decisions(
         asked = asked & ((F.col("trend_alignment") != "COUNTER") | F.col("structure_ok"))
     warm = F.col("bar_idx") + 1 >= cfg.decision.warmup_bars
     scored = score(rows.filter(asked & warm), model, model_cfg)
+    # The gate walks the rows in Python, which keeps every column; the others need not be moved up to it.
+    scored = scored.select(*[c for c in GATE_COLUMNS if c in scored.columns])
     numbered = with_row_index(
         scored, order=("open_time", "bar_idx"), slice_seconds=86_400, name="score_idx"
     )

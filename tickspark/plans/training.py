@@ -56,9 +56,11 @@ def fit_meta(train: DataFrame, cfg: ModelConfig = ModelConfig()):
     """Weighted boosted trees that stop early on a held-out part.
 
     The last of ``validation_parts`` stretches of each symbol is held out, and what its labels overlap is left
-    out (:func:`cv.purged_tail`).  Returns None when the rows to train on hold only one class.
+    out (:func:`cv.purged_tail`).  Returns None when the rows to train on hold only one class.  Only the
+    features of the model are read, moved and written, whatever else ``train`` holds.
     """
-    parted = materialize(cv.purged_tail(train, cfg.validation_parts), "fit")
+    needed = dict.fromkeys(["symbol", "pos", "bar_idx", "holding_bars", "meta_label", "sample_weight", *cfg.features])
+    parted = materialize(cv.purged_tail(train.select(*needed), cfg.validation_parts), "fit")
     classes = parted.filter("role = 'train'").agg(F.min("meta_label"), F.max("meta_label")).first()
     if classes[0] is None or classes[0] == classes[1]:
         return None
