@@ -186,6 +186,31 @@ def test_best_price_of_positions_over_blocks(spark, monkeypatch):
     assert "Exchange" not in plan[:plan.index("SortMergeJoin")]
 
 
+def test_marks_come_out_tick_by_tick(spark, monkeypatch):
+    """Written marks take less room when the rows of a tick, and so its index and price, lie together."""
+    from pyspark.sql import functions as F
+
+    from tickspark.operators import joins
+
+    monkeypatch.setattr(joins, "LIFE_BLOCK", 16)
+    monkeypatch.setattr(joins, "LIFE_TASKS", 1)
+    i = F.col("id")
+    ticks = spark.range(200).select(
+        F.lit("A").alias("symbol"), i.alias("row_idx"), F.timestamp_seconds(i).alias("ts"),
+        (100 + i % 13).cast("double").alias("bid"), (101 + i % 13).cast("double").alias("ask"),
+    )
+    held = spark.range(20).select(
+        F.lit("A").alias("symbol"), i.alias("ticket"), F.when(i % 2 == 0, 1).otherwise(-1).alias("direction"),
+        (i * 3 - 1).alias("start_row"), F.when(i % 4 > 0, i * 3 + 90).alias("close_row"),
+    )
+    for best in (False, True):
+        rows = joins.positions_on_ticks(held, ticks, best=best).select("row_idx", "start_row").collect()
+        # With the best price, a position walks the block of its opening alone.
+        at = [r.row_idx for r in rows if not best or r.row_idx // 16 > (r.start_row + 1) // 16]
+        assert len(at) > 1500
+        assert sum(a != b for a, b in zip(at, at[1:])) + 1 == len(set(at))
+
+
 def test_blocks_of_ticks_are_small(spark):
     """A worker holds a block of a tick scan several times over, so a long series must make many blocks."""
     from pyspark.sql import functions as F
